@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from . import secrets
 from .bpe import op7_bpe_merge_replay
+from .secrets import op8_secret_blob_ledger
+from .sharding import op10_rendezvous_sharding
+from .simhash import op9_simhash_multi_index
 
 QUERIES = {
     "op7_bpe_merge_replay": op7_bpe_merge_replay,
+    "op8_secret_blob_ledger": op8_secret_blob_ledger,
+    "op9_simhash_multi_index": op9_simhash_multi_index,
+    "op10_rendezvous_sharding": op10_rendezvous_sharding,
 }
 
 #: DuckDB SQL for those that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_secret_blob_ledger": secrets.ORACLE,
+}
