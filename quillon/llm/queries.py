@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from . import secrets
 from .bpe import op7_bpe_merge_replay
+from .decontam import op2_bm25_wand_decontamination
+from .license import op3_license_template_automata
+from .quality import op4_importance_resampling
 from .secrets import op8_secret_blob_ledger
 from .sharding import op10_rendezvous_sharding
 from .simhash import op9_simhash_multi_index
 
 QUERIES = {
+    "op2_bm25_wand_decontamination": op2_bm25_wand_decontamination,
+    "op3_license_template_automata": op3_license_template_automata,
+    "op4_importance_resampling": op4_importance_resampling,
     "op7_bpe_merge_replay": op7_bpe_merge_replay,
     "op8_secret_blob_ledger": op8_secret_blob_ledger,
     "op9_simhash_multi_index": op9_simhash_multi_index,
