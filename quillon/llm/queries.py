@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import chat, secrets
 from .bpe import op7_bpe_merge_replay
+from .chat import op6_chat_event_fold
 from .decontam import op2_bm25_wand_decontamination
 from .license import op3_license_template_automata
 from .quality import op4_importance_resampling
 from .secrets import op8_secret_blob_ledger
 from .sharding import op10_rendezvous_sharding
 from .simhash import op9_simhash_multi_index
+from .spotsigs import op5_spotsigs_fingerprints
 
 QUERIES = {
     "op2_bm25_wand_decontamination": op2_bm25_wand_decontamination,
     "op3_license_template_automata": op3_license_template_automata,
     "op4_importance_resampling": op4_importance_resampling,
+    "op5_spotsigs_fingerprints": op5_spotsigs_fingerprints,
+    "op6_chat_event_fold": op6_chat_event_fold,
     "op7_bpe_merge_replay": op7_bpe_merge_replay,
     "op8_secret_blob_ledger": op8_secret_blob_ledger,
     "op9_simhash_multi_index": op9_simhash_multi_index,
@@ -23,5 +27,6 @@ QUERIES = {
 
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict[str, str] = {
+    "op6_chat_event_fold": chat.ORACLE,
     "op8_secret_blob_ledger": secrets.ORACLE,
 }
