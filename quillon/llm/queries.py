@@ -7,6 +7,7 @@ from .bpe import op7_bpe_merge_replay
 from .chat import op6_chat_event_fold
 from .decontam import op2_bm25_wand_decontamination
 from .license import op3_license_template_automata
+from .lm import op1_log_bilinear_nce
 from .quality import op4_importance_resampling
 from .secrets import op8_secret_blob_ledger
 from .sharding import op10_rendezvous_sharding
@@ -14,6 +15,7 @@ from .simhash import op9_simhash_multi_index
 from .spotsigs import op5_spotsigs_fingerprints
 
 QUERIES = {
+    "op1_log_bilinear_nce": op1_log_bilinear_nce,
     "op2_bm25_wand_decontamination": op2_bm25_wand_decontamination,
     "op3_license_template_automata": op3_license_template_automata,
     "op4_importance_resampling": op4_importance_resampling,
