@@ -1 +1 @@
-"""See the package README section."""
+"""Column expressions: text, answers and vectors. All but ``nfc`` stay inside the JVM."""

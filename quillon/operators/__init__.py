@@ -1 +1 @@
-"""See the package README section."""
+"""Operators on DataFrames: ingestion, chunking, retrieval, verification, question sets, metrics."""

@@ -1 +1 @@
-"""See the package README section."""
+"""Readers and writers of the engine's files."""

@@ -1 +1 @@
-"""See the package README section."""
+"""Streams: responses appended once each, and metrics kept up to date."""
