@@ -209,7 +209,10 @@ def cites(citation: Column, section: Column, first_page: Column, last_page: Colu
 def json_object(text: Column, schema: str) -> Column:
     """The object between the first and the last brace of a text, by schema; null where there is none or it is broken."""
     found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.when((found != "") & F.try_parse_json(found).isNotNull(), F.from_json(found, schema))
+    # as an array's only element: what follows the object is otherwise passed over
+    listed = F.try_parse_json(F.concat(F.lit("["), found, F.lit("]")))
+    whole = (found != "") & listed.isNotNull() & F.try_variant_get(listed, "$[1]", "string").isNull()
+    return F.when(whole, F.from_json(found, schema))
 
 
 def evidence_ids(text: Column) -> Column:
