@@ -7,6 +7,8 @@ from pyspark.sql import SparkSession
 
 sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).resolve().parent)]
 
+os.environ["PYTHONPATH"] = ":".join(sys.path[:2])  # for the workers
+
 DATA = Path("/root/testdata/sf0.001")
 
 
