@@ -216,7 +216,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a verified item; all columns stay. Rows of one id stay or go together."""
     found = contamination(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(found, docs["doc_id"].cast("bigint").eqNullSafe(F.col("_hit")), "left_anti")
+    return docs.join(found, docs["doc_id"].cast("bigint").eqNullSafe(found["_hit"]), "left_anti")
 
 
 def op2_bm25_wand_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -219,7 +219,7 @@ class LogBilinear:
         by = [(np.argsort(x, kind="stable"), np.flatnonzero(np.diff(np.sort(x), prepend=-1)), np.unique(x)) for x in (one, two)]
         for step in range(1, steps + 1):
             q = self.predictions(seen)
-            true = 1 / (1 + np.exp(-(q @ self.p["target"].T + self.p["bias"] - shift)))
+            true = 0.5 + 0.5 * np.tanh(0.5 * (q @ self.p["target"].T + self.p["bias"] - shift))  # the logistic function
             # d/ds of n log(true) + context_n NOISE noise log(1 - true)
             slope = (n * (1 - true) - context_n * (NOISE * noise) * true) * scale
             dq = slope @ self.p["target"]

@@ -124,7 +124,7 @@ def op8_secret_blob_ledger(spark, sf_dir: str) -> DataFrame:
 def drop_secrets(docs: DataFrame) -> DataFrame:
     """The documents in which no rule finds anything; all columns stay. Rows of one id and text stay or go together."""
     found = scan_documents(docs).where("spans <> ''").select(F.col("doc_id").alias("_id"), F.col("blob").alias("_blob")).distinct()
-    same = docs["doc_id"].cast("bigint").eqNullSafe(F.col("_id")) & (blob_id(F.coalesce(docs["text"], F.lit(""))) == F.col("_blob"))
+    same = docs["doc_id"].cast("bigint").eqNullSafe(found["_id"]) & (blob_id(F.coalesce(docs["text"], F.lit(""))) == found["_blob"])
     return docs.join(found, same, "left_anti")
 
 

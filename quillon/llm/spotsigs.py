@@ -91,7 +91,7 @@ def with_next(docs: DataFrame, schema: pa.Schema, make, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("double"))
     ranges = 4 * partitions(spark)
     marks = rows.select("_id").stat.approxQuantile("_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)
-    splits = [-float("inf"), *sorted(set(marks)), float("inf")]
+    splits = [-float("inf"), *sorted(set(marks or [0.0])), float("inf")]
     dealt = Bucketizer(splits=splits, inputCol="_id", outputCol="_range").transform(rows)
     # one row a range
     firsts = sorted((r["_range"], r["first"]) for r in dealt.groupBy("_range").agg(F.min("_id").alias("first")).collect())
