@@ -33,7 +33,10 @@ def top(scored: DataFrame, k: int, by: Sequence[str] = ("q_id",)) -> DataFrame:
 def tokenised(texts: DataFrame, id_col: str, text_col: str, stop_words: Sequence[str] = (), keep_accents: bool = True) -> DataFrame:
     """(id, tokens, dl), the sentinel for texts without tokens."""
     found = T.tokens(F.coalesce(F.col(text_col), F.lit("")), stop_words, keep_accents)
-    return texts.select(F.col(id_col).alias("id"), F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(EMPTY_TOKEN))).alias("tokens")).withColumn("dl", F.size("tokens"))
+    # bound to a name, a text is split once, however often its tokens are looked at
+    once = F.transform(F.array(found), lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.lit(EMPTY_TOKEN))))
+    counted = F.transform(once, lambda t: F.struct(t.alias("tokens"), F.size(t).alias("dl")))
+    return texts.select(F.col(id_col).alias("id"), F.inline_outer(counted))
 
 
 class LexicalIndex:
@@ -46,7 +49,7 @@ class LexicalIndex:
     def build(cls, texts: DataFrame, id_col: str = "id", text_col: str = "text", stop_words: Sequence[str] = (), keep_accents: bool = True, only_terms: DataFrame | None = None) -> LexicalIndex:
         """only_terms: (term); an index for a known set of questions needs no postings of other words."""
         docs = tokenised(texts, id_col, text_col, stop_words, keep_accents)
-        words = docs.select("id", "dl", F.explode("tokens").alias("term"))
+        words = docs.select("id", "dl", F.explode_outer("tokens").alias("term"))  # never empty; a plain explode tests that by splitting again
         if only_terms is not None:
             words = words.join(only_terms, "term", "left_semi")
         postings = words.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
@@ -74,8 +77,11 @@ class LexicalIndex:
     def scores(self, questions: DataFrame, k1: float = K1, b: float = B, stop_words: Sequence[str] = (), keep_accents: bool = True) -> DataFrame:
         """(q_id, id, score > 0) for questions (q_id, text); a token that occurs twice counts twice."""
         asked = question_terms(questions, stop_words, keep_accents)
-        weighed = self.postings.join(self.terms, "term").join(F.broadcast(self.totals)).select("id", "term", self.weights(k1, b).alias("w"))
-        return weighed.join(asked, "term").groupBy("q_id", "id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+        # a row for each term, with its questions: postings are joined once and fan out only when they are summed
+        asked = asked.groupBy("term").agg(F.collect_list(F.struct("q_id", "times")).alias("q")).join(self.terms, "term")
+        # by shuffle, so that the fan-out runs in as many tasks as there are partitions, not where a small side happens to lie
+        weighed = self.postings.join(asked.hint("shuffle_hash"), "term").join(F.broadcast(self.totals)).select("id", "q", self.weights(k1, b).alias("w"))
+        return weighed.select("id", "w", F.inline("q")).groupBy("q_id", "id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
 
     def search(self, questions: DataFrame, k: int = 5, **options) -> DataFrame:
         return top(self.scores(questions, **options), k)

@@ -5,9 +5,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).resolve().parent)]
+sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).resolve().parent), str(Path(__file__).resolve().parent / "llm")]
 
-os.environ["PYTHONPATH"] = ":".join(sys.path[:2])  # for the workers
+os.environ["PYTHONPATH"] = ":".join(sys.path[:3])  # for the workers
 
 DATA = Path("/root/testdata/sf0.001")
 
