@@ -17,6 +17,7 @@ give repeated results. Empty tables give empty results. Only id and text are rea
 
 from __future__ import annotations
 
+import re
 from itertools import repeat
 
 import numpy as np
@@ -135,14 +136,68 @@ def near_duplicates(docs: DataFrame, distance: int = 2, width: int = 3, id_col:
     return marked.join(named, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:
-    """The documents without near-duplicates of a document with a smaller id; all columns stay.
+#: Words that the vocabulary fingerprints take: five letters or more, so that common short words don't count.
+CONTENT = re.compile(rb"[a-z\x80-\xff]{5,}")
+#: Fewer distinct ones are too few to tell texts apart.
+LEAST_WORDS = 12
+VIEWS = 4
+
+
+def vocabulary_fingerprints(text: bytes, views: int = VIEWS) -> list[int | None]:
+    """Independent SimHashes of the text's distinct longer words; null for texts with few of them.
+
+    An edited word changes three shingles but one word, so these move less than the fingerprint over shingles when a
+    copy is edited, and several of them miss less than one.
+    """
+    words = list(set(CONTENT.findall(text.lower())))
+    if len(words) < LEAST_WORDS:
+        return [None] * views
+    out: list[int | None] = []
+    for seed in range((views + 1) // 2):
+        ones = np.zeros(128, np.int64)
+        for at in range(0, len(words), CHUNK):
+            part = words[at : at + CHUNK]
+            h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, part, repeat(seed))), np.uint8)
+            ones += np.unpackbits(h.reshape(-1, 16), axis=1).sum(0, dtype=np.int64)
+        bits = np.packbits(2 * ones > len(words)).tobytes()
+        out += [int.from_bytes(bits[:8], "big", signed=True), int.from_bytes(bits[8:], "big", signed=True)]
+    return out[:views]
+
+
+def near_copies(docs: DataFrame, distance: int = 3, width: int = 3, views: int = VIEWS) -> DataFrame:
+    """(doc_id, component_id) of documents that copy one another, edited ones included.
+
+    Documents are linked if their fingerprints over shingles, or one of ``views`` pairs of vocabulary fingerprints,
+    differ in ``distance`` bits or fewer. Each kind goes through the same index. Rows with a null id are left out.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), *((f"f{v}", pa.int64()) for v in range(views + 1))])
+
+    def make(batch: pa.RecordBatch) -> dict[str, list]:
+        texts = raw_texts(batch)
+        rows = [(fingerprint(t, width), *vocabulary_fingerprints(t, views)) for t in texts]
+        return {"doc_id": batch.column("doc_id").to_pylist()} | {f"f{v}": [r[v] for r in rows] for v in range(views + 1)}
+
+    marked = cut(map_rows(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null"), schema, make))
+    found = None
+    for v in range(views + 1):
+        own = marked.where(F.col(f"f{v}").isNotNull()).select("doc_id", F.col(f"f{v}").alias("fp"))
+        classes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
+        same = own.join(classes, "fp").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+        first = lambda side, classes=classes: classes.select(F.col("fp").alias(side), F.col("first").alias(f"first_{side}"))
+        near = links(classes.select("fp"), distance).join(first("a"), "a").join(first("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+        both = cut(same.unionByName(near).where("a <> b").distinct())
+        found = both if found is None else found.unionByName(both)
+    rooted = components(found)
+    return marked.select("doc_id").distinct().join(rooted.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, distance: int = 3, width: int = 3, views: int = VIEWS) -> DataFrame:
+    """The documents without near-copies of a document with a smaller id; all columns stay.
 
     Of repeated rows with one id, all stay or go together. Rows with a null id stay.
     """
-    found = near_duplicates(docs, distance, width)
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    dropped = near_copies(docs, distance, width, views).where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped"))
+    return docs.join(dropped, docs["doc_id"].cast("bigint") == dropped["_dropped"], "left_anti")
 
 
 def op9_simhash_multi_index(spark, sf_dir: str) -> DataFrame:

@@ -148,6 +148,25 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_edited_copies_go_and_others_stay(spark):
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(5, 9)))
+    stop = "the of and to in is it for".split()
+    rows, copies = [], {}
+    for i in range(40):
+        t = [draw.choice(stop) if draw.random() < 0.5 else word() for _ in range(200)]
+        rows.append((i, " ".join(t)))
+        for k in range(2):  # three words of two hundred are edited
+            e = list(t)
+            for _ in range(3):
+                e[draw.randrange(200)] = word()
+            rows.append((1000 + 2 * i + k, " ".join(e)))
+            copies[1000 + 2 * i + k] = i
+    kept = {r.doc_id for r in simhash.keep_one(table(spark, rows)).collect()}
+    assert set(range(40)) <= kept
+    assert len(kept & set(copies)) <= 0.2 * len(copies)
+
+
 # ---- 8
 
 SECRET_TEXTS = [
