@@ -36,10 +36,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about BATCH_BYTES at most (a single longer row stays whole)."""
+def slices(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes at most (a single longer row stays whole)."""
     for batch in batches:
-        parts = max(1, -(-batch.nbytes // BATCH_BYTES))
+        parts = max(1, -(-batch.nbytes // most))
         step = max(1, -(-batch.num_rows // parts))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)

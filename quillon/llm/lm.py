@@ -45,6 +45,8 @@ WORDS = CLASSES - TAIL - 1
 KNOWN = 200_000
 #: Words counted in a task before the counts are passed on.
 HELD_WORDS = 300_000
+#: Bytes of text taken apart at once: a token in Python's memory is about ten times its text.
+BATCH_BYTES = 3 << 20
 DIM, NOISE, STEPS, RATE = 32, 10, 150, 0.05
 FOLDS, HELD_OUT = 7, 2
 LOG10 = math.log(10)
@@ -76,7 +78,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for batch in slices(batches):
+        for batch in slices(batches, BATCH_BYTES):
             for text in raw_texts(batch):
                 counts.update(tokens(text))
                 counts[b""] += 1
@@ -174,7 +176,7 @@ def trigram_counts(docs: DataFrame, lex: Lexicon) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sums = shared.value, np.zeros(CLASSES**3, np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, BATCH_BYTES):
             words, ends = _laid_out(batch)
             if words:
                 at, n = np.unique(_trigrams(_classes(words, own)[1], ends), return_counts=True)
@@ -258,7 +260,7 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: LogBilinear)
         table = table.log10_table()
         size = np.log10(own.sizes)
         plus = np.log10(own.count + 1.0)
-        for batch in slices(batches):
+        for batch in slices(batches, BATCH_BYTES):
             out: list[list] = [[] for _ in schema]
             words, ends = _laid_out(batch)
             if not words:
