@@ -14,7 +14,7 @@ PATH, OPTIONAL_FLOAT, STRINGS = "path", "float?", "strings"
 KEYS = {
     "paths": {"manual_pdf": (PATH, "data/manual.pdf"), "trechos": (PATH, "data/trechos.jsonl"), "index_dir": (PATH, "index"), "runs_dir": (PATH, "runs"), "gold_dev": (PATH, "data/gold_dev.jsonl"), "gold_test": (PATH, "data/gold_test.jsonl"), "ppl_holdout": (PATH, "data/ppl_holdout.txt")},
     "ollama": {"host": (str, "http://localhost:11434"), "timeout_s": (float, 300.0)},
-    "modelos": {"leitor_base": (str, "qwen3:4b"), "leitor_ajustado": (str, "qwen3-manual:4b"), "embeddings": (str, "bge-m3"), "gerador": (str, "llama3.2:3b")},
+    "modelos": {"leitor_base": (str, "qwen3:4b"), "leitor_ajustado": (str, "qwen3:4b-ajustado"), "embeddings": (str, "bge-m3"), "gerador": (str, "llama3.2:3b")},
     "ingestao": {
         "remover_cabecalhos_rodapes": (bool, True),
         "limiar_repeticao_cabecalho": (float, 0.5),
