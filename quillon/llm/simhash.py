@@ -13,11 +13,13 @@ don't pair all their members.
 Fingerprints, links and components stay distributed. Null text is the empty text; texts without words have fingerprint
 zero and are linked like any other. Rows with a null id are fingerprinted but have no component (null). Repeated rows
 give repeated results. Empty tables give empty results. Only id and text are read.
+
+The pipeline's stage (``keep_one``) doesn't trust fingerprints: it links documents by the likeness of their whole texts'
+shingle sets, of which MinHash bands find the candidates.
 """
 
 from __future__ import annotations
 
-import re
 from itertools import repeat
 
 import numpy as np
@@ -136,67 +138,131 @@ def near_duplicates(docs: DataFrame, distance: int = 2, width: int = 3, id_col:
     return marked.join(named, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-#: Words that the vocabulary fingerprints take: five letters or more, so that common short words don't count.
-CONTENT = re.compile(rb"[a-z\x80-\xff]{5,}")
-#: Fewer distinct ones are too few to tell texts apart.
-LEAST_WORDS = 12
-VIEWS = 4
+#: Near-copies share at least this part (Jaccard) of their distinct shingles of SHINGLE words.
+LIKENESS, SHINGLE = 0.8, 5
+#: Bands of BAND least hashes each. Of pairs at a likeness of 0.8 all but (1 - 0.8^4)^24 = 3 in a million share a band.
+BANDS, BAND = 24, 4
+#: Documents up to which a group of candidates is compared whole; those of larger ones are compared band by band.
+GROUP = 2000
+FACTORS = np.random.default_rng(SEED).integers(2**63, size=(BANDS * BAND, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
 
-def vocabulary_fingerprints(text: bytes, views: int = VIEWS) -> list[int | None]:
-    """Independent SimHashes of the text's distinct longer words; null for texts with few of them.
 
-    An edited word changes three shingles but one word, so these move less than the fingerprint over shingles when a
-    copy is edited, and several of them miss less than one.
+def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the text's word shingles; a shorter text is one shingle, one without words none."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
+    width = min(width, len(words))
+    out = np.full(len(words) - width + 1, width, np.uint64)
+    for i in range(width):
+        out = _mixed(out + h[i : len(h) - width + 1 + i])
+    return np.unique(out)
+
+
+def bands(signs: np.ndarray) -> list[int]:
+    """A MinHash key for each band; none for the empty set."""
+    if not len(signs):
+        return []
+    least = np.full(BANDS * BAND, 2**64 - 1, np.uint64)
+    for at in range(0, len(signs), 4096):
+        least = np.minimum(least, (FACTORS * signs[at : at + 4096]).min(1))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for part in least.reshape(BANDS, BAND).T:
+        keys = _mixed(keys + part)
+    return keys.astype(np.int64).tolist()
+
+
+def verified(sets: list[np.ndarray], least: float = LIKENESS) -> list[int]:
+    """For each set the place of the first that it reaches over pairs of a Jaccard index of ``least`` or more.
+
+    A set is compared with those not reached yet only, so a group of copies takes few comparisons.
     """
-    words = list(set(CONTENT.findall(text.lower())))
-    if len(words) < LEAST_WORDS:
-        return [None] * views
-    out: list[int | None] = []
-    for seed in range((views + 1) // 2):
-        ones = np.zeros(128, np.int64)
-        for at in range(0, len(words), CHUNK):
-            part = words[at : at + CHUNK]
-            h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, part, repeat(seed))), np.uint8)
-            ones += np.unpackbits(h.reshape(-1, 16), axis=1).sum(0, dtype=np.int64)
-        bits = np.packbits(2 * ones > len(words)).tobytes()
-        out += [int.from_bytes(bits[:8], "big", signed=True), int.from_bytes(bits[8:], "big", signed=True)]
-    return out[:views]
-
-
-def near_copies(docs: DataFrame, distance: int = 3, width: int = 3, views: int = VIEWS) -> DataFrame:
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    holders, starts = owner[order], np.concatenate([[0], np.cumsum(np.bincount(code))])
+    ends = np.cumsum(sizes)
+    root = np.full(len(sets), -1)
+    left = len(sets)
+    for first in range(len(sets)):
+        if root[first] >= 0:
+            continue
+        root[first], waiting, left = first, [first], left - 1
+        while waiting and left:
+            x = waiting.pop()
+            own = code[ends[x] - sizes[x] : ends[x]]
+            many = starts[own + 1] - starts[own]
+            at = np.repeat(starts[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            both = np.bincount(holders[at], minlength=len(sets))  # a set holds a shingle once
+            near = np.flatnonzero((root < 0) & (both >= least * (sizes[x] + sizes - both) - 1e-9))
+            root[near] = first
+            left -= len(near)
+            waiting += near.tolist()
+    return root.tolist()
+
+
+def near_copies(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """(doc_id, component_id) of documents that copy one another, edited ones included.
 
-    Documents are linked if their fingerprints over shingles, or one of ``views`` pairs of vocabulary fingerprints,
-    differ in ``distance`` bits or fewer. Each kind goes through the same index. Rows with a null id are left out.
+    Two documents are linked if their sets of five-word shingles, those of the whole texts, have a Jaccard index of 0.8
+    or more. Documents that share a MinHash band are only candidates: groups of them (one document for each distinct
+    set) are held against each other on the sets themselves. A group goes to one task, or, if it has more than ``group``
+    documents, each of its bands does. Rows with a null id are left out.
     """
-    schema = pa.schema([("doc_id", pa.int64()), *((f"f{v}", pa.int64()) for v in range(views + 1))])
+    text = F.col("text").cast("string")
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).where("doc_id is not null")
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("set_id", pa.string()), ("bands", pa.list_(pa.int64()))])
 
     def make(batch: pa.RecordBatch) -> dict[str, list]:
-        texts = raw_texts(batch)
-        rows = [(fingerprint(t, width), *vocabulary_fingerprints(t, views)) for t in texts]
-        return {"doc_id": batch.column("doc_id").to_pylist()} | {f"f{v}": [r[v] for r in rows] for v in range(views + 1)}
-
-    marked = cut(map_rows(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null"), schema, make))
-    found = None
-    for v in range(views + 1):
-        own = marked.where(F.col(f"f{v}").isNotNull()).select("doc_id", F.col(f"f{v}").alias("fp"))
-        classes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
-        same = own.join(classes, "fp").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-        first = lambda side, classes=classes: classes.select(F.col("fp").alias(side), F.col("first").alias(f"first_{side}"))
-        near = links(classes.select("fp"), distance).join(first("a"), "a").join(first("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
-        both = cut(same.unionByName(near).where("a <> b").distinct())
-        found = both if found is None else found.unionByName(both)
-    rooted = components(found)
-    return marked.select("doc_id").distinct().join(rooted.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, distance: int = 3, width: int = 3, views: int = VIEWS) -> DataFrame:
+        sets = [shingles(t) for t in raw_texts(batch)]
+        own = {c: batch.column(c).to_pylist() for c in ("doc_id", "h")}
+        return own | {"set_id": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "bands": [bands(s) for s in sets]}
+
+    marked = cut(map_rows(source, schema, make))
+    # a set is found in the document of the least id that has it
+    classes = cut(marked.groupBy("set_id").agg(F.min(F.struct("doc_id", "h")).alias("x"), F.first("bands").alias("bands")).select("set_id", F.col("x.doc_id").alias("first"), F.col("x.h").alias("h"), "bands"))
+    same = marked.select("doc_id", "set_id").join(classes.select("set_id", "first"), "set_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b")
+
+    listed = classes.select("first", "h", F.explode("bands").alias("band"))
+    shared = listed.groupBy("band").agg(F.min("first").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
+    met = cut(listed.join(shared, "band"))
+    rooted = cut(components(met.select(F.col("first").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "first"))
+    large = rooted.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > group).select("root", F.lit(True).alias("large"))
+    placed = rooted.join(large, "root", "left")
+    # a group's key is its root or its band; should two be equal, their documents are compared needlessly
+    keyed = met.join(placed, "first").select("first", "h", F.when(F.col("large"), F.col("band")).otherwise(F.col("root")).alias("grp"))
+    asked = keyed.groupBy("first", "h").agg(F.collect_set("grp").alias("groups"))
+    candidates = source.withColumnRenamed("doc_id", "first").join(asked, ["first", "h"]).select("first", "groups", "text")
+    carried = pa.schema([("first", pa.int64()), ("groups", pa.list_(pa.int64())), ("signs", pa.binary())])
+
+    def signed(batch: pa.RecordBatch) -> dict[str, list]:
+        return {c: batch.column(c).to_pylist() for c in ("first", "groups")} | {"signs": [shingles(t).tobytes() for t in raw_texts(batch)]}
+
+    def held(found: pa.Table) -> pa.Table:
+        ids = sorted(range(found.num_rows), key=(first := found.column("first").to_pylist()).__getitem__)
+        signs = found.column("signs")
+        root = verified([np.frombuffer(signs[i].as_buffer(), np.uint64) for i in ids])
+        return pa.table({"a": pa.array([first[i] for i in ids], pa.int64()), "b": pa.array([first[ids[r]] for r in root], pa.int64())})
+
+    near = map_rows(candidates, carried, signed).select("first", F.explode("groups").alias("grp"), "signs").groupBy("grp").applyInArrow(held, "a bigint, b bigint")
+    linked = components(same.unionByName(near.where("a <> b")))
+    return marked.select("doc_id").distinct().join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without near-copies of a document with a smaller id; all columns stay.
 
     Of repeated rows with one id, all stay or go together. Rows with a null id stay.
     """
-    dropped = near_copies(docs, distance, width, views).where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped"))
+    dropped = near_copies(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped"))
     return docs.join(dropped, docs["doc_id"].cast("bigint") == dropped["_dropped"], "left_anti")
 
 

@@ -167,6 +167,40 @@ def test_edited_copies_go_and_others_stay(spark):
     assert len(kept & set(copies)) <= 0.2 * len(copies)
 
 
+def five_word_likeness(a, b):
+    a, b = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("group", [simhash.GROUP, 3])
+def test_near_copies_are_those_of_brute_force(spark, group):
+    draw = random.Random(13)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(2, 9)))
+    names = [f"field{c}name" for c in "abcdefghijklmnopqrst"]
+    # forms: the same longer words, other numbers; and the same words in another order
+    rows = [(k, " ".join(f"{n} {draw.randrange(10**6)} is" for n in names)) for k in range(12)]
+    rows += [(100 + k, " ".join(draw.sample(names, len(names)))) for k in range(12)]
+    for i in range(12):  # copies with one to nine words of 150 edited, edited copies of those, and copies cut short
+        t = [word() for _ in range(150)]
+        for k in range(10):
+            e = list(rows[-1][1].split()) if k % 4 == 3 else list(t)
+            for _ in range(k if k % 4 < 3 else 3):
+                e[draw.randrange(len(e))] = word()
+            rows.append((1000 + 20 * i + k, " ".join(e[: draw.choice([150, 150, 145, 135])])))
+    rows += [(5000, "a b c"), (5001, "A  b\nc"), (5002, "a b d"), (-5, rows[30][1])]
+    draw.shuffle(rows)
+    links = [(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if five_word_likeness(x, y) >= 0.8]
+    assert len(links) > 30
+    root = {i: i for i, _ in rows}
+    while any(root[a] != root[b] for a, b in links):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(table(spark, rows), group).collect()}
+    assert got == root
+    if group == simhash.GROUP:
+        assert {r.doc_id for r in simhash.keep_one(table(spark, rows)).collect()} == set(root.values())
+
+
 # ---- 8
 
 SECRET_TEXTS = [
