@@ -6,6 +6,7 @@ order of additions can't decide a rank.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -156,17 +157,48 @@ def retrieve(mode: str, questions: DataFrame, lexical: LexicalIndex | None = Non
     return fused([lexical.search(questions, depth, **options), nearest(*dense, depth)], c, k)
 
 
-def distractors(ranked: DataFrame, evidence: DataFrame, chunks: DataFrame, wanted: int = 3, budget: int = 1400, spare: int = 50, seed: int = 42) -> DataFrame:
+def earliest(docs: DataFrame, most: int) -> DataFrame:
+    """The documents (id, n_tokens, turn) that have fewer than ``most`` others of at most their size before them in order.
+
+    Whoever takes documents in order, each that fits what is left, and leaves out some, ends up with these, as long as
+    it takes or leaves out fewer than ``most``: an earlier one that is no larger fits too. They are about ``most`` times
+    the logarithm of the corpus: each task keeps those of its own rows, and one task those of what is left.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: list[int] = []  # the sizes of the ``most`` smallest so far, negative, the largest first
+        for batch in batches:
+            kept = []
+            for k, n in enumerate(batch.column("n_tokens").to_pylist()):
+                if len(least) < most:
+                    heapq.heappush(least, -n)
+                elif n < -least[0]:
+                    heapq.heapreplace(least, -n)
+                else:
+                    continue
+                kept.append(k)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    few = docs.sortWithinPartitions("turn", "id").mapInArrow(run, docs.schema)
+    return few.repartition(1).sortWithinPartitions("turn", "id").mapInArrow(run, docs.schema)
+
+
+def distractors(ranked: DataFrame, evidence: DataFrame, chunks: DataFrame, wanted: int = 3, budget: int = 1400, seed: int = 42) -> DataFrame:
     """(q_id, place, id): chunks beside the evidence (q_id, id) for a training prompt.
 
-    Retrieved chunks in order of rank, then ``spare`` others in the order of a seeded hash (the first ``spare`` of the
-    corpus for every question); those that don't fit the token budget are passed over, until ``wanted`` are taken.
+    Retrieved chunks in order of rank, then all others in the order of a seeded hash (one order for every question);
+    those that don't fit the token budget are passed over, until ``wanted`` are taken.
     """
-    sizes = chunks.select("id", "n_tokens")
-    gold = evidence.join(sizes, "id").groupBy("q_id").agg(F.sum("n_tokens").alias("used"))
-    others = sizes.withColumn("turn", F.md5(F.concat_ws(":", F.lit(seed), "id"))).orderBy("turn", "id").limit(spare)
+    ranked, evidence = ranked.persist(), evidence.persist()  # a few rows a question
+    sizes = chunks.select("id", F.col("n_tokens").cast("bigint").alias("n_tokens"))
+    gold = evidence.join(sizes, "id").groupBy("q_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("n")).where(F.col("used") <= budget).persist()
+    # what a question leaves out: its evidence and what was retrieved for it
+    passed = gold.join(ranked.groupBy("q_id").agg(F.count("*").alias("hits")), "q_id", "left").agg(F.max(F.col("n") + F.coalesce("hits", F.lit(0)))).first()[0] or 0
+    ordered = sizes.where(F.col("n_tokens") <= budget).withColumn("turn", F.md5(F.concat_ws(":", F.lit(seed), "id")))
+    others = earliest(ordered, wanted + passed)
     first = ranked.join(sizes, "id").select("q_id", "id", "n_tokens", F.lit(0).alias("late"), F.lpad(F.col("rank").cast("string"), 9, "0").alias("turn"))
-    rest = gold.select("q_id").join(F.broadcast(others)).join(ranked.select("q_id", "id"), ["q_id", "id"], "left_anti").select("q_id", "id", "n_tokens", F.lit(1).alias("late"), "turn")
+    fits = F.col("n_tokens") <= F.lit(budget) - F.col("used")
+    rest = gold.select("q_id", "used").join(F.broadcast(others), fits).join(ranked.select("q_id", "id"), ["q_id", "id"], "left_anti").select("q_id", "id", "n_tokens", F.lit(1).alias("late"), "turn")
     listed = first.unionByName(rest).join(evidence, ["q_id", "id"], "left_anti").join(gold, "q_id").groupBy("q_id", "used").agg(F.array_sort(F.collect_list(F.struct("late", "turn", "id", "n_tokens"))).alias("c"))
     start = F.struct(F.col("used").cast("bigint").alias("used"), F.array().cast("array<string>").alias("ids"))
 

@@ -157,6 +157,38 @@ def test_distractors_pass_over_what_does_not_fit(spark):
     assert t[0].id == "t2" and len(t) == 2 and t[1].id in ("t3", "t4")
 
 
+def test_distractors_are_those_of_brute_force(spark):
+    import hashlib
+    import random
+
+    draw = random.Random(5)
+    sizes = {f"t{i}": draw.choice([draw.randint(1, 40), draw.randint(100, 900)]) if i % 9 == 0 else draw.randint(300, 900) for i in range(600)}
+    evidence, hits = {}, {}
+    for q in range(60):
+        evidence[q] = draw.sample(sorted(sizes), draw.randint(1, 4))
+        hits[q] = [] if q % 7 == 0 else draw.sample(sorted(sizes), 6)
+    hits[1][0] = evidence[1][0]
+    order = sorted(sizes, key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))
+    wanted, short = {}, 0
+    for q in range(60):
+        used, out = sum(sizes[i] for i in evidence[q]), []
+        for i in hits[q] + [i for i in order if i not in hits[q]]:
+            if i not in evidence[q] and len(out) < 3 and used + sizes[i] <= 1000:
+                out.append(i)
+                used += sizes[i]
+                short += i not in hits[q] and order.index(i) >= 60
+        if out:
+            wanted[q] = out
+    assert short  # so some lie beyond the first documents
+    chunks = spark.createDataFrame(list(sizes.items()), "id string, n_tokens int").repartition(5)
+    asked = spark.createDataFrame([(q, i, k) for q, x in hits.items() for k, i in enumerate(x, 1)], "q_id long, id string, rank int")
+    gold_ = spark.createDataFrame([(q, i) for q, x in evidence.items() for i in x], "q_id long, id string")
+    got = {}
+    for r in R.distractors(asked, gold_, chunks, 3, 1000).orderBy("q_id", "place").collect():
+        got.setdefault(r.q_id, []).append(r.id)
+    assert got == wanted
+
+
 def test_quotas_by_largest_remainder(spark):
     counts = lambda d: spark.createDataFrame(list(d.items()), "grp string, size long")
     q = lambda d, n: {r.grp: r.quota for r in gold.quotas(counts(d), n).collect()}
