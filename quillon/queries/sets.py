@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import gold
+from ..operators import retrieval as R
 from ..plans import jobs
 from .common import estimate, table, words
 
@@ -115,7 +116,21 @@ def training_examples(spark, sf_dir):
     return gold.training_examples(t).select("id", "part")
 
 
-QUERIES = {f.__name__: f for f in (stratified_sample, sampling_tasks, group_split, held_out_chunks, review_apply, review_table, gold_validate, grid_resume, generated_candidates, training_examples)}
+def training_set(spark, sf_dir):
+    """Prompts and answers from questions that are the first words of 300 documents."""
+    chunks = _chunks(spark, sf_dir).withColumn("section", F.lit("")).withColumn("page_start", F.lit(1))
+    asked = gold.training_tasks(chunks, 300)
+    said = F.struct(F.array_join(F.slice(T.words(F.col("text")), 1, 8), " ").alias("pergunta"), F.concat(F.col("section_id"), F.lit(" (seção 1, p. 2).")).alias("resposta"))
+    replies = asked.select("place", F.lit(0).alias("attempt"), F.to_json(said).alias("reply"))
+
+    def search(questions: DataFrame) -> DataFrame:
+        terms = R.question_terms(questions).select("term").distinct()
+        return R.LexicalIndex.build(chunks, only_terms=terms).search(questions, 7)
+
+    return gold.training_set(asked, replies, chunks, search, "{contexto}\n\n{pergunta}", PHRASE).select("id", F.md5("prompt").alias("prompt_md5"), "answer", "n_chunks", "part")
+
+
+QUERIES = {f.__name__: f for f in (stratified_sample, sampling_tasks, group_split, held_out_chunks, review_apply, review_table, gold_validate, grid_resume, generated_candidates, training_examples, training_set)}
 
 _CHUNKS = f"ch AS (SELECT doc_id AS id, source AS section_id, {estimate(f'len({words("text")})')} AS n_tokens FROM documents)"
 

@@ -189,6 +189,24 @@ def test_distractors_are_those_of_brute_force(spark):
     assert got == wanted
 
 
+def test_training_set(spark):
+    rows = [(k, 39 if k == 0 else 100 + k, str(k), "", k, f"words of chunk{k}.") for k in range(31)]
+    chunks = spark.createDataFrame(rows, "id long, n_tokens int, section_id string, section string, page_start int, text string")
+    tasks = gold.training_tasks(chunks)
+    replies = tasks.selectExpr("place", "0 as attempt", """concat('{"pergunta": "what is chunk', id, '?", "resposta": "It is ', id, ' (seção 99, p. 7)."}') as reply""")
+    search = lambda q: R.LexicalIndex.build(chunks).search(q, 7)
+    out = {r.id: r for r in gold.training_set(tasks, replies, chunks, search, "<{contexto}> {pergunta}", "Nada").collect()}
+    kinds = {r.id: r.kind for r in tasks.collect()}
+    assert set(out) == set(range(1, 31)) and sum(k == "sem_resposta" for k in kinds.values()) == 6
+    for i, r in out.items():
+        assert r.answer == ("Nada." if kinds[i] == "sem_resposta" else f"It is {i} (seção {i}, p. {i})")
+        assert r.prompt.endswith(f"> what is chunk{i}?") and f"words of chunk{i}." in r.prompt
+        assert r.n_chunks == r.prompt.count("words of") and 3 <= r.n_chunks <= 5
+    assert {r.n_chunks for r in out.values()} == {3, 4, 5}
+    assert len({r.prompt.index(f"words of chunk{i}.") > 30 for i, r in out.items()}) == 2  # the chunk isn't always first
+    assert sum(r.part == "validation" for r in out.values()) == 2
+
+
 def test_quotas_by_largest_remainder(spark):
     counts = lambda d: spark.createDataFrame(list(d.items()), "grp string, size long")
     q = lambda d, n: {r.grp: r.quota for r in gold.quotas(counts(d), n).collect()}
