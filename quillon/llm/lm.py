@@ -1,17 +1,18 @@
 """Language-model scoring with a log-bilinear model trained by noise-contrastive estimation in numpy.
 
-The model (after Mnih and Teh, 2012) predicts the class of the next token from the two tokens before it: the vectors of
-the context, each through the matrix of its position, add up to a prediction, whose product with a class's vector, plus
-its bias, is the class's score. The classes are the end of a text, the most frequent words one by one, and TAIL classes
-that share all other words by their last two bytes. A token's probability is that of its class times its share of the
-class by add-one smoothed training counts, with one further unit a class for words never seen; so probabilities over
-all words seen, and the unseen word of each class, add up to one.
-
-All training tokens count. One pass counts words; a second counts class trigrams, of which there are at most CLASSES
-cubed, whatever the corpus. These counts are all that the model's likelihood depends on, so they alone go to the driver,
-where the objective is maximised: each trigram against NOISE noise classes drawn from the unigram distribution, taken in
-expectation instead of drawn, which is the same objective without its variance. Scoring multiplies all context
-predictions with all class vectors at once and normalises each row, then looks tokens up.
+The model (after Mnih and Teh, 2012) predicts the next symbol from the two before it: the vectors of the context, each
+through the diagonal matrix of its position, add up to a prediction, whose product with a symbol's target vector, plus
+its bias, is the symbol's score. Symbols are the end of a text, the WORDS most frequent words one by one, and TAIL
+classes that share all other words by their last two bytes. A token's probability is that of its symbol, in a tail class
+times its share of the class by add-one smoothed training counts, with one further unit a class for words never seen; so
+probabilities over all words seen, and the unseen word of each class, add up to one.
+
+All training tokens are learnt from. One pass counts words. A second one trains: every task goes over its own tokens in
+minibatches, each of them set against NOISE symbols drawn from the unigram distribution, and climbs the noise-contrastive
+objective by AdaGrad from the same first parameters; the tasks' parameters are averaged by their numbers of tokens
+(iterative parameter mixing, McDonald et al., 2010), in two levels, so that no task or driver holds those of all tasks.
+The normalisers of all contexts, SYMBOLS squared numbers, are found by batched matrix products, dealt over the tasks.
+Scoring is then one product of prediction and target a token, less the normaliser of its context.
 
 Words beyond the KNOWN most frequent ones are not broadcast: scoring sends each document's other words through a join
 with the table of counts. Counts are combined before each shuffle, so a frequent word is no hot key.
@@ -19,7 +20,8 @@ with the table of counts. Counts are combined before each shuffle, so a frequent
 A document is held out if crc32 of its id as text leaves 2 modulo 7. Null text is the empty text (one token, the end);
 a null id counts as the text "". Empty tables give an empty result. If nothing is left to train on, all counts are zero
 and every token has the unseen word's probability of an untrained model. Repeated rows are scored each. Only id and text
-are read.
+are read. The order of a table's rows and files decides which tokens share a minibatch, so scores of the same rows laid
+out otherwise differ slightly; a task that runs again gives the same.
 """
 
 from __future__ import annotations
@@ -35,19 +37,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, raw_texts, read, slices, spark_ddl
+from .common import arrow_map, cut, raw_texts, read, slices
 
-CLASSES = 128
-TAIL = 31
-#: Classes of single words; class 0 is the end of a text.
-WORDS = CLASSES - TAIL - 1
+#: Symbols: the end of a text is number 0, then come single words, then tail classes.
+SYMBOLS, TAIL = 1536, 47
+WORDS = SYMBOLS - TAIL - 1
 #: Most words whose counts every task holds.
 KNOWN = 200_000
 #: Words counted in a task before the counts are passed on.
-HELD_WORDS = 300_000
+HELD_WORDS = 100_000
 #: Bytes of text taken apart at once: a token in Python's memory is about ten times its text.
-BATCH_BYTES = 3 << 20
-DIM, NOISE, STEPS, RATE = 32, 10, 150, 0.05
+BATCH_BYTES = 2 << 20
+#: Vectors' length; tokens of a minibatch, noise symbols drawn for it, noise tokens that these stand for, for each token.
+DIM, MINIBATCH, NOISE, NOISE_RATIO = 16, 2048, 32, 8
+RATE = 0.05
+#: Numbers of a parameter row that a task sends; tasks whose rows are added up together.
+SLOT, FAN = 4096, 64
+#: Tokens scored at once.
+SCORED = 50_000
 FOLDS, HELD_OUT = 7, 2
 LOG10 = math.log(10)
 
@@ -57,10 +64,6 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def tail_class(word: bytes) -> int:
-    return 1 + WORDS + crc32(word[-2:]) % TAIL
-
-
 def _source(docs: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.crc32(key) % FOLDS == HELD_OUT).alias("held_out"))
@@ -72,8 +75,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def out(counts: Counter) -> Iterator[pa.RecordBatch]:
         words = list(counts)
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([counts[w] for w in part], pa.int64())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,79 +90,86 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     counts.clear()
         yield from out(counts)
 
-    return _source(docs).where("not held_out").select("text").mapInArrow(run, spark_ddl(schema)).groupBy("word").agg(F.sum("c").alias("c"))
+    return arrow_map(_source(docs).where("not held_out").select("text"), run, schema).groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Lexicon:
-    """The known words: their classes, their counts, and each class's size."""
+    """The known words: their symbols, their counts, and each symbol's size."""
 
-    def __init__(self, known: list[tuple[bytes, int]], ends: int, sizes: np.ndarray, total: int, distinct: int):
-        """known: words by falling count, then by word; ends: number of ends; sizes: by class, the units that share it."""
-        self.total, self.distinct = total, distinct
+    def __init__(self, known: list[tuple[bytes, int]], words: int, tail: int, ends: int, tails: dict[int, tuple[int, int]], total: int, distinct: int):
+        """known: words by falling count, then by word, of which the first ``words`` are symbols; ends: number of ends;
+        tails: tokens and distinct words of each tail class."""
+        self.words, self.tail, self.total, self.distinct = words, tail, total, distinct
+        self.symbols = 1 + words + tail
         self.index = {b"": 0} | {w: k for k, (w, _) in enumerate(known, 1)}
         self.count = np.array([ends, *(c for _, c in known)], np.int64)
-        self.klass = np.array([0, *(k if k <= WORDS else tail_class(w) for k, (w, _) in enumerate(known, 1))], np.int64)
-        self.sizes = sizes
-
-
-def lexicon(counts: DataFrame, known: int = KNOWN) -> Lexicon:
+        self.symbol = np.array([0, *(k if k <= words else self.tail_symbol(w) for k, (w, _) in enumerate(known, 1))], np.int64)
+        self.mass = np.zeros(self.symbols, np.int64)  # training tokens of each symbol
+        self.mass[0] = ends
+        for k, (_, c) in enumerate(known[:words], 1):
+            self.mass[k] = c
+        self.sizes = self.mass + 1  # one unit is a single word's own, in tail classes the unseen word's
+        for k, (n, v) in tails.items():
+            self.mass[k] = n
+            self.sizes[k] = n + v + 1
+
+    def tail_symbol(self, word: bytes) -> int:
+        return 1 + self.words + crc32(word[-2:]) % self.tail
+
+    def noise(self) -> np.ndarray:
+        return (self.mass + 1.0) / (self.mass.sum() + self.symbols)
+
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Index in the lexicon (-1: not known) and symbol of each token."""
+        index = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        symbol = self.symbol[index]
+        rare = np.flatnonzero(index < 0)
+        if len(rare):
+            symbol[rare] = [self.tail_symbol(words[k]) for k in rare.tolist()]
+        return index, symbol
+
+
+def lexicon(counts: DataFrame, known: int = KNOWN, words: int = WORDS, tail: int = TAIL) -> Lexicon:
     """Collects the most frequent words (``known`` at most) and a few totals; counts: a table or checkpoint."""
-    words = counts.where("word <> X''")
+    all_words = counts.where("word <> X''")
     # counts by their logarithm: a few hundred rows tell from where on words are at most ``known``
     level = F.floor(F.log2("c") * 32).cast("int")
-    levels = sorted(((r.l, r.n) for r in words.groupBy(level.alias("l")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    levels = sorted(((r.l, r.n) for r in all_words.groupBy(level.alias("l")).agg(F.count("*").alias("n")).collect()), reverse=True)
     least, n = 1 << 30, 0
     for at, k in levels:
         if n + k > known:
             break
         least, n = at, n + k
-    found = words.where(level >= least).toArrow()
+    found = all_words.where(level >= least).toArrow()
     top = sorted(zip(found["word"].to_pylist(), found["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
-    single = {w for w, _ in top[:WORDS]}
-    sizes = np.ones(CLASSES, np.int64)  # one unit in a class of one word is the word's own, in others the unseen's
-    for k, (_, c) in enumerate(top[:WORDS], 1):
-        sizes[k] += c
+    words = min(words, len(top))
+    single = {w for w, _ in top[:words]}
     schema = pa.schema([("k", pa.int32()), ("n", pa.int64()), ("v", pa.int64())])
+    shared = counts.sparkSession.sparkContext.broadcast((single, words, tail))
 
-    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((CLASSES, 2), np.int64)
+    def by_symbol(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single, words, tail = shared.value
+        own = Lexicon([], words, tail, 0, {}, 0, 0)
+        sums = np.zeros((own.symbols, 2), np.int64)
         for batch in batches:
             for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist(), strict=True):
-                sums[0 if not w else tail_class(w) if w not in single else 1] += (c, 1)
+                sums[0 if not w else own.tail_symbol(w) if w not in single else 1] += (c, 1)
         at = np.flatnonzero(sums[:, 1])
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at, 0]), pa.array(sums[at, 1])], schema=schema)
 
     total = distinct = ends = 0
-    for r in counts.mapInArrow(by_class, spark_ddl(schema)).groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+    tails = {}
+    for r in arrow_map(counts, by_symbol, schema).groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         total, distinct = total + r.n, distinct + r.v
         if r.k == 0:
             ends = r.n
-            sizes[0] += r.n
-        elif r.k > WORDS:
-            sizes[r.k] += r.n + r.v
-    return Lexicon(top, ends, sizes, total, distinct)
-
-
-def _classes(words: list[bytes], lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """Index in the lexicon (-1: not known) and class of each token."""
-    index = np.fromiter(map(lex.index.get, words, repeat(-1)), np.int64, len(words))
-    klass = lex.klass[index]
-    rare = np.flatnonzero(index < 0)
-    if len(rare):
-        klass[rare] = [tail_class(words[k]) for k in rare.tolist()]
-    return index, klass
-
-
-def _trigrams(klass: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Number of (second last, last, next) class for each token of texts that are laid end to end; ends: places of their ends."""
-    one = np.concatenate(([0], klass[:-1]))
-    two = np.concatenate(([0, 0], klass[:-2]))
-    first = ends[:-1] + 1
-    two[first] = 0  # the end before a text is context twice
-    return (two * CLASSES + one) * CLASSES + klass
+        elif r.k > words:
+            tails[r.k] = (r.n, r.v)
+    return Lexicon(top, words, tail, ends, tails, total, distinct)
 
 
 def _laid_out(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
+    """The tokens of all texts end to end, and the places of their ends."""
     words: list[bytes] = []
     ends = []
     for text in raw_texts(batch):
@@ -169,106 +179,196 @@ def _laid_out(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
     return words, np.array(ends, np.int64)
 
 
-def trigram_counts(docs: DataFrame, lex: Lexicon) -> np.ndarray:
-    """Counts of all class trigrams of the training documents."""
-    schema = pa.schema([("t", pa.int32()), ("n", pa.int64())])
-    shared = docs.sparkSession.sparkContext.broadcast(lex)  # at most KNOWN words
+def contexts(symbol: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last and the second last symbol before each token; before a text's first word stand two ends."""
+    one = np.concatenate(([0], symbol[:-1]))
+    two = np.concatenate(([0, 0], symbol[:-2]))[: len(symbol)]
+    two[ends[:-1] + 1] = 0
+    return one, two
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sums = shared.value, np.zeros(CLASSES**3, np.int64)
-        for batch in slices(batches, BATCH_BYTES):
-            words, ends = _laid_out(batch)
-            if words:
-                at, n = np.unique(_trigrams(_classes(words, own)[1], ends), return_counts=True)
-                sums[at] += n
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], schema=schema)
 
-    counted = _source(docs).where("not held_out").select("text").mapInArrow(run, spark_ddl(schema)).groupBy("t").agg(F.sum("n").alias("n"))
-    out = np.zeros(CLASSES**3)
-    found = counted.toArrow()  # at most CLASSES**3 pairs of numbers
-    out[found["t"].to_numpy()] = found["n"].to_numpy()
-    return out.reshape(CLASSES * CLASSES, CLASSES)
+def _added(rows: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and the sums of their values."""
+    order = np.argsort(rows.astype(np.int16 if size < 1 << 15 else np.int64), kind="stable")
+    own = rows[order]
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    return own[first], np.add.reduceat(values[order], first, axis=0)
 
 
 class LogBilinear:
-    """Vectors of context classes, a matrix for each position, and vectors and biases of predicted classes."""
+    """Vectors of context symbols, a diagonal matrix for each position, and vectors of predicted symbols, whose last
+    number is the bias."""
+
+    SHAPES = ("context", "near", "far", "target")
 
-    def __init__(self, seed: int = 42):
+    def __init__(self, noise: np.ndarray, seed: int = 42):
+        """noise: the unigram distribution, which the untrained model predicts nearly."""
         draw = np.random.default_rng(seed)
-        self.p = {"context": draw.normal(0, 0.1, (CLASSES, DIM)), "near": np.eye(DIM) * 0.5, "far": np.eye(DIM) * 0.5, "target": draw.normal(0, 0.1, (CLASSES, DIM)), "bias": np.zeros(CLASSES)}
-        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
-
-    def predictions(self, contexts: np.ndarray) -> np.ndarray:
-        two, one = np.divmod(contexts, CLASSES)
-        return (self.p["context"] @ self.p["near"])[one] + (self.p["context"] @ self.p["far"])[two]
-
-    def train(self, counts: np.ndarray, steps: int = STEPS) -> LogBilinear:
-        """Maximises the noise-contrastive objective of the trigram counts, by Adam on all of them at once."""
-        seen = np.flatnonzero(counts.sum(1))
-        if not len(seen):
-            return self
-        n = counts[seen].astype(np.float32)
-        unigram = n.sum(0, dtype=np.float64)
-        noise = ((unigram + 1) / (unigram.sum() + CLASSES)).astype(np.float32)
-        self.p["bias"] = np.log(noise)
-        context_n = n.sum(1, keepdims=True)
-        scale = np.float32(1 / unigram.sum())
-        two, one = np.divmod(seen, CLASSES)
-        shift = np.log(NOISE * noise)
-        first = {k: np.zeros_like(v) for k, v in self.p.items()}
-        second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        by = [(np.argsort(x, kind="stable"), np.flatnonzero(np.diff(np.sort(x), prepend=-1)), np.unique(x)) for x in (one, two)]
-        for step in range(1, steps + 1):
-            q = self.predictions(seen)
-            true = 0.5 + 0.5 * np.tanh(0.5 * (q @ self.p["target"].T + self.p["bias"] - shift))  # the logistic function
-            # d/ds of n log(true) + context_n NOISE noise log(1 - true)
-            slope = (n * (1 - true) - context_n * (NOISE * noise) * true) * scale
-            dq = slope @ self.p["target"]
-            grad = {"target": slope.T @ q, "bias": slope.sum(0)}
-            sums = []
-            for order, starts, which in by:
-                s = np.zeros((CLASSES, DIM), np.float32)
-                s[which] = np.add.reduceat(dq[order], starts, axis=0)
-                sums.append(s)
-            grad["context"] = sums[0] @ self.p["near"].T + sums[1] @ self.p["far"].T
-            grad["near"], grad["far"] = self.p["context"].T @ sums[0], self.p["context"].T @ sums[1]
-            for k, g in grad.items():
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.99 * second[k] + 0.01 * g * g
-                rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
-                self.p[k] = (self.p[k] + rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-10)).astype(np.float32)
+        n = len(noise)
+        p = {"context": draw.normal(0, 0.3, (n, DIM)), "near": np.ones(DIM), "far": np.full(DIM, 0.5), "target": np.column_stack((draw.normal(0, 0.1, (n, DIM)), np.log(noise)))}
+        self.p = {k: v.astype(np.float32) for k, v in p.items()}
+        self.noise = noise
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.p[k].ravel() for k in self.SHAPES])
+
+    def set_flat(self, values: np.ndarray) -> LogBilinear:
+        at = 0
+        for k in self.SHAPES:
+            n = self.p[k].size
+            self.p[k] = values[at : at + n].astype(np.float32).reshape(self.p[k].shape)
+            at += n
         return self
 
-    def log10_table(self) -> np.ndarray:
-        """Normalised log10 probability of each class after each context: context x class, flat."""
-        scores = self.predictions(np.arange(CLASSES * CLASSES)) @ self.p["target"].T + self.p["bias"]
-        scores -= scores.max(1, keepdims=True)
-        scores -= np.log(np.exp(scores).sum(1, keepdims=True))
-        return (scores / LOG10).ravel()
+    def scores(self, symbol: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The score, not normalised, of each symbol after its context."""
+        near, far = self.p["context"] * self.p["near"], self.p["context"] * self.p["far"]
+        target, bias = np.ascontiguousarray(self.p["target"][:, :DIM]), self.p["target"][:, DIM]
+        out = np.empty(len(symbol), np.float64)
+        for at in range(0, len(symbol), SCORED):
+            part = slice(at, at + SCORED)
+            q = near[one[part]]
+            q += far[two[part]]
+            out[part] = np.einsum("ij,ij->i", q, target[symbol[part]])
+        return out + bias[symbol]
+
+    def normalisers(self, one: int) -> np.ndarray:
+        """Log of the sum of all symbols' exponential scores after (two, one), for every symbol two."""
+        q = np.ones((len(self.noise), DIM + 1), np.float32)
+        q[:, :DIM] = self.p["context"] * self.p["far"] + self.p["context"][one] * self.p["near"]
+        target, out = self.p["target"].T.copy(), np.empty(len(q))
+        for at in range(0, len(q), 64):  # as much as the processor's cache holds
+            scores = q[at : at + 64] @ target
+            most = scores.max(1, keepdims=True)
+            scores -= most
+            np.exp(scores, out=scores)
+            out[at : at + 64] = np.log(scores.sum(1)) + most[:, 0]
+        return out
+
+
+class Learner:
+    """A model that climbs the noise-contrastive objective by AdaGrad (one rate a vector), minibatch after minibatch."""
+
+    def __init__(self, model: LogBilinear, seed: int = 7):
+        self.model, self.draw = model, np.random.default_rng(seed)
+        self.squares = {k: np.full(v.shape[:1] if v.ndim == 2 else v.shape, 1e-6, np.float32) for k, v in model.p.items()}
+        self.cumulated = np.cumsum(model.noise)
+        self.shift = np.log(NOISE_RATIO * model.noise).astype(np.float32)
+        self.seen = 0
+
+    def step(self, symbol: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        """One minibatch: of its tokens and of noise symbols, which stand for NOISE_RATIO noise tokens for each token."""
+        p, m = self.model.p, len(symbol)
+        drawn = np.minimum(np.searchsorted(self.cumulated, self.draw.random(NOISE)), len(self.shift) - 1)
+        both = np.concatenate((symbol, drawn))
+        targets = p["target"][both]
+        r1, r2 = p["context"][one], p["context"][two]
+        q = np.ones((m, DIM + 1), np.float32)  # the bias is the target of a constant
+        q[:, :DIM] = r1 * p["near"] + r2 * p["far"]
+        # half the log odds that a token is data: its score less its log noise rate
+        true = 0.5 * (np.einsum("ij,ij->i", q, targets[:m]) - self.shift[symbol])
+        false = 0.5 * (q @ targets[m:].T - self.shift[drawn])
+        own = 0.5 - 0.5 * np.tanh(true)
+        against = np.tanh(false)
+        against += 1
+        against *= -0.5 * NOISE_RATIO / NOISE
+        dq = own[:, None] * targets[:m] + against @ targets[m:]
+        dq = dq[:, :DIM]
+        self._climb("target", *_added(both, np.concatenate((own[:, None] * q, against.T @ q)), len(self.shift)))
+        steps = _added(np.concatenate((one, two)), np.concatenate((dq * p["near"], dq * p["far"])), len(self.shift))
+        for name, own_part in (("near", r1), ("far", r2)):
+            self._climb(name, slice(None), np.einsum("ij,ij->j", dq, own_part))
+        self._climb("context", *steps)
+        self.seen += m
+
+    def _climb(self, name: str, rows, grad: np.ndarray) -> None:
+        table, squares = self.model.p[name], self.squares[name]
+        squares[rows] += np.einsum("ij,ij->i", grad, grad) / grad.shape[1] if table.ndim == 2 else grad * grad
+        rate = RATE / np.sqrt(squares[rows])
+        table[rows] += rate[:, None] * grad if table.ndim == 2 else rate * grad
+
+    def learn(self, symbol: np.ndarray, ends: np.ndarray) -> None:
+        one, two = contexts(symbol, ends)
+        for at in range(0, len(symbol), MINIBATCH):
+            part = slice(at, at + MINIBATCH)
+            self.step(symbol[part], one[part], two[part])
+
+
+def train(docs: DataFrame, lex: Lexicon) -> LogBilinear:
+    """The average of what all tasks have learnt from their own training texts."""
+    model = LogBilinear(lex.noise())
+    schema = pa.schema([("task", pa.int64()), ("slot", pa.int32()), ("seen", pa.int64()), ("sums", pa.binary())])
+    shared = docs.sparkSession.sparkContext.broadcast(lex)  # at most KNOWN words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        own = shared.value
+        learner = Learner(LogBilinear(own.noise()))
+        for batch in slices(batches, BATCH_BYTES):
+            words, ends = _laid_out(batch)
+            if words:
+                learner.learn(own.look_up(words)[1], ends)
+        if not learner.seen:
+            return
+        flat = learner.model.flat().astype(np.float64) * learner.seen
+        parts = [flat[at : at + SLOT].tobytes() for at in range(0, len(flat), SLOT)]
+        n = len(parts)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([learner.seen] * n, pa.int64()), pa.array(parts, pa.binary())], schema=schema)
+
+    def added(rows: pa.Table) -> pa.Table:
+        sums = 0
+        for x in rows.column("sums").to_pylist():
+            sums = sums + np.frombuffer(x, np.float64)
+        return pa.table([rows.column(0).slice(0, 1), rows.column(1).slice(0, 1), pa.array([sum(rows.column("seen").to_pylist())], pa.int64()), pa.array([sums.tobytes()], pa.binary())], schema=schema)
+
+    ddl = "task bigint, slot int, seen bigint, sums binary"
+    sent = arrow_map(_source(docs).where("not held_out").select("text"), run, schema)
+    few = sent.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("task", "slot").applyInArrow(added, ddl)
+    found = few.withColumn("task", F.lit(0).cast("bigint")).groupBy("slot").applyInArrow(added, ddl).orderBy("slot").toArrow()  # one model
+    if found.num_rows:
+        sums = np.concatenate([np.frombuffer(x, np.float64) for x in found["sums"].to_pylist()])
+        model.set_flat(sums / found["seen"][0].as_py())
+    return model
+
+
+def normalisers(spark, model: LogBilinear, n: int) -> np.ndarray:
+    """The normalisers of all contexts: row one, column two. n squared numbers, whatever the corpus."""
+    shared = spark.sparkContext.broadcast(model)
+    schema = pa.schema([("one", pa.int64()), ("z", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in slices(batches):
+            one = batch.column("one")
+            yield pa.RecordBatch.from_arrays([one, pa.array([own.normalisers(k).astype(np.float32).tobytes() for k in one.to_pylist()], pa.binary())], schema=schema)
+
+    found = arrow_map(spark.range(0, n, 1, 32).withColumnRenamed("id", "one"), run, schema).toArrow().sort_by("one")
+    return np.frombuffer(b"".join(found["z"].to_pylist()), np.float32).reshape(n, n)
 
 
 def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: LogBilinear) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()), ("times", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("counted", pa.float64()), ("said", pa.float64())])
-    shared = docs.sparkSession.sparkContext.broadcast((lex, model.p))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((lex, model, normalisers(spark, model, lex.symbols)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, params = shared.value
-        table = LogBilinear()
-        table.p = params
-        table = table.log10_table()
+        own, model, z = shared.value
         size = np.log10(own.sizes)
         plus = np.log10(own.count + 1.0)
+        single = np.zeros(own.symbols, bool)
+        single[: own.words + 1] = True
         for batch in slices(batches, BATCH_BYTES):
             out: list[list] = [[] for _ in schema]
             words, ends = _laid_out(batch)
             if not words:
                 continue
-            index, klass = _classes(words, own)
+            index, symbol = own.look_up(words)
+            one, two = contexts(symbol, ends)
             known = index >= 0
             counted = np.where(known, plus[index], 0.0)  # log10(c + 1)
-            said = table[_trigrams(klass, ends)] - size[klass] + counted
+            said = (model.scores(symbol, one, two) - z[one, two]) / LOG10 + np.where(single[symbol], 0.0, counted - size[symbol])
             starts = np.concatenate(([0], ends[:-1] + 1))
             for k, (row, doc, held) in enumerate(zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), strict=True)):
                 part = slice(starts[k], ends[k] + 1)
@@ -285,7 +385,7 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: LogBilinear)
     # a place in the scan tells rows apart; it is the same when a task runs again. Whole-document rows carry the word
     # " <place>", which no text has, so that they match nothing and spread over the join.
     placed = _source(docs).withColumn("row", F.monotonically_increasing_id())
-    sent = placed.mapInArrow(run, spark_ddl(schema))
+    sent = arrow_map(placed, run, schema)
     rest = sent.join(counts, "word", "left")
     found = F.col("c").isNotNull()
     sums = rest.groupBy("row").agg(
@@ -310,11 +410,10 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: LogBilinear)
     )
 
 
-def train_and_score(docs: DataFrame) -> DataFrame:
+def train_and_score(docs: DataFrame, known: int = KNOWN, words: int = WORDS, tail: int = TAIL) -> DataFrame:
     counts = cut(word_counts(docs))
-    lex = lexicon(counts)
-    model = LogBilinear().train(trigram_counts(docs, lex))
-    return score(docs, counts.where("word <> X''"), lex, model)
+    lex = lexicon(counts, known, words, tail)
+    return score(docs, counts.where("word <> X''"), lex, train(docs, lex))
 
 
 def op1_log_bilinear_nce(spark, sf_dir: str) -> DataFrame:

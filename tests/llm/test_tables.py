@@ -59,30 +59,81 @@ def test_language_model(spark):
     assert lm.train_and_score(empty(spark)).count() == 0
 
 
-def test_rare_words_are_joined_and_not_dropped(spark, monkeypatch):
+def test_rare_words_are_joined_and_not_dropped(spark):
     rows = corpus(120)
-    whole = {r.doc_id: r for r in lm.train_and_score(table(spark, rows)).collect()}
-    monkeypatch.setattr(lm.lexicon, "__defaults__", (20,))  # nearly all words go through the join
-    few = {r.doc_id: r for r in lm.train_and_score(table(spark, rows)).collect()}
+    whole = {r.doc_id: r for r in lm.train_and_score(table(spark, rows), words=300, tail=5).collect()}
+    few = {r.doc_id: r for r in lm.train_and_score(table(spark, rows), known=20).collect()}  # nearly all words go through the join
     for i, r in whole.items():
         assert (few[i].n_known, few[i].n_tokens) == (r.n_known, r.n_tokens)
         assert few[i].base_score == pytest.approx(r.base_score, abs=1e-6) and few[i].score < 0
 
 
-def test_probabilities_add_up_to_one(spark):
-    docs = table(spark, corpus(100))
+def fitted(spark, rows, words, tail):
+    docs = table(spark, rows)
     counts = lm.cut(lm.word_counts(docs))
-    lex = lm.lexicon(counts)
-    model = lm.LogBilinear().train(lm.trigram_counts(docs, lex), 20)
-    p = 10 ** model.log10_table().reshape(-1, lm.CLASSES).astype(float)
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
-    share = np.zeros(lm.CLASSES)
+    lex = lm.lexicon(counts, words=words, tail=tail)
+    return docs, counts, lex, lm.train(docs, lex)
+
+
+def test_scores_are_those_of_a_plain_scorer(spark):
+    rows = corpus(60) + [(1000 + (i or -1), t) for i, t in AWKWARD if t is None or len(t) < 200]
+    docs, counts, lex, model = fitted(spark, rows, 50, 7)
+    count = {bytes(r.word): r.c for r in counts.collect()}
+    common = [w for w, _ in sorted(((w, c) for w, c in count.items() if w), key=lambda x: (-x[1], x[0]))[:50]]
+    symbol = lambda w: 0 if not w else 1 + common.index(w) if w in common else 51 + crc32(w[-2:]) % 7
+    members = collections.defaultdict(lambda: 1)
+    for w, c in count.items():
+        members[symbol(w)] += c + 1
+    p = {k: v.astype(float) for k, v in model.p.items()}
+
+    def plain(text):
+        total, one, two = 0.0, 0, 0
+        for w in [*text.encode().lower().split(), b""]:
+            q = p["context"][one] * p["near"] + p["context"][two] * p["far"]
+            scores = p["target"][:, :-1] @ q + p["target"][:, -1]
+            k = symbol(w)
+            total += (scores[k] - math.log(sum(map(math.exp, scores)))) / math.log(10)
+            if k > 50:
+                total += math.log10((count.get(w, 0) + 1) / members[k])
+            one, two = k, one
+        return total
+
+    wanted = collections.Counter((i, round(plain(t), 3)) for i, t in text_of(rows))
+    found = collections.Counter((r.doc_id, round(r.score, 3)) for r in lm.score(docs, counts.where("word <> X''"), lex, model).collect())
+    assert sum((wanted - found).values()) <= 0.02 * len(rows)  # roundings that fall apart
+
+
+def test_noise_is_drawn_and_lowers_the_loss(spark):
+    _, _, lex, model = fitted(spark, corpus(300), 200, 5)
+    untrained = lm.LogBilinear(lex.noise())
+    words, ends = [], []
+    for _, t in corpus(100, 99):
+        words += [*t.encode().lower().split(), b""]
+        ends.append(len(words) - 1)
+    s = lex.look_up(words)[1]
+    one, two = lm.contexts(s, np.array(ends))
+    loss = lambda m: -(m.scores(s, one, two) - np.stack([m.normalisers(k) for k in range(lex.symbols)])[one, two]).mean()
+    assert loss(model) < loss(untrained)
+    a, b = (lm.Learner(lm.LogBilinear(lex.noise()), seed) for seed in (1, 2))
+    for x in (a, b):
+        x.learn(s, np.array(ends))
+    assert not np.array_equal(a.model.flat(), b.model.flat())  # other noise, other steps
+
+
+def test_probabilities_add_up_to_one(spark):
+    _, counts, lex, model = fitted(spark, corpus(100), 40, 7)
+    every = np.arange(lex.symbols)
+    for one in range(0, lex.symbols, 7):
+        z = model.normalisers(one)
+        for two in range(0, lex.symbols, 9):
+            p = np.exp(model.scores(every, np.full(len(every), one), np.full(len(every), two)) - z[two])
+            assert p.sum() == pytest.approx(1, abs=1e-4)
+    share = np.ones(lex.symbols)  # a single word's own unit, the unseen word's of a tail class
     for r in counts.collect():
         w = bytes(r.word)
-        share[lex.klass[lex.index[w]] if w in lex.index else lm.tail_class(w)] += r.c + 1
-    share[1 + lm.WORDS :] += 1  # the word never seen
-    used = share > 0
-    assert np.array_equal(share[used], lex.sizes[used])
+        k = lex.symbol[lex.index[w]] if w in lex.index else lex.tail_symbol(w)
+        share[k] += r.c + (k > lex.words)
+    assert np.array_equal(share, lex.sizes)
 
 
 # ---- 9
