@@ -1,4 +1,5 @@
-"""The registered queries of this subpackage: op<N>_<name>, each over its whole table."""
+"""The registered queries of this subpackage: op<N>_<name>, each over its whole table, and EXTRA ones, which show parts of
+operators that the former don't reach."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ from .decontam import op2_bm25_wand_decontamination
 from .license import op3_license_template_automata
 from .lm import op1_log_bilinear_nce
 from .quality import op4_importance_resampling
-from .secrets import op8_secret_blob_ledger
+from .secrets import op8_secret_blob_ledger, secret_ledger_versions
 from .sharding import op10_rendezvous_sharding
 from .simhash import op9_simhash_multi_index
 from .spotsigs import op5_spotsigs_fingerprints
@@ -27,8 +28,12 @@ QUERIES = {
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
 }
 
+EXTRA = {"secret_ledger_versions": secret_ledger_versions}
+QUERIES |= EXTRA
+
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict[str, str] = {
     "op6_chat_event_fold": chat.ORACLE,
     "op8_secret_blob_ledger": secrets.ORACLE,
+    "secret_ledger_versions": secrets.ORACLE,
 }

@@ -1,12 +1,17 @@
 """Secret scans over an incremental ledger of blobs, in DataFrame operations only.
 
-Every version of a text is addressed by the SHA-256 of its bytes. The ledger lists pairs of blob and rule version that
-were scanned before. Only blobs whose pair is missing are scanned, each once however many paths hold it; the findings
-are joined back to all paths. Texts are moved only to pick one path of each unseen blob; blob ids and findings are
-narrow. Joins on a blob that very many paths share are plain equi-joins, which adaptive execution splits.
+Every version of a text is addressed by the SHA-256 of its bytes. The ledger lists, by blob and rule version, what was
+found before. Only blobs whose pair is missing are scanned, each once however many rows hold it: the copies that a task
+has are made one before the shuffle, so a group of copies is no hot key. What is new is written to the shared folder
+(the caller may append it to a ledger that is kept), and the findings are joined back to all paths; rows of a blob that
+very many paths share are spread over many tasks there.
 
 Positions come from the built-in functions: a pattern's matches and the pieces between them (split by the same pattern)
-alternate, so running sums of their lengths in code points give starts and ends.
+alternate, so running sums of their lengths in code points give starts and ends. They are summed in runs of RUN matches,
+so that a text of very many findings isn't copied anew for each of them.
+
+Patterns repeat single character classes only, never groups: Java's regular expressions recurse over a repeated group,
+and a long text could end the executor.
 
 Null text is the empty text, and has no findings. Repeated rows give repeated results. Empty tables give empty results.
 Only id and text are read.
@@ -17,16 +22,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import cut, join_classes, read
 
-RULE_VERSION = "1"
+RULE_VERSION = "2"
+#: Matches whose places are summed up together.
+RUN = 256
 
 # The base rules, in the order in which kinds are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
 # Rules that the method adds.
-PEM = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+PEM = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"
 GITHUB = r"gh[pousr]_[A-Za-z0-9]{36,}"
 SLACK = r"xox[abprs]-[A-Za-z0-9-]{10,}"
 JWT = r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
@@ -56,9 +63,15 @@ def _spans(text: Column, kind: str, rule: tuple[str, str, int, int]) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     gaps = F.split(text, pattern, -1)
-    parts = F.arrays_zip(F.transform(F.slice(gaps, 1, F.size(found)), lambda x: F.length(x)).alias("gap"), F.transform(found, lambda x: F.length(x)).alias("own"), F.transform(counted, lambda x: F.length(x)).alias("counted"))
+    sizes = F.arrays_zip(F.transform(F.slice(gaps, 1, F.size(found)), lambda x: F.length(x)).alias("gap"), F.transform(found, lambda x: F.length(x)).alias("own"), F.transform(counted, lambda x: F.length(x)).alias("counted"))
     none = F.array().cast("array<struct<start:int,stop:int,rank:int>>")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    # a matchless text has one run without matches
+    run_of = lambda m: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(m), F.lit(1)) - 1) / RUN).cast("int")), lambda k: F.slice(m, k * RUN + 1, RUN))
+    total = lambda m: F.aggregate(m, F.lit(0), lambda s, x: s + x["gap"] + x["own"])
+
+    def begins(runs):
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(runs, start, lambda acc, m: F.struct((acc["at"] + total(m)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
 
     def step(acc, x):
         start = acc["at"] + x["gap"]
@@ -66,7 +79,12 @@ def _spans(text: Column, kind: str, rule: tuple[str, str, int, int]) -> Column:
         one = F.array(F.struct(start.alias("start"), stop.alias("stop"), F.lit(KINDS.index(kind)).alias("rank")))
         return F.struct(stop.alias("at"), F.when(x["counted"] >= least, F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
 
-    return F.when(text.rlike(test), F.aggregate(parts, zero, step, lambda acc: acc["spans"])).otherwise(none)
+    def placed(at, m):
+        return F.aggregate(m, F.struct(at.alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+
+    # bound to names, matches and runs are found once
+    spans = F.transform(F.transform(F.array(sizes), run_of), lambda runs: F.flatten(F.zip_with(begins(runs), runs, placed)))[0]
+    return F.when(text.rlike(test), spans).otherwise(none)
 
 
 def _joined(spans: Column) -> Column:
@@ -83,32 +101,31 @@ def scan(blobs: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
     return spanned.select("blob", F.lit(rule_version).alias("rule_version"), *counts, _joined(base).alias("base_spans"), _joined(F.concat(*rules)).alias("spans"))
 
 
-def unseen(paths: DataFrame, ledger: DataFrame | None, rule_version: str) -> DataFrame:
-    """One (path, blob) for each blob of ``paths`` that the ledger hasn't for this rule version."""
-    chosen = paths.groupBy("blob").agg(F.min("path").alias("path"))
+def unseen(stored: DataFrame, ledger: DataFrame | None, rule_version: str) -> DataFrame:
+    """One (blob, text) for each blob of ``stored`` that the ledger hasn't for this rule version."""
+    texts = stored.groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is None:
-        return chosen
-    return chosen.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
+        return texts
+    return texts.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
 
 
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """Scans the rows of (path, text) against a ledger of earlier scans.
 
     A path may have many rows, one for each historical version. Returns (path, blob, findings) of every row, and the
-    ledger's new rows, for the caller to append. A ledger has the columns that ``scan`` returns.
+    ledger's new rows, which are in the shared folder, for the caller to append. A ledger has the columns that ``scan``
+    returns.
     """
     stored = versions.select("path", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("blob", blob_id(F.col("text")))
-    paths = stored.select("path", "blob")
-    chosen = unseen(paths, ledger, rule_version).select(F.col("blob").alias("_blob"), F.col("path").alias("_path"))
-    sources = stored.join(chosen.hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("_path")) & (F.col("blob") == F.col("_blob"))).select("blob", "text")
-    fresh = scan(sources, rule_version).dropDuplicates(["blob"])  # a path may hold one blob twice
+    paths = cut(stored.select("path", "blob"))
+    fresh = cut(scan(unseen(stored.select("blob", "text"), ledger, rule_version), rule_version))
     known = fresh if ledger is None else fresh.unionByName(ledger.where(F.col("rule_version") == rule_version).select(*fresh.columns))
-    return paths.join(known, "blob", "left"), fresh
+    return join_classes(paths, known, "blob"), fresh
 
 
-def scan_documents(docs: DataFrame) -> DataFrame:
-    """Findings of every document row, nothing having been scanned before."""
-    found, _ = scan_versions(docs.select(F.col("doc_id").cast("bigint").alias("path"), "text"))
+def scan_documents(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """Findings of every document row. Without a ledger, nothing has been scanned before."""
+    found, _ = scan_versions(docs.select(F.col("doc_id").cast("bigint").alias("path"), "text"), ledger)
     return found.withColumnRenamed("path", "doc_id")
 
 
@@ -117,10 +134,22 @@ DIGEST = ["doc_id", "n_assign", "n_access", "n_hex"]
 
 def op8_secret_blob_ledger(spark, sf_dir: str) -> DataFrame:
     """Counts and spans of secrets in every document."""
-    found = scan_documents(read(spark, sf_dir, "documents"))
+    return digest(scan_documents(read(spark, sf_dir, "documents")))
+
+
+def digest(found: DataFrame) -> DataFrame:
     return found.select(*DIGEST, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def secret_ledger_versions(spark, sf_dir: str) -> DataFrame:
+    """What op8 finds, by a second scan over a ledger: the first version of the corpus held every other document, and an
+    earlier text (its own without the first word) of the rest; the second scan looks only at blobs that are new."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    earlier = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.regexp_replace("text", r"^\S*", ""))
+    _, ledger = scan_versions(docs.select(F.col("doc_id").cast("bigint").alias("path"), earlier.alias("text")))
+    return digest(scan_documents(docs, ledger))
+
+
 def drop_secrets(docs: DataFrame) -> DataFrame:
     """The documents in which no rule finds anything; all columns stay. Rows of one id and text stay or go together."""
     found = scan_documents(docs).where("spans <> ''").select(F.col("doc_id").alias("_id"), F.col("blob").alias("_blob")).distinct()
