@@ -1,4 +1,9 @@
-"""Text expressions: cleaning, titles, tokens, prompts, and what is read out of model replies."""
+"""Text expressions: cleaning, titles, tokens, prompts, and what is read out of model replies.
+
+Java's regular expressions recurse over repeated groups and look for a match from every place of a long run. So repeated
+groups are possessive here (``*+``), and runs are entered only at their beginning (a look back): no text, however long,
+overflows a stack or takes time that grows with the square of its length.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +20,7 @@ from pyspark.sql.types import StringType
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 # Control characters that cleaning removes; a table-of-contents line; the default title pattern.
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
-CONTENTS_LINE = r"(\.\s?){4,}\s*\d+\s*$|…+\s*\d+\s*$"
+CONTENTS_LINE = r"(?<!\.\s{0,1})(?:\.\s?){4,}+\s*+\d++\s*+$|(?<!…)…++\s*+\d++\s*+$"
 TITLE = r"^(\d+(\.\d+){0,3})\s+[A-ZÁÉÍÓÚÂÊÔÃÕÇ][^\n]{2,80}$"
 # Words that answer comparison ignores.
 LITTLE_WORDS = "o a os as um uma uns umas de do da dos das em no na nos nas por para com ao à aos às e".split()
@@ -25,15 +30,28 @@ SPACES = r"(?U)[\s\x1c-\x1f]+"
 WORD = r"[\p{L}\p{N}_]"
 
 
+# All that canonical composition may change, and some beside: marks, finals of Korean syllables, and the
+# blocks that hold characters which it replaces. Nothing below U+0300 is among them.
+UNCOMPOSED = (
+    r"[\p{M}\x{374}\x{37e}\x{387}\x{958}-\x{95f}\x{9dc}-\x{9df}\x{a33}-\x{a5e}\x{b5c}-\x{b5d}\x{f43}-\x{fb9}\x{1161}-\x{11c2}"
+    r"\x{1f71}-\x{2001}\x{2126}-\x{212b}\x{2329}-\x{232a}\x{2adc}\x{f900}-\x{fb4e}\x{1d15e}-\x{1d1c0}\x{2f800}-\x{2fa1d}]"
+)
+
+
 @F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
-    """Canonical composition. Spark has no such function; apply it only where texts may be decomposed."""
+    """Canonical composition. Spark has no such function."""
     return text.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
+def composed(text: Column) -> Column:
+    """The text in canonical composition. Only texts that it may change are sent to Python."""
+    return F.coalesce(nfc(F.when(text.rlike(r"[\x{300}-\x{10ffff}]") & text.rlike(UNCOMPOSED), text)), text)
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]++|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++$", "")
 
 
 def words(text: Column) -> Column:
@@ -47,17 +65,20 @@ def repetition_key(text: Column) -> Column:
 
 
 def clean(text: Column, compose: bool = False) -> Column:
-    """Block text made plain: ligatures, line ends, hyphenation and single breaks undone; paragraphs keep a blank line."""
-    t = nfc(text) if compose else text
+    """Block text made plain: ligatures, line ends, hyphenation and single breaks undone; paragraphs keep a blank line.
+
+    compose: also canonical composition, for texts that weren't composed before.
+    """
+    t = composed(text) if compose else text
     for a, b in LIGATURES.items():
         t = F.replace(t, F.lit(a), F.lit(b))
     t = F.regexp_replace(t, r"\r\n?", "\n")
     t = F.regexp_replace(t, r"[\x{a0}\t]", " ")
     t = F.regexp_replace(t, r"\x{ad}\n?", "")
     t = F.regexp_replace(t, CONTROL, "")
-    t = F.regexp_replace(t, rf"({WORD})-[ ]*\n[ ]*(?=[a-zà-öø-ÿ])", "$1")
-    t = F.regexp_replace(t, rf"(?<={WORD})/[ ]*\n[ ]*(?={WORD})", "/")
-    parts = F.transform(F.split(t, r"\n[ ]*\n"), lambda p: strip(F.regexp_replace(F.regexp_replace(p, r"[ ]*\n[ ]*", " "), r" {2,}", " ")))
+    t = F.regexp_replace(t, rf"({WORD})-[ ]*+\n[ ]*+(?=[a-zà-öø-ÿ])", "$1")
+    t = F.regexp_replace(t, rf"(?<={WORD})/[ ]*+\n[ ]*+(?={WORD})", "/")
+    parts = F.transform(F.split(t, r"\n[ ]*\n"), lambda p: strip(F.regexp_replace(F.regexp_replace(p, r"(?<! )[ ]*+\n[ ]*+", " "), r" {2,}+", " ")))
     return F.array_join(F.filter(parts, lambda p: p != ""), "\n\n")
 
 
@@ -135,8 +156,8 @@ def portuguese_stop_words() -> tuple[str, ...]:
 
 
 def tokens(text: Column, stop_words: Sequence[str] = (), keep_accents: bool = True) -> Column:
-    """Lower-case runs of letters and digits of two characters or more, without stop words."""
-    t = F.lower(text)
+    """Lower-case runs of letters and digits of two characters or more, without stop words; accents as composed."""
+    t = F.lower(composed(text))
     stops = list(stop_words)
     if not keep_accents:
         t = without_accents(t)
@@ -151,8 +172,8 @@ def token_estimate(n_words: Column, per_word: float = 1.3) -> Column:
 
 
 def answer_text(text: Column) -> Column:
-    """An answer as compared: lower case, no separators within numbers, no punctuation, no little words."""
-    t = F.regexp_replace(F.lower(text), r"(?<=\p{Nd})[.,](?=\p{Nd})", "")
+    """An answer as compared: composed, lower case, no separators within numbers, no punctuation, no little words."""
+    t = F.regexp_replace(F.lower(composed(text)), r"(?<=\p{Nd})[.,](?=\p{Nd})", "")
     t = F.regexp_replace(t, r"[^\p{L}\p{N}\s\x{85}\x{a0}\p{Z}]|_", " ")
     return F.array_join(F.filter(words(t), lambda w: ~w.isin(LITTLE_WORDS)), " ")
 
@@ -169,16 +190,16 @@ def abstains(reply: Column, phrase: Column) -> Column:
 
 
 # The forms of citations. Section, page, both, and parentheses that hold one.
-SECTION = r"se[çc][ãa]o\s*\{?\s*(\d+(?:\.\d+)*)\s*\}?"
-PAGE = r"(?:p\.|p[áa]g\.?|p[áa]gina)\s*\{?\s*(\d+)\s*\}?"
-PAIR = SECTION + r"\s*[,;–-]?\s*" + PAGE
-IN_PARENTHESES = r"\(\s*[^()]*?(?:se[çc][ãa]o|\bp\.|\bp[áa]g)[^()]*\)"
+SECTION = r"se[çc][ãa]o\s*+(?:\{\s*+)?+(\d++(?:\.\d++)*+)\s*+\}?+"
+PAGE = r"(?:p\.|p[áa]g\.?|p[áa]gina)\s*+(?:\{\s*+)?+(\d++)\s*+\}?+"
+PAIR = SECTION + r"\s*+(?:[,;–-]\s*+)?+" + PAGE
+IN_PARENTHESES = r"\((?=[^()]*+\))[^()]*?(?:se[çc][ãa]o|\bp\.|\bp[áa]g)[^()]*+\)"
 
 
 def citations(reply: Column) -> Column:
     """The array of (section, page) cited, in order; what is missing of a pair is null."""
-    section, page = SECTION.replace("(\\d+(?:", "(?:\\d+(?:"), PAGE.replace("(\\d+)", "\\d+")
-    pair = section + r"\s*[,;–-]?\s*" + page
+    section, page = SECTION.replace(r"(\d++(?:", r"(?:\d++(?:"), PAGE.replace(r"(\d++)", r"\d++")
+    pair = section + r"\s*+(?:[,;–-]\s*+)?+" + page
     found = F.regexp_extract_all(reply, F.lit(rf"(?iu)((?:{pair})|(?:{section})|(?:(?<![\p{{L}}\p{{N}}_.]){page}))"), F.lit(1))
 
     def fields(c: Column) -> Column:
@@ -194,8 +215,8 @@ def without_citations(reply: Column) -> Column:
     """The reply without its citations, as it is compared with a reference answer."""
     t = F.regexp_replace(reply, rf"(?iu){IN_PARENTHESES}", " ")
     t = F.regexp_replace(t, rf"(?iu){PAIR}", " ")
-    t = F.regexp_replace(t, r"(?U)\s+([.,;:!?])", "$1")
-    return F.regexp_replace(F.regexp_replace(t, r"(?U)\s{2,}", " "), r"^[ \n\-–]+|[ \n\-–]+$", "")
+    t = F.regexp_replace(t, r"(?U)(?<!\s)\s++([.,;:!?])", "$1")
+    return F.regexp_replace(F.regexp_replace(t, r"(?U)\s{2,}+", " "), r"^[ \n\-–]++|(?<![ \n\-–])[ \n\-–]++$", "")
 
 
 def cites(citation: Column, section: Column, first_page: Column, last_page: Column) -> Column:
@@ -207,7 +228,8 @@ def cites(citation: Column, section: Column, first_page: Column, last_page: Colu
 
 def json_object(text: Column, schema: str) -> Column:
     """The object between the first and the last brace of a text, by schema; null where there is none or it is broken."""
-    found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    first, last = F.instr(text, "{"), F.length(text) - F.instr(F.reverse(text), "}") + 1
+    found = F.when((first > 0) & F.contains(text, F.lit("}")) & (last > first), F.substring(text, first, last - first + 1)).otherwise("")
     # as an array's only element: what follows the object is otherwise passed over
     listed = F.try_parse_json(F.concat(F.lit("["), found, F.lit("]")))
     whole = (found != "") & listed.isNotNull() & F.try_variant_get(listed, "$[1]", "string").isNull()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import composed
+
 
 def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -34,6 +36,6 @@ def bucket(token: Column, dimension: int) -> Column:
 
 
 def embedding_tokens(text: Column) -> Column:
-    """What the hash embedding counts: words of two characters or more, or the text itself if it has none."""
-    found = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1)
+    """What the hash embedding counts: words of two characters or more, composed, or the text itself if it has none."""
+    found = F.filter(F.split(F.lower(composed(text)), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1)
     return F.when(F.size(found) > 0, found).otherwise(F.array(text))

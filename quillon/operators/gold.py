@@ -5,6 +5,7 @@ Where an order must be random, rows are ordered by a seeded hash of their id, wh
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -173,25 +174,16 @@ def violations(items: DataFrame, order: str) -> DataFrame:
     return t.select("id", order, F.explode(found).alias("error"))
 
 
-def split_groups(sizes: list[tuple[str, int, int]], share: float, seed: int) -> set[str]:
+def split_groups(sizes: list[tuple[str, int, int]], share: float, seed: int, attempts: int = 200) -> set[str]:
     """The groups of the smaller split, from (group, items, unanswerable items).
 
     Groups in the order of a seeded hash are added while that brings the split's size closer to its share. Other seeds
     are tried until both splits have items, and unanswerable ones if there are any.
     """
-    import hashlib
-
-    if len(sizes) < 2:
-        raise UserError("a split needs two groups at least")
     goal = share * sum(n for _, n, _ in sizes)
     some = sum(u for _, _, u in sizes) > 0
-    for attempt in range(200):
-        order = sorted(sizes, key=lambda x: hashlib.md5(f"{seed + attempt}:{x[0]}".encode()).hexdigest())
-        chosen, n = set(), 0
-        for g, size, _ in order:
-            if abs(n + size - goal) < abs(n - goal):
-                chosen.add(g)
-                n += size
+    for attempt in range(attempts):
+        chosen = nearest_groups(sizes, goal, seed + attempt)
         inside = sum(u for g, _, u in sizes if g in chosen)
         outside = sum(u for g, _, u in sizes if g not in chosen)
         if 0 < len(chosen) < len(sizes) and (not some or (inside and outside)):
@@ -199,24 +191,39 @@ def split_groups(sizes: list[tuple[str, int, int]], share: float, seed: int) ->
     return set()
 
 
+def nearest_groups(sizes: list[tuple[str, int, int]], goal: float, seed: int) -> set[str]:
+    """Groups in the order of a seeded hash, each taken if that brings the sum of sizes closer to the goal."""
+    chosen, n = set(), 0
+    for g, size, _ in sorted(sizes, key=lambda x: hashlib.md5(f"{seed}:{x[0]}".encode()).hexdigest()):
+        if abs(n + size - goal) < abs(n - goal):
+            chosen.add(g)
+            n += size
+    return chosen
+
+
 def split(items: DataFrame, share: float = 0.3, seed: int = 42, group: str = "tema_id") -> DataFrame:
     """Adds ``split`` (dev or test): all items of a group are on one side.
 
-    Group sizes, not items, come to the driver. If no seed serves, only the unanswerable items, which have no evidence,
-    are dealt out by themselves.
+    Group sizes, not items, come to the driver. If no seed serves, the groups of answerable items are dealt out by the
+    first seed, and the unanswerable items, which have no evidence, by themselves; a side without items is an error.
     """
     flagged = items.withColumn("_u", (F.col("tipo") == UNANSWERABLE).cast("int")).withColumn("_g", F.coalesce(group, F.lit("")))
     sizes = [(r.g, r.n, r.u) for r in flagged.groupBy(F.col("_g").alias("g")).agg(F.count("*").alias("n"), F.sum("_u").alias("u")).collect()]
+    if len(sizes) < 2:
+        raise UserError("a split needs two groups at least")
     chosen = split_groups(sizes, share, seed)
     side = lambda c: F.when(c, "dev").otherwise("test")
     spark = items.sparkSession
     if chosen:
         marks = spark.createDataFrame([(g,) for g in sorted(chosen)], "_g string").withColumn("_dev", F.lit(True))
         return flagged.join(F.broadcast(marks), "_g", "left").withColumn("split", side(F.coalesce("_dev", F.lit(False)))).drop("_g", "_u", "_dev")
-    chosen = split_groups([(g, n - u, 0) for g, n, u in sizes if n > u], share, seed)
+    able = [(g, n - u, 0) for g, n, u in sizes if n > u]
+    chosen = nearest_groups(able, share * sum(n for _, n, _ in able), seed)
     marks = spark.createDataFrame([(g,) for g in sorted(chosen)], "_g string").withColumn("_dev", F.lit(True))
     n = sum(u for _, _, u in sizes)
     first = min(n - 1, max(1, round(share * n)))
+    if not (chosen or first > 0) or not (len(chosen) < len(able) or first < n):
+        raise UserError("no split with items on both sides")
     order = Window.partitionBy("_u").orderBy(shuffled(seed, F.col("id")))
     dealt = flagged.where("_u = 1").withColumn("_k", F.row_number().over(order)).withColumn("split", side(F.col("_k") <= first)).drop("_k")
     return flagged.where("_u = 0").join(F.broadcast(marks), "_g", "left").withColumn("split", side(F.coalesce("_dev", F.lit(False)))).drop("_dev").unionByName(dealt).drop("_g", "_u")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .gold import UNANSWERABLE
 
+#: Numbers that a bootstrap draws at once.
+DRAWN = 5_000_000
 
 def exact_match(answer: Column, reference: Column) -> Column:
     return (T.answer_text(answer) == T.answer_text(reference)).cast("int")
@@ -17,13 +19,36 @@ def exact_match(answer: Column, reference: Column) -> Column:
 
 def token_f1(answer: Column, reference: Column) -> Column:
     """F1 of the answers' words as multisets; two empty answers agree, one empty answer doesn't."""
-    pair = F.struct(T.words(T.answer_text(answer)).alias("p"), T.words(T.answer_text(reference)).alias("r"))
-    return F.transform(F.array(pair), lambda x: word_f1(x["p"], x["r"]))[0]  # bound once: each word would split the texts anew
+    return answer_scores(answer, reference)["f1"]
+
+
+def answer_scores(answer: Column, reference: Column) -> Column:
+    """(normalised, em, f1) of an answer: both texts are normalised once."""
+    pair = F.struct(T.answer_text(answer).alias("p"), T.answer_text(reference).alias("r"))
+    bound = F.transform(F.array(pair), lambda x: F.struct(x["p"].alias("normalised"), (x["p"] == x["r"]).cast("int").alias("em"), word_f1(T.words(x["p"]), T.words(x["r"])).alias("f1")))[0]
+    return F.when(answer.isNotNull() & reference.isNotNull(), bound)
+
+
+def numbered_words(words: Column) -> Column:
+    """Each word with the number of its place among its repeats: sets of these meet as multisets of words do.
+
+    In the sorted words, a word's repeats lie from the place where it begins to the place where the next one does.
+    """
+    def numbered(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda w, i: F.when((i == 0) | (F.get(s, i - 1) != w), i)), lambda i: i.isNotNull())
+        ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(s)))
+        return F.flatten(F.zip_with(starts, ends, lambda a, b: F.transform(F.sequence(F.lit(1), b - a), lambda k: F.concat_ws(" ", F.get(s, a), k.cast("string")))))
+
+    return F.transform(F.array(F.array_sort(words)), lambda s: F.when(F.size(s) > 0, numbered(s)).otherwise(s))[0]
 
 
 def word_f1(p: Column, r: Column) -> Column:
-    times = lambda words, w: F.size(F.filter(words, lambda x: x == w))
-    both = F.aggregate(F.array_distinct(p), F.lit(0), lambda s, w: s + F.least(times(p, w), times(r, w)))
+    bound = F.array(F.struct(p.alias("p"), r.alias("r")))
+    return F.transform(bound, lambda x: _f1(x["p"], x["r"]))[0]
+
+
+def _f1(p: Column, r: Column) -> Column:
+    both = F.size(F.array_intersect(numbered_words(p), numbered_words(r)))
     none = (F.size(p) == 0) | (F.size(r) == 0)
     return F.when(none, (F.size(p) == F.size(r)).cast("double")).when(both == 0, 0.0).otherwise(2.0 * both / (F.size(p) + F.size(r)))
 
@@ -94,16 +119,17 @@ def aggregated(rows: DataFrame, k: int = 5, perplexity: DataFrame | None = None)
     return out.join(F.broadcast(perplexity), "leitor", "left").select(*out.columns, "perplexidade")
 
 
-def with_bertscore(rows: DataFrame, score_fn, cache: DataFrame | None, model: str, layers: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with bertscore_f1 filled for answered, answerable ones, and the cache (key, value) with what was new.
+def _pair_keys(rows: DataFrame, model: str, layers: int) -> DataFrame:
+    key = F.sha2(F.concat_ws("|", F.lit(model), F.lit(str(layers)), "pred", "ref"), 256)
+    return rows.withColumn("key", F.when(F.col("answerable") & ~F.col("absteve"), key))
 
-    score_fn(predictions, references, model, layers) gives a number a pair; each distinct pair that the cache lacks is
-    scored once. The cache holds hashes, no text.
+
+def new_bertscores(rows: DataFrame, score_fn, cache: DataFrame | None, model: str, layers: int) -> DataFrame:
+    """(key, value) of the pairs of answered, answerable rows that the cache lacks, each distinct pair scored once.
+
+    score_fn(predictions, references, model, layers) gives a number a pair. The keys are hashes, no text is kept.
     """
-    key = F.sha2(F.concat_ws("|", F.lit(model), F.lit(str(layers)), "pred", "ref"), 256)
-    wanted = F.col("answerable") & ~F.col("absteve")
-    keyed = rows.withColumn("key", F.when(wanted, key))
-    new = keyed.where("key is not null").select("key", "pred", "ref").dropDuplicates(["key"])
+    new = _pair_keys(rows, model, layers).where("key is not null").select("key", "pred", "ref").dropDuplicates(["key"])
     if cache is not None:
         new = new.join(cache.select("key"), "key", "left_anti")
 
@@ -111,9 +137,24 @@ def with_bertscore(rows: DataFrame, score_fn, cache: DataFrame | None, model: st
         for f in frames:
             yield pd.DataFrame({"key": f["key"], "value": np.asarray(score_fn(f["pred"].tolist(), f["ref"].tolist(), model, layers), float)})
 
-    found = new.mapInPandas(run, "key string, value double")
+    return new.mapInPandas(run, "key string, value double")
+
+
+def with_bertscore(rows: DataFrame, score_fn, cache: DataFrame | None, model: str, layers: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with bertscore_f1 filled for answered, answerable ones, and the cache (key, value) with what was new."""
+    found = new_bertscores(rows, score_fn, cache, model, layers)
     values = found if cache is None else cache.select("key", "value").unionByName(found)
-    return keyed.join(values, "key", "left").withColumn("bertscore_f1", F.coalesce("value", "bertscore_f1")).drop("key", "value"), values
+    return _filled(rows, values, model, layers), values
+
+
+def with_stored_bertscore(rows: DataFrame, score_fn, cache: DataFrame | None, path: str, model: str, layers: int) -> DataFrame:
+    """The same with the cache as a table: what is new is appended to it, and the rows are filled from the table."""
+    new_bertscores(rows, score_fn, cache, model, layers).write.mode("append").parquet(path)
+    return _filled(rows, rows.sparkSession.read.parquet(path), model, layers)
+
+
+def _filled(rows: DataFrame, values: DataFrame, model: str, layers: int) -> DataFrame:
+    return _pair_keys(rows, model, layers).join(values, "key", "left").withColumn("bertscore_f1", F.coalesce("value", "bertscore_f1")).drop("key", "value")
 
 
 def bootstrap(values, n: int = 1000, seed: int = 42, alpha: float = 0.05) -> tuple[float, float, float]:
@@ -121,7 +162,9 @@ def bootstrap(values, n: int = 1000, seed: int = 42, alpha: float = 0.05) -> tup
     v = np.asarray(values, float)
     if not v.size:
         return (float("nan"),) * 3
-    means = v[np.random.default_rng(seed).integers(0, v.size, (n, v.size))].mean(1)
+    draw, step = np.random.default_rng(seed), max(1, DRAWN // v.size)
+    # the same numbers as in one draw of n rows, but only so many of them at once
+    means = np.concatenate([v[draw.integers(0, v.size, (min(step, n - at), v.size))].mean(1) for at in range(0, n, step)])
     low, high = np.percentile(means, [100 * alpha / 2, 100 * (1 - alpha / 2)])
     return float(v.mean()), float(low), float(high)
 

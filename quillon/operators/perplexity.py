@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import shutil
 import subprocess
 from pathlib import Path
 
@@ -26,6 +27,17 @@ def measure(program: str, weights: str, text: str, context: int = 2048, timeout:
     return parse(done.stdout + done.stderr)
 
 
+def stored_weights(model: str, program: str = "ollama") -> str:
+    """The weights' file of a model that the local server has: the first existing file that its model file is made FROM."""
+    if not (found := shutil.which(program)):
+        raise UserError(f"{program} isn't installed; name the weights' file")
+    shown = subprocess.run([found, "show", "--modelfile", model], capture_output=True, text=True, check=False)
+    names = [line.split(None, 1)[1].strip() for line in shown.stdout.splitlines() if re.match(r"FROM\s+\S", line)]
+    if shown.returncode or not (files := [n for n in names if Path(n).is_file()]):
+        raise UserError(f"{program} has no weights' file of {model}")
+    return files[0]
+
+
 def latest(runs: str, chosen: str | None = None) -> Path | None:
     """The chosen result file, or that of the lexically last run, or None."""
     if chosen is not None:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import argparse
 import importlib.metadata
+import importlib.util
 import json
 import logging
 import platform
+import socket
 import sys
 from pathlib import Path
 
@@ -19,6 +21,10 @@ from ..operators import retrieval as R
 from ..sources import readers, writers
 from . import config as C
 from . import jobs
+from . import prompts as P
+
+
+VERSION = "0.2"
 
 
 def session() -> SparkSession:
@@ -30,7 +36,7 @@ def client_maker(c):
     host, timeout, dimension = c["ollama"]["host"], c["ollama"]["timeout_s"], c["denso"]["dimensao"]
     if host.endswith("://hash"):
         return lambda: models.HashClient(dimension, models=C.plain(c)["modelos"].values())
-    models.local_url(host)
+    models.local_address(host)
     return lambda: models.HttpClient(host, timeout)
 
 
@@ -93,24 +99,31 @@ def cmd_recuperar(a, c) -> None:
 
 
 def cmd_perguntar(a, c) -> None:
+    if (a.pergunta is None) == (a.arquivo is None):
+        raise UserError("either --pergunta or --arquivo is needed")
     spark = session()
-    asked = spark.createDataFrame([("u001", a.pergunta)], "q_id string, text string") if a.pergunta else readers.read_questions(spark, str(readers.require_file(a.arquivo, (".txt",))))
+    asked = spark.createDataFrame([("u001", a.pergunta)], "q_id string, text string") if a.pergunta is not None else readers.read_questions(spark, str(readers.require_file(a.arquivo, (".txt",))))
     make = client_maker(c)
     models.require_models(make(), [C.reader_model(c, a.leitor)])
     index = jobs.Index(spark, c, dense=C.MODES[c["retriever"]] in ("dense", "hybrid")) if c["retriever"] != "nenhum" else None
     run_id = writers.new_run_id(c["nome"], a.leitor)
     home = f"{c['paths']['runs_dir']}/{run_id}"
     writers.write_json({"run_id": run_id, "criado_em": writers.now_iso(), "leitor": a.leitor, "config": C.plain(c)}, f"{home}/config.json")
-    writers.write_jsonl(jobs.ask(asked.withColumn("kind", F.lit(None).cast("string")), c, index, make, a.leitor, run_id), f"{home}/respostas")
+    writers.write_jsonl(jobs.ask(asked.withColumn("kind", F.lit(None).cast("string")), c, index, make, a.leitor, run_id, P.load(a.modelos_de_texto)), f"{home}/respostas")
     for r in readers.read_jsonl(spark, f"{home}/respostas", readers.RESPONSE).orderBy("q_id").collect():
         print(f"{r.q_id}: {r.resposta}  [{', '.join(x.id for x in r.recuperadas)}] source {'valid' if r.fonte_valida else 'not valid'}, {r.latencia_s:.1f} s")
     print(home)
 
 
+def _chunks(spark, a, c):
+    """Those of a file of lines, or of the index."""
+    return readers.read_chunks(spark, a.trechos) if a.trechos else spark.read.parquet(f"{c['paths']['index_dir']}/chunks")
+
+
 def cmd_gerar_perguntas(a, c) -> None:
     spark = session()
     out = unwritten(a.saida, a.forcar)
-    made, stats = jobs.candidates(spark.read.parquet(f"{c['paths']['index_dir']}/chunks"), c, client_maker(c), a.n)
+    made, stats = jobs.candidates(_chunks(spark, a, c), c, client_maker(c), a.n, P.load(a.modelos_de_texto))
     writers.write_jsonl(made, out)
     print(json.dumps(stats.first().asDict()))
 
@@ -118,7 +131,7 @@ def cmd_gerar_perguntas(a, c) -> None:
 def cmd_exportar_revisao(a, c) -> None:
     spark = session()
     cands = readers.read_jsonl(spark, a.candidatas, readers.GOLD + ", trecho_origem string")
-    writers.write_review(gold.review_table(cands, spark.read.parquet(f"{c['paths']['index_dir']}/chunks")), unwritten(a.saida, a.forcar))
+    writers.write_review(gold.review_table(cands, _chunks(spark, a, c)), unwritten(a.saida, a.forcar))
 
 
 def cmd_importar_revisao(a, c) -> None:
@@ -138,19 +151,20 @@ def cmd_importar_revisao(a, c) -> None:
 def cmd_perplexidade(a, c) -> None:
     text = str(readers.require_file(a.texto or c["paths"]["ppl_holdout"], (".txt",)))
     context = a.ctx if a.ctx is not None else c["avaliacao"]["ppl_ctx"]
-    found = {r: perplexity.measure(a.binario, w, text, context) for r, w in (("base", a.gguf_base), ("ajustado", a.gguf_ajustado))}
+    weights = {r: perplexity.stored_weights(C.reader_model(c, r)) if w == "ollama" else w for r, w in (("base", a.gguf_base), ("ajustado", a.gguf_ajustado))}
+    found = {r: perplexity.measure(a.binario, w, text, context) for r, w in weights.items()}
     run_id = writers.new_run_id("perplexidade")
     home = f"{c['paths']['runs_dir']}/{run_id}"
-    writers.write_json({"run_id": run_id, "criado_em": writers.now_iso(), "ctx": context, "perplexidade": found, "texto": text, "texto_sha256": jobs.file_digest(text), "gguf": {"base": a.gguf_base, "ajustado": a.gguf_ajustado}}, f"{home}/perplexidade.json")
+    writers.write_json({"run_id": run_id, "criado_em": writers.now_iso(), "ctx": context, "perplexidade": found, "texto": text, "texto_sha256": jobs.file_digest(text), "gguf": weights}, f"{home}/perplexidade.json")
     print(json.dumps(found))
 
 
 def cmd_avaliar(a, c) -> None:
     base = [a.config, a.sobrescrever]
     configs = [C.load(*base, n, name=n) for n in a.configs or c["avaliacao"]["configs"]]
-    home, table, gains = jobs.evaluate(session(), a.gold, configs, a.leitores or list(c["avaliacao"]["leitores"]), client_maker(c), a.repeticoes or c["avaliacao"]["repeticoes"], a.retomar, a.limite, None, a.perplexidade)
+    home, table, gains = jobs.evaluate(session(), a.gold, configs, a.leitores or list(c["avaliacao"]["leitores"]), client_maker(c), a.repeticoes or c["avaliacao"]["repeticoes"], a.retomar, a.limite, None, a.perplexidade, P.load(a.modelos_de_texto))
     for df in (table, gains):
-        writers.rounded(df, 3).show(100, False)
+        print(writers.markdown(df))
     print(home)
 
 
@@ -171,17 +185,30 @@ def cmd_smoke(a, c) -> int:
     item([r.id for r in R.LexicalIndex.build(docs).search(asked).collect()] == ["t2"], "lexical search")
     eye = spark.createDataFrame([(i, [float(i == j) for j in range(4)]) for i in range(4)], "id long, vec array<float>")
     item(R.nearest(eye.where("id = 2").withColumnRenamed("id", "q_id"), eye, 1).first().id == 2, "vector search")
+    if a.sem_rede:
+        item(not _reaches_out(), "no way out to other machines")
     try:
         client = client_maker(c)()
         for m in C.plain(c)["modelos"].values():
-            item(models.is_available(m, client.available()), f"model {m}")
+            item(not models.missing_models([m], client.available()), f"model {m}")
         v = client.embed(c["modelos"]["embeddings"], ["x"])
         item(len(v[0]) == c["denso"]["dimensao"], f"{len(v[0])} dimensions")
     except UserError as e:
         item(False, str(e))
+    if not a.sem_bertscore:
+        item(importlib.util.find_spec("bert_score") is not None, "package bert_score (--sem-bertscore leaves it out)")
     return int(failed > 0)
 
 
+def _reaches_out(timeout: float = 2) -> bool:
+    """Whether a connection to a machine outside can be opened (an address of a public name service)."""
+    try:
+        socket.create_connection(("1.1.1.1", 53), timeout).close()
+    except OSError:
+        return False
+    return True
+
+
 def cmd_stats(a, c) -> None:
     f = Path(c["paths"]["index_dir"], "manifest.json")
     if not f.is_file():
@@ -191,33 +218,37 @@ def cmd_stats(a, c) -> None:
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="quillon")
+    top.add_argument("--version", action="version", version=f"%(prog)s {VERSION}")
     sub = top.add_subparsers(dest="command", required=True)
 
     def command(name: str, run, *arguments) -> None:
         p = sub.add_parser(name)
         p.add_argument("--config")
         p.add_argument("--sobrescrever")
+        p.add_argument("-v", "--verbose", action="store_true")
         for flags, options in arguments:
             p.add_argument(*flags.split(), **options)
         p.set_defaults(run=run)
 
     need, flag, whole = {"required": True}, {"action": "store_true"}, {"type": int}
+    templates = ("--modelos-de-texto", {"help": "folder of prompt templates"})
+    readers_ = {"choices": C.READERS}
     command("indexar", cmd_indexar, ("--manual", need), ("--reservar-ppl", whole), ("--max-tokens", whole), ("--sobreposicao-paragrafos", whole), ("--permitir-pasta-sincronizada", flag))
     command("recuperar", cmd_recuperar, ("--modo", {"choices": list(C.MODES), "default": "hibrido"}), ("--pergunta", need), ("--k", whole))
-    command("perguntar", cmd_perguntar, ("--config-exp", {"default": "S3"}), ("--leitor", {"default": "base"}), ("--pergunta", {}), ("--arquivo", {}))
-    command("gerar-perguntas", cmd_gerar_perguntas, ("--n", whole), ("--saida", {"default": "data/gold_candidatas.jsonl"}), ("--forcar", flag))
-    command("exportar-revisao", cmd_exportar_revisao, ("--candidatas", {"default": "data/gold_candidatas.jsonl"}), ("--saida", {"default": "data/gold_revisao.csv"}), ("--forcar", flag))
+    command("perguntar", cmd_perguntar, ("--config-exp", {"default": "S3"}), ("--leitor", {"default": "base"} | readers_), ("--pergunta", {}), ("--arquivo", {}), templates)
+    command("gerar-perguntas", cmd_gerar_perguntas, ("--n", whole), ("--trechos", {}), ("--saida", {"default": "data/gold_candidatas.jsonl"}), ("--forcar", flag), templates)
+    command("exportar-revisao", cmd_exportar_revisao, ("--candidatas", {"default": "data/gold_candidatas.jsonl"}), ("--trechos", {}), ("--saida", {"default": "data/gold_revisao.csv"}), ("--forcar", flag))
     command("importar-revisao", cmd_importar_revisao, ("--csv", need), ("--dividir", flag), ("--reservar-ppl", whole), ("--forcar", flag))
     command("perplexidade", cmd_perplexidade, ("--binario", need), ("--gguf-base", need), ("--gguf-ajustado", need), ("--texto", {}), ("--ctx", whole))
-    command("avaliar", cmd_avaliar, ("--gold", need), ("--configs", {"nargs": "+"}), ("--leitores", {"nargs": "+"}), ("--repeticoes", whole), ("--retomar", {}), ("--limite", whole), ("--perplexidade", {}))
-    command("smoke", cmd_smoke)
+    command("avaliar", cmd_avaliar, ("--gold", need), ("--configs", {"nargs": "+"}), ("--leitores", {"nargs": "+"} | readers_), ("--repeticoes", whole), ("--retomar", {}), ("--limite", whole), ("--perplexidade", {}), templates)
+    command("smoke", cmd_smoke, ("--sem-rede", flag), ("--sem-bertscore", flag))
     command("stats", cmd_stats)
     return top
 
 
 def main(arguments: list[str] | None = None) -> int:
     a = parser().parse_args(arguments)
-    logging.basicConfig(level=logging.WARNING, format="%(levelname)s %(message)s")
+    logging.basicConfig(level=logging.INFO if a.verbose else logging.WARNING, format="%(levelname)s %(message)s")
     try:
         changes = {k: v for k, v in (("max_tokens", getattr(a, "max_tokens", None)), ("sobreposicao_paragrafos", getattr(a, "sobreposicao_paragrafos", None))) if v is not None}
         c = C.load(a.config, a.sobrescrever, getattr(a, "config_exp", None), {"trechos": changes} if changes else None, name=getattr(a, "config_exp", None))

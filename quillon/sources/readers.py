@@ -36,17 +36,26 @@ def require_file(path: str, suffixes: tuple[str, ...] = ()) -> Path:
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
     """One object a line by a fixed schema. Broken lines, lines that are no objects and rows without a required field
-    are errors, found in one pass over the file; blank lines are skipped."""
-    lines = spark.read.text(path).where(T.strip(F.col("value")) != "")
-    parsed = lines.select("value", F.from_json("value", _with_corrupt(spark, schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("o"), F.substring(T.strip(F.col("value")), 1, 1).alias("_c"))
+    are errors, found in one pass over the file and told with their line numbers; blank lines are skipped."""
+    # a place in the scan; it is made a line number only if there is something to tell
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at")).where(T.strip(F.col("value")) != "")
+    parsed = lines.select("value", "_file", "_at", F.from_json("value", _with_corrupt(spark, schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("o"), F.substring(T.strip(F.col("value")), 1, 1).alias("_c"))
     bad = F.col("o").isNull() | F.col("o._corrupt").isNotNull() | (F.col("_c") != "{")
     lacking = F.concat_ws(", ", *(F.when(F.col(f"o.{c}").isNull(), F.lit(c)) for c in required))
-    wrong = parsed.select(F.when(bad, F.concat(F.lit("broken line: "), F.substring("value", 1, 80))).when(lacking != "", F.concat(F.lit("missing: "), lacking)).alias("e")).where("e is not null").limit(5).collect()
+    wrong = parsed.select(F.when(bad, F.concat(F.lit("broken line: "), F.substring("value", 1, 80))).when(lacking != "", F.concat(F.lit("missing: "), lacking)).alias("e"), "_file", "_at").where("e is not null").limit(5).collect()
     if wrong:
-        raise UserError(f"{path}: " + "; ".join(r.e for r in wrong))
+        raise UserError("; ".join(f"{r._file.rsplit('/', 1)[-1]}, line {line_number(spark, path, r._file, r._at)}: {r.e}" for r in wrong))
     return parsed.select("o.*").drop("_corrupt")
 
 
+def line_number(spark: SparkSession, path: str, file: str, at: int) -> int:
+    """The number, from 1, of the line at a place of the scan, within its file."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"), F.col("_metadata.file_block_start").alias("_begin"))
+    own = lines.where(F.col("_file") == file)
+    begin = own.where(F.col("_at") == at).first()["_begin"]
+    return own.where((F.col("_begin") < begin) | ((F.col("_begin") == begin) & (F.col("_at") <= at))).count()
+
+
 def _with_corrupt(spark: SparkSession, schema: str) -> StructType:
     return StructType.fromDDL(schema).add("_corrupt", "string")
 

@@ -68,3 +68,17 @@ def summary_json(df: DataFrame) -> list[str]:
 def plot_data(metrics: DataFrame) -> DataFrame:
     """(config, leitor, metrica, valor) of the bars that compare readers."""
     return metrics.select("config", "leitor", F.expr("stack(3, 'em', em, 'f1_tokens', f1_tokens, 'bertscore_f1', bertscore_f1) as (metrica, valor)"))
+
+
+def recall_plot_data(metrics: DataFrame, k: int = 5) -> DataFrame:
+    """(config, leitor, metrica, valor) of the bars that compare what retrieval finds; readings without retrieval have none."""
+    bars = metrics.select("config", "leitor", F.expr(f"stack(2, 'recall_at_{k}', recall_at_{k}, 'mrr_at_{k}', mrr_at_{k}) as (metrica, valor)"))
+    return bars.where("valor is not null")
+
+
+def markdown(df: DataFrame, digits: int = 3) -> str:
+    """A small table as people read it; null is a dash."""
+    shown = rounded(df, digits)
+    cell = lambda v: "-" if v is None else str(v).replace("|", "\\|")
+    rows = [shown.columns, ["-"] * len(shown.columns), *([cell(v) for v in r] for r in shown.collect())]
+    return "\n".join(f"| {' | '.join(r)} |" for r in rows) + "\n"

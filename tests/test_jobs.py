@@ -1,14 +1,13 @@
 """Configuration, files, and whole jobs with the stand-in client."""
 
 import json
-import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.errors import UserError
 from quillon.operators import models
-from quillon.plans import cli, jobs
+from quillon.plans import cli, jobs, prompts
 from quillon.plans import config as C
 from quillon.sources import readers, writers
 from quillon.streaming import responses
@@ -17,15 +16,14 @@ FRASE = "Não encontrado no manual."
 
 
 def reader(model, prompt):
-    """The passage's sentence that shares most words with the question, with its source."""
-    question = set(re.findall(r"\w{3,}", prompt.rsplit("Pergunta:", 1)[-1].lower()))
-    best, points = FRASE, 1
-    for section, page, text in re.findall(r"^\[\d+\] \(seção (.+?), p\. (\d+)\) (.*)$", prompt, re.M):
-        for sentence in re.split(r"(?<=[.!?])\s+", text):
-            n = len(question & set(re.findall(r"\w{3,}", sentence.lower())))
-            if n > points:
-                best, points = f"{sentence.rstrip('.')} (seção {section}, p. {page}).", n
-    return best
+    """Quotes the passage that has a number and a word of five letters or more of the question, and names its source."""
+    told, _, asked = prompt.rpartition("Pergunta: ")
+    wanted = {w.strip("?.,") for w in asked.lower().split() if len(w) > 4}
+    for passage in told.split("\n\n"):
+        source, _, text = passage.partition(") ")
+        if "(seção " in source and wanted & set(text.lower().split()) and any(c.isdigit() for c in text):
+            return f"{text.strip().removesuffix('.')} {source[source.index('('):]})."
+    return FRASE
 
 
 @pytest.fixture(scope="module")
@@ -131,6 +129,9 @@ def test_readers(spark, tmp_path):
     (tmp_path / "e.txt").write_text("#\n")
     with pytest.raises(UserError):
         readers.read_questions(spark, str(tmp_path / "e.txt"))
+    (tmp_path / "lines.jsonl").write_text('{"id": "a"}\n\n{"id": "b"}\n{broken\n')
+    with pytest.raises(UserError, match="lines.jsonl, line 4: broken"):
+        readers.read_jsonl(spark, str(tmp_path / "lines.jsonl"), "id string", ("id",))
     for n, text in enumerate(('{"id": "a"}\n{broken\n', '["a"]\n', '{"id": null}\n', '{"x": 1}\n')):
         f = tmp_path / f"{n}.jsonl"
         f.write_text(text)
@@ -177,7 +178,10 @@ def test_command_line(spark, made, tmp_path, capsys, monkeypatch):
         assert cli.main(["recuperar", "--modo", mode, "--pergunta", "carga liberada horas", "--k", "2", *base]) == 0
     assert "t0003" in capsys.readouterr().out
     assert cli.main(["perguntar", "--config-exp", "S1", "--pergunta", "carga?", *base]) == 0
-    assert cli.main(["stats", *base]) == 0 and cli.main(["smoke", *base]) == 0
+    assert cli.main(["perguntar", *base]) == 2 and cli.main(["perguntar", "--pergunta", "a", "--arquivo", "b", *base]) == 2
+    assert cli.main(["stats", *base]) == 0 and cli.main(["smoke", "--sem-bertscore", "-v", *base]) == 0
+    with pytest.raises(SystemExit):
+        cli.main(["--version"])
     assert cli.main(["stats", "--config", "none.yaml"]) == 2
     assert cli.main(["recuperar", "--modo", "bm25", "--pergunta", "x", "--k", "0", *base]) == 2
     monkeypatch.setenv("OLLAMA_HOST", "http://example.com")
@@ -209,3 +213,21 @@ def test_stream_latency(spark, tmp_path):
 
 def test_synced_folders():
     assert jobs.synced_folder("/home/x/Dropbox/y") == "Dropbox" and jobs.synced_folder("/data/y") is None
+
+
+def test_templates(tmp_path):
+    assert all(prompts.checked(n, t) == t for n, t in prompts.DEFAULTS.items())
+    (tmp_path / "reader_alone.txt").write_text("{{P}}: {pergunta}", encoding="utf-8")
+    assert prompts.load(str(tmp_path))["reader_alone"] == "{{P}}: {pergunta}" and prompts.load(str(tmp_path))["reader"] == prompts.DEFAULTS["reader"]
+    for wrong in ("no field", "{pergunta} {other}", "{pergunta"):
+        (tmp_path / "reader_alone.txt").write_text(wrong)
+        with pytest.raises(UserError):
+            prompts.load(str(tmp_path))
+    with pytest.raises(UserError):
+        prompts.load(str(tmp_path / "none"))
+
+
+def test_recall_bars_and_markdown(spark):
+    t = spark.createDataFrame([("S1", "base", 0.5, 0.25), ("S0", "base", None, None)], "config string, leitor string, recall_at_5 double, mrr_at_5 double")
+    assert sorted(map(tuple, writers.recall_plot_data(t).collect())) == [("S1", "base", "mrr_at_5", 0.25), ("S1", "base", "recall_at_5", 0.5)]
+    assert writers.markdown(t.limit(1)).splitlines()[2] == "| S1 | base | 0.5 | 0.25 |"

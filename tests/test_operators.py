@@ -298,10 +298,10 @@ def test_generation_tries_three_seeds(spark):
 
 
 def test_clients():
-    assert models.local_url("localhost:11434/") == "http://localhost:11434"
+    assert models.local_address("localhost:11434/").port == 11434 and models.local_address("http://[::1]:1").hostname == "::1"
     with pytest.raises(UserError):
-        models.local_url("http://example.com")
-    assert models.is_available("m", ["m:latest"]) and not models.is_available("m:1", ["m:2"])
+        models.local_address("http://example.com")
+    assert models.missing_models(["m", "m:1"], ["m:latest", "m:2"]) == ["m:1"]
     with pytest.raises(ModelError):
         models.require_models(models.HashClient(), ["other"])
     with pytest.raises(ModelError):

@@ -159,3 +159,58 @@ def test_vectors(spark):
     assert [r.x for r in df.select(V.l2_normalised(F.col("v")).alias("x")).collect()] == [[0.6, 0.8], [0.0, 0.0]]
     with pytest.raises(Exception, match="expected 3 dimensions"):
         df.select(V.checked_dimension(F.col("v"), 3)).collect()
+
+
+def test_all_that_composition_changes_is_sent_to_it():
+    import unicodedata
+
+    import regex
+
+    pattern = regex.compile(regex.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), T.UNCOMPOSED))
+    chars = [chr(c) for c in range(0x300, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    missed = [c for c in chars if (unicodedata.combining(c) or unicodedata.normalize("NFC", c) != c or 0x1161 <= ord(c) <= 0x1175 or 0x11A8 <= ord(c) <= 0x11C2) and not pattern.match(c)]
+    assert not missed
+    assert all(unicodedata.normalize("NFC", chr(c)) == chr(c) for c in range(0x300))
+
+
+@pytest.mark.parametrize("form", ["NFC", "NFD"])
+def test_composed_and_decomposed_texts_are_the_same(ev, form):
+    import unicodedata
+
+    text = unicodedata.normalize(form, "Liberação da carga; água, 각")
+    assert ev(T.tokens, text) == ["liberação", "da", "carga", "água"]
+    assert ev(lambda a, b: M.exact_match(a, b), text, "liberação da carga água 각") == 1
+    assert ev(lambda a, b: M.token_f1(a, b), text, "liberação da carga água 각") == 1.0
+    assert ev(V.embedding_tokens, text) == ["liberação", "da", "carga", "água"]
+    assert models.hash_vector(text, 64).tolist() == models.hash_vector("liberação da carga; água, 각", 64).tolist()
+    assert ev(lambda c: T.clean(c, compose=True), text) == unicodedata.normalize("NFC", text)
+
+
+N = 100_000
+
+
+@pytest.mark.parametrize(
+    ("expression", "text", "value"),
+    [
+        (T.is_contents_line, "." * N + "x", False),
+        (T.is_contents_line, ". " * N + "17", True),
+        (T.is_contents_line, "…" * N, False),
+        (T.is_contents_line, "1 " * N, False),
+        (lambda c: F.size(T.citations(c)), "seção 1" + ".1" * N, 1),
+        (lambda c: F.size(T.citations(c)), "seção" + " " * N + "x", 0),
+        (lambda c: F.size(T.citations(c)), "p." + " " * N + "{" + " " * N + "3", 1),
+        (lambda c: F.size(T.citations(c)), "seção 1, " * 10_000, 10_000),
+        (lambda c: F.length(T.without_citations(c)), "(seção 1" + ".1" * N + ", p. 3)", 0),
+        (lambda c: F.length(T.without_citations(c)), "(seção " * N, 7 * N - 1),
+        (lambda c: F.length(T.without_citations(c)), "a" + " " * N + "b" + "-" * N + "c", N + 4),
+        (lambda c: F.length(T.strip(c)), "a" + " " * N + "b", N + 2),
+        (lambda c: F.length(T.clean(c)), "a-" + " " * N + "b" + " " * N + "\n" + " " * N + "c", 6),
+        (lambda c: F.length(T.without_thinking(c)), "<think>" * N, 0),
+        (lambda c: T.json_object(c, "a int").isNull(), "{" * N, True),
+        (lambda c: T.json_object(c, "a int").isNull(), "}" * N + "{" * N, True),
+        (lambda c: T.json_object(c, "a int")["a"], "x" * N + '{"a": 3}' + "y" * N, 3),
+        (lambda c: T.title_number(c).isNull(), "1" + ".1" * N + " A", True),
+    ],
+)
+def test_long_texts_neither_crash_nor_stall(ev, expression, text, value):
+    assert ev(expression, text) == value
