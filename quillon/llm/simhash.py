@@ -14,8 +14,8 @@ Fingerprints, links and components stay distributed. Null text is the empty text
 zero and are linked like any other. Rows with a null id are fingerprinted but have no component (null). Repeated rows
 give repeated results. Empty tables give empty results. Only id and text are read.
 
-The pipeline's stage (``keep_one``) doesn't trust fingerprints: it links documents by the likeness of their whole texts'
-shingle sets, of which MinHash bands find the candidates.
+The pipeline's stage (``keep_one``) can't use fingerprints: most edited copies differ in more bits than small balls
+reach. It links documents by the likeness of their whole texts' shingle sets, of which MinHash bands find the candidates.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, raw_texts, read
+from .common import cut, join_classes, map_rows, raw_texts, read
 from .components import components
 
 SEED = 42
@@ -135,14 +135,14 @@ def near_duplicates(docs: DataFrame, distance: int = 2, width: int = 3, id_col:
     own = classes.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = own.groupBy("root").agg(F.min("first").alias("component_id"))
     named = own.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return join_classes(marked, named, "fp", "inner").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 #: Near-copies share at least this part (Jaccard) of their distinct shingles of SHINGLE words.
 LIKENESS, SHINGLE = 0.8, 5
 #: Bands of BAND least hashes each. Of pairs at a likeness of 0.8 all but (1 - 0.8^4)^24 = 3 in a million share a band.
 BANDS, BAND = 24, 4
-#: Documents up to which a group of candidates is compared whole; those of larger ones are compared band by band.
+#: Documents up to which a group of candidates is compared whole; larger ones are dealt into blocks.
 GROUP = 2000
 FACTORS = np.random.default_rng(SEED).integers(2**63, size=(BANDS * BAND, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -209,13 +209,61 @@ def verified(sets: list[np.ndarray], least: float = LIKENESS) -> list[int]:
     return root.tolist()
 
 
+SIGNED = pa.schema([("first", pa.int64()), ("groups", pa.list_(pa.int64())), ("signs", pa.binary())])
+
+
+def _compared(keyed: DataFrame, source: DataFrame) -> DataFrame:
+    """(grp, a, b): for each member (first, h, grp) of a group the least id that it reaches over likenesses inside it."""
+    asked = keyed.groupBy("first", "h").agg(F.collect_set("grp").alias("groups"))
+    candidates = source.withColumnRenamed("doc_id", "first").join(asked, ["first", "h"]).select("first", "groups", "text")
+
+    def signed(batch: pa.RecordBatch) -> dict[str, list]:
+        return {c: batch.column(c).to_pylist() for c in ("first", "groups")} | {"signs": [shingles(t).tobytes() for t in raw_texts(batch)]}
+
+    def held(found: pa.Table) -> pa.Table:
+        ids = sorted(range(found.num_rows), key=(first := found.column("first").to_pylist()).__getitem__)
+        signs = found.column("signs")
+        root = verified([np.frombuffer(signs[i].as_buffer(), np.uint64) for i in ids])
+        own = pa.array([found.column("grp")[0].as_py()] * len(ids), pa.int64())
+        return pa.table({"grp": own, "a": pa.array([first[i] for i in ids], pa.int64()), "b": pa.array([first[ids[r]] for r in root], pa.int64())})
+
+    sent = map_rows(candidates, SIGNED, signed).select("first", F.explode("groups").alias("grp"), "signs")
+    return sent.dropDuplicates(["first", "grp"]).groupBy("grp").applyInArrow(held, "grp bigint, a bigint, b bigint")
+
+
+def _in_blocks(met: DataFrame, source: DataFrame, group: int) -> DataFrame:
+    """(a, b): links among the members of bands, rows (band, first, h, least, n), of which some have more than ``group``.
+
+    Such a band is dealt into blocks, and its least member goes into each of them. Members that reach it inside their
+    block are one component already; only the others are held against all blocks, in blocks of their own. So no task
+    holds more than twice ``group`` documents, and a band of copies of one document costs each of them one comparison.
+    """
+    count = F.ceil(F.col("n") / group).cast("int")
+    dealt = met.withColumn("count", count).withColumn("block", F.pmod(F.xxhash64("first"), F.col("count")).cast("int"))
+    every = F.when(F.col("first") == F.col("least"), F.sequence(F.lit(0), F.col("count") - 1)).otherwise(F.array("block"))
+    dealt = cut(dealt)
+    keyed = dealt.select("first", "h", "band", F.explode(every).alias("block")).select("first", "h", F.xxhash64("band", "block").alias("grp"))
+    inside = cut(_compared(keyed, source))
+    left = dealt.where("count > 1").withColumn("grp", F.xxhash64("band", "block")).join(inside.withColumnRenamed("a", "first"), ["grp", "first"]).where("b <> least")
+    left = cut(left.select("band", "first", "h", "count"))
+    links = inside.select("a", "b")
+    if left.isEmpty():
+        return links
+    rows = left.groupBy("band").agg(F.ceil(F.count("*") / group).cast("int").alias("own"))
+    own = left.join(rows, "band").withColumn("u", F.pmod(F.xxhash64("first", F.lit(1)), F.col("own")).cast("int"))
+    others = dealt.join(rows, "band").select("first", "h", "band", "block", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("u"))
+    asking = own.select("first", "h", "band", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("block"), "u")
+    keyed = others.unionByName(asking).select("first", "h", F.xxhash64("band", "block", "u").alias("grp"))
+    return links.unionByName(_compared(keyed, source).select("a", "b"))
+
+
 def near_copies(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """(doc_id, component_id) of documents that copy one another, edited ones included.
 
     Two documents are linked if their sets of five-word shingles, those of the whole texts, have a Jaccard index of 0.8
     or more. Documents that share a MinHash band are only candidates: groups of them (one document for each distinct
-    set) are held against each other on the sets themselves. A group goes to one task, or, if it has more than ``group``
-    documents, each of its bands does. Rows with a null id are left out.
+    set) are held against each other on the sets themselves. A group of up to ``group`` documents goes to one task, a
+    larger one band by band, and those bands in blocks of that size. Rows with a null id are left out.
     """
     text = F.col("text").cast("string")
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).where("doc_id is not null")
@@ -229,30 +277,19 @@ def near_copies(docs: DataFrame, group: int = GROUP) -> DataFrame:
     marked = cut(map_rows(source, schema, make))
     # a set is found in the document of the least id that has it
     classes = cut(marked.groupBy("set_id").agg(F.min(F.struct("doc_id", "h")).alias("x"), F.first("bands").alias("bands")).select("set_id", F.col("x.doc_id").alias("first"), F.col("x.h").alias("h"), "bands"))
-    same = marked.select("doc_id", "set_id").join(classes.select("set_id", "first"), "set_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b")
+    same = join_classes(marked.select("doc_id", "set_id"), classes.select("set_id", "first"), "set_id", "inner").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b")
 
     listed = classes.select("first", "h", F.explode("bands").alias("band"))
-    shared = listed.groupBy("band").agg(F.min("first").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
-    met = cut(listed.join(shared, "band"))
+    shared = listed.groupBy("band").agg(F.min("first").alias("least"), F.count("*").alias("n")).where("n > 1")
+    met = cut(join_classes(cut(listed), shared, "band", "inner"))
     rooted = cut(components(met.select(F.col("first").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "first"))
-    large = rooted.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > group).select("root", F.lit(True).alias("large"))
-    placed = rooted.join(large, "root", "left")
-    # a group's key is its root or its band; should two be equal, their documents are compared needlessly
-    keyed = met.join(placed, "first").select("first", "h", F.when(F.col("large"), F.col("band")).otherwise(F.col("root")).alias("grp"))
-    asked = keyed.groupBy("first", "h").agg(F.collect_set("grp").alias("groups"))
-    candidates = source.withColumnRenamed("doc_id", "first").join(asked, ["first", "h"]).select("first", "groups", "text")
-    carried = pa.schema([("first", pa.int64()), ("groups", pa.list_(pa.int64())), ("signs", pa.binary())])
-
-    def signed(batch: pa.RecordBatch) -> dict[str, list]:
-        return {c: batch.column(c).to_pylist() for c in ("first", "groups")} | {"signs": [shingles(t).tobytes() for t in raw_texts(batch)]}
-
-    def held(found: pa.Table) -> pa.Table:
-        ids = sorted(range(found.num_rows), key=(first := found.column("first").to_pylist()).__getitem__)
-        signs = found.column("signs")
-        root = verified([np.frombuffer(signs[i].as_buffer(), np.uint64) for i in ids])
-        return pa.table({"a": pa.array([first[i] for i in ids], pa.int64()), "b": pa.array([first[ids[r]] for r in root], pa.int64())})
-
-    near = map_rows(candidates, carried, signed).select("first", F.explode("groups").alias("grp"), "signs").groupBy("grp").applyInArrow(held, "a bigint, b bigint")
+    large = cut(rooted.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > group).select("root", F.lit(True).alias("large")))
+    if large.isEmpty():
+        near = _compared(met.join(rooted, "first").select("first", "h", F.col("root").alias("grp")), source).select("a", "b")
+    else:
+        placed = cut(met.join(join_classes(rooted, large, "root"), "first"))
+        small = placed.where("large is null").select("first", "h", F.col("root").alias("grp"))
+        near = _compared(small, source).select("a", "b").unionByName(_in_blocks(placed.where("large").select("band", "first", "h", "least", "n"), source, group))
     linked = components(same.unionByName(near.where("a <> b")))
     return marked.select("doc_id").distinct().join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
 

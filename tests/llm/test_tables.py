@@ -223,7 +223,7 @@ def five_word_likeness(a, b):
     return len(a & b) / len(a | b)
 
 
-@pytest.mark.parametrize("group", [simhash.GROUP, 3])
+@pytest.mark.parametrize("group", [simhash.GROUP, 2])
 def test_near_copies_are_those_of_brute_force(spark, group):
     draw = random.Random(13)
     word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(2, 9)))
