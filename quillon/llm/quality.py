@@ -1,22 +1,26 @@
 """Quality classifier by importance resampling (after Xie et al., "Data Selection via Importance Resampling", 2023).
 
-Two generative models of hashed word n-grams are fitted: one on target texts (labelled good), one on raw texts
-(labelled otherwise). A document's weight is the log ratio of their probabilities for its whole text. Gumbel noise,
-drawn from a hash of the id, is added to the weight over ``temperature``, and the k greatest sums are kept, which samples
-k documents without replacement in proportion to their (tempered) importance. By default k is the number of documents
-whose weight with the prior odds is positive: the share of good documents that the models see in the corpus.
+Two generative models of hashed word n-grams are fitted: one on target texts (labelled good), one on the raw corpus (all
+documents). A document's weight is the log ratio of their probabilities for its whole text. Gumbel noise, drawn from a
+hash of the id, is added to the weight over ``temperature`` (one: untempered), and the k greatest sums are kept, which
+samples k documents without replacement in proportion to their importance. By default k is the number of documents that
+are more likely of the target than not: the share of the target in the corpus, as labelled, times a document's
+importance is its chance, so the weight is held against minus the log of twice that share.
 
 Texts become tokens (runs of letters or digits; runs of other characters), with repeats of the token before replaced by
-a mark and upper-case words marked as such; unigrams and bigrams are hashed into BUCKETS. The fit uses at most
-FIT_DOCS documents a class, those with the least hash of their id; scoring reads every document whole.
+a mark and upper-case words marked as such; unigrams and bigrams are hashed into BUCKETS. The target model reads at most
+FIT_DOCS documents that are labelled good, those with the least hash of their id, and is drawn towards the raw model by
+SMOOTH as many pseudo-counts as it has n-grams, so that what few documents hold is no evidence. The raw model counts all
+documents, and scoring reads every document whole.
 
-Weights are computed in one map stage. The top k is found on the narrow rows (id and key) by counting digits of the key,
-never by sorting or collecting rows.
+Counts and weights are one map stage each, without a shuffle of texts. The top k is found on the narrow rows (id and key)
+by counting digits of the key, never by sorting or collecting rows.
 
 Null text is the empty text, with weight zero like all texts without tokens. Documents with a null id get the noise of
-the text "". Labels that are null are left out; documents labelled more than once count by their greatest label. If a
-class has no labelled document, all weights are zero and all documents are kept. Repeated rows are kept or go together.
-Empty tables give empty results. Further columns are passed through by ``keep_good`` and not read otherwise.
+the text "". Labels that are null are left out; documents labelled more than once count once, by their greatest label.
+If no document is labelled good, or none otherwise, there is nothing to tell apart: all weights are zero and all
+documents are kept. Repeated rows are kept or go together. Empty tables give empty results. Further columns are passed
+through by ``keep_good`` and not read otherwise.
 """
 
 from __future__ import annotations
@@ -31,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, read, slices, spark_ddl, texts
+from .common import arrow_map, cut, read, slices, texts
 from .topk import ordered_bits, top_k
 
 BUCKETS = 1 << 14
-#: Bound of the labelled sample, by class.
+#: Bound of the labelled sample.
 FIT_DOCS = 10_000
-TEMPERATURE = 0.1
+SMOOTH = 0.2
+TEMPERATURE = 1.0
 SEED = 42
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 CHUNK = 200_000
@@ -58,43 +63,44 @@ def features(text: str) -> np.ndarray:
     return ((mixed >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, label_col: str, fit_docs: int) -> DataFrame:
-    """(doc_id, good, text) of the bounded sample."""
-    marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("q")).where("doc_id is not null and q is not null").groupBy("doc_id").agg((F.max("q") > 0).alias("good"))
-    order = F.xxhash64("doc_id", F.lit(SEED))
-    chosen = None
-    for good in (True, False):  # each at most fit_docs rows
-        some = marks.where(F.col("good") == good).orderBy(order, "doc_id").limit(fit_docs)
-        chosen = some if chosen is None else chosen.unionByName(some)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-
-
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_docs: int = FIT_DOCS) -> tuple[np.ndarray, float]:
-    """Log ratio of the target's to the raw model's probability of each bucket, and the log prior odds.
+    """Log ratio of the target's to the raw model's probability of each bucket, and the target's share of the documents.
 
     What comes to the driver is two numbers a bucket and two counts.
     """
+    marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("q")).where("doc_id is not null and q is not null").groupBy("doc_id").agg((F.max("q") > 0).alias("good"))
+    seen = marks.agg(F.count_if("good").alias("good"), F.count("*").alias("all")).first()
+    if not 0 < seen["good"] < seen["all"]:
+        return np.zeros(BUCKETS), 1.0
+    chosen = marks.where("good").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(fit_docs)  # a bounded sample
     schema = pa.schema([("good", pa.bool_()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, BUCKETS + 1), np.int64)
+        sums = np.zeros((2, BUCKETS), np.int64)  # of all, of the target
         for batch in slices(batches):
             for good, text in zip(batch.column("good").to_pylist(), texts(batch), strict=True):
-                sums[int(good)] += np.bincount(features(text), minlength=BUCKETS + 1)
-                sums[int(good), BUCKETS] += 1
+                own = np.bincount(features(text), minlength=BUCKETS)
+                sums[0] += own
+                if good:
+                    sums[1] += own
         good, bucket = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(good.astype(bool)), pa.array(bucket.astype(np.int32)), pa.array(sums[good, bucket])], schema=schema)
 
-    counted = _labelled(docs, labels, label_col, fit_docs).select("good", "text").mapInArrow(count, spark_ddl(schema))
-    sums = np.zeros((2, BUCKETS + 1))
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    counted = arrow_map(source.join(F.broadcast(chosen), "doc_id", "left").select("good", "text"), count, schema)
+    sums = np.zeros((2, BUCKETS))
     for r in counted.groupBy("good", "bucket").agg(F.sum("n").alias("n")).collect():
         sums[int(r.good), r.bucket] = r.n
-    if not sums[:, BUCKETS].all():
-        return np.zeros(BUCKETS), 0.0
-    p = sums[:, :BUCKETS] + 1.0
-    p /= p.sum(1, keepdims=True)
-    marks = labels.where(F.col(label_col).isNotNull()).agg(F.sum((F.col(label_col) > 0).cast("int")).alias("g"), F.count("*").alias("n")).first()
-    return np.log(p[1] / p[0]), math.log((marks.g + 1) / (marks.n - marks.g + 1))
+    return log_ratio(*sums), seen["good"] / seen["all"]
+
+
+def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log ratio of the models from the counts of all documents and of the target."""
+    if not target.any():
+        return np.zeros(len(raw))
+    p = (raw + 1) / (raw + 1).sum()
+    drawn = SMOOTH * target.sum()
+    return np.log((target + drawn * p) / (target.sum() + drawn) / p)
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,19 +114,19 @@ def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col:
             weights = [float(own[features(t)].sum()) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(weights, pa.float64())], schema=schema)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, spark_ddl(schema))
+    return arrow_map(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, schema)
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = TEMPERATURE, seed: int = SEED, label_col: str = "quality") -> DataFrame:
     """(doc_id, log_weight, gumbel_key) of the k documents that are kept."""
-    ratio, prior = fit(docs, labels, label_col)
+    ratio, share = fit(docs, labels, label_col)
     u = (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)), 12).cast("double") + 0.5) / F.lit(float(1 << 52))
     noisy = weigh(docs, ratio).withColumn("gumbel_key", F.col("log_weight") / F.lit(temperature) - F.log(-F.log(u)))
     scored = cut(noisy.withColumn("_key", ordered_bits(F.col("gumbel_key"))))
     if not ratio.any():
         return scored.drop("_key")
     if k is None:
-        k = scored.where(F.col("log_weight") + F.lit(prior) > 0).count()
+        k = scored.where(F.col("log_weight") + F.lit(math.log(2 * share)) > 0).count()
     return top_k(scored, "_key", "doc_id", k).drop("_key")
 
 

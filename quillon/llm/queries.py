@@ -13,7 +13,7 @@ from .quality import op4_importance_resampling
 from .secrets import op8_secret_blob_ledger, secret_ledger_versions
 from .sharding import op10_rendezvous_sharding
 from .simhash import op9_simhash_multi_index
-from .spotsigs import op5_spotsigs_fingerprints
+from .spotsigs import op5_spotsigs_fingerprints, spotsigs_near_pairs
 
 QUERIES = {
     "op1_log_bilinear_nce": op1_log_bilinear_nce,
@@ -28,7 +28,7 @@ QUERIES = {
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
 }
 
-EXTRA = {"secret_ledger_versions": secret_ledger_versions}
+EXTRA = {"secret_ledger_versions": secret_ledger_versions, "spotsigs_near_pairs": spotsigs_near_pairs}
 QUERIES |= EXTRA
 
 #: DuckDB SQL for those that SQL can express.

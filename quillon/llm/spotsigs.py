@@ -7,10 +7,13 @@ size of the set, a digest of the whole set, and its LEAST least hashes; likeness
 
 ``near_pairs`` partitions the sets by length: sets of likeness t or more differ in length by a factor of at most 1/t, so
 a set meets only its own band and the next. Within a band, sets are listed under the rarest of their signatures, as many
-as a pair of likeness t must share one of, and pairs met there are compared with early pruning.
+as a pair of likeness t must share one of. A pair met there goes on only if the lengths, and what can still follow the
+first signature that both have, allow its likeness; the sets themselves are compared from the rarest signature on, and
+a comparison ends as soon as too few signatures are left.
 
-``with_next`` finds each document's successor by id without a global sort in one task: ids are dealt into ranges, and
-the first document of each range is also sent, as a guest, to the range before it.
+``with_next`` finds each document's successor by id without a global sort in one task: ids are dealt into ranges of equal
+numbers of documents, each a partition of its own, and the first document of each range is also sent, as a guest, to the
+range before it.
 
 Null text is the empty text (the empty set, alike only to another empty set). Null ids come before all others. Rows of
 one id are ordered by a hash of their text; repeated rows follow each other. Empty tables give empty results. Only id
@@ -20,6 +23,7 @@ and text are read.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -30,11 +34,13 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, partitions, read, slices, spark_ddl, texts
+from .common import arrow_map, cut, join_classes, map_rows, partitions, read, slices, texts
 
 CHAIN = 2
 FEW = 3
 LEAST = 24
+#: Signatures looked up between two tests whether enough are left.
+STRETCH = 16
 WORD = re.compile(r"[^\W_]+")
 
 # Anchors, common words of English, French, German and Spanish.
@@ -89,7 +95,7 @@ def with_next(docs: DataFrame, schema: pa.Schema, make, id_col: str = "doc_id",
     """``make(doc_id, text, next text)`` for each document, as rows of ``schema``; the last one is followed by the first."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("double"))
-    ranges = 4 * partitions(spark)
+    ranges = 2 * partitions(spark)
     marks = rows.select("_id").stat.approxQuantile("_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)
     splits = [-float("inf"), *sorted(set(marks or [0.0])), float("inf")]
     dealt = Bucketizer(splits=splits, inputCol="_id", outputCol="_range").transform(rows)
@@ -102,7 +108,7 @@ def with_next(docs: DataFrame, schema: pa.Schema, make, id_col: str = "doc_id",
         "text",
         F.explode(F.when(F.col("_id") == F.col("_first"), F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("guest")), F.struct(F.col("_before").alias("r"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("guest"))))).alias("to"),
     )
-    ordered = sent.select("doc_id", "text", "to.r", "to.guest").repartition("r").sortWithinPartitions("r", "guest", "doc_id", F.xxhash64("text"))
+    ordered = sent.select("doc_id", "text", "to.r", "to.guest").withColumn("r", F.col("r").cast("int")).repartitionById(len(splits) - 1, "r").sortWithinPartitions("r", "guest", "doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = None  # (range, doc_id, text) whose successor hasn't come yet
@@ -114,7 +120,7 @@ def with_next(docs: DataFrame, schema: pa.Schema, make, id_col: str = "doc_id",
                 waiting = None if guest else (r, doc, text)
             yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema, strict=True)], schema=schema)
 
-    return ordered.mapInArrow(run, spark_ddl(schema))
+    return arrow_map(ordered, run, schema)
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
@@ -142,28 +148,70 @@ def signature_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return map_rows(source, schema, lambda b: {"doc_id": b.column("doc_id").to_pylist(), "signs": [signed(signatures(t)) for t in texts(b)]})
 
 
+def pruned_likeness(x: np.ndarray, y: np.ndarray, least: float) -> float:
+    """The Jaccard index of two sets given as sorted numbers, or 0 where it is below ``least``.
+
+    Stretches of the shorter set are looked up in the longer one, and what is left must be able to make up the rest.
+    """
+    if len(x) > len(y):
+        x, y = y, x
+    need = math.ceil(least / (1 + least) * (len(x) + len(y)) - 1e-9)
+    if not len(x) or len(x) < need:
+        return float(least <= 0 or not len(y))
+    both, at = 0, 0
+    for k in range(0, len(x), STRETCH):
+        if both + len(x) - k < need or both + len(y) - at < need:
+            return 0.0
+        part = x[k : k + STRETCH]
+        places = np.searchsorted(y[at:], part) + at
+        inside = places < len(y)
+        both += int((y[places[inside]] == part[inside]).sum())
+        at = int(places[-1])
+    return both / (len(x) + len(y) - both) if both >= need else 0.0
+
+
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("likeness", pa.float64())])
+
+
 def near_pairs(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, likeness) of classes of equal sets with a likeness of ``least`` or more, and (doc_id, class_id).
 
-    A class is named by its least id. Copies are not expanded into pairs.
+    A class is named by its least id. Copies are not expanded into pairs. Null ids are left out.
     """
-    sets = cut(signature_sets(docs).withColumn("set_id", F.sha2(F.to_json("signs"), 256)))
+    sets = cut(signature_sets(docs.where(F.col("doc_id").isNotNull())).withColumn("set_id", F.xxhash64("signs", F.sha2(F.to_json("signs"), 256))))
     classes = sets.groupBy("set_id").agg(F.min("doc_id").alias("class_id"), F.first("signs").alias("signs"))
-    membership = sets.select("doc_id", "set_id").join(classes.select("set_id", "class_id"), "set_id").select("doc_id", "class_id")
-    classes = cut(classes.select("class_id", "signs", F.size("signs").alias("n")).where("n > 0"))
+    classes = cut(classes.select("set_id", "class_id", "signs", F.size("signs").alias("n")))
+    membership = join_classes(sets.select("doc_id", "set_id"), classes.select("set_id", "class_id"), "set_id", "inner").select("doc_id", "class_id")
+    classes = classes.where("n > 0").drop("set_id")
     listed = classes.select("class_id", "n", F.explode("signs").alias("s"))
     spread = listed.groupBy("s").agg(F.count("*").alias("df"))
     ranked = listed.join(spread, "s").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x"))
     prefix = F.expr(f"slice(x, 1, n - cast(ceil({least} * n - 1e-9) as int) + 1)")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(least)) + 1e-9)
-    entries = ranked.select("class_id", "n", band.alias("band"), F.explode(prefix).alias("y")).select("class_id", "n", "band", F.col("y.s").alias("s"))
-    left = entries.select(F.col("class_id").alias("a"), F.col("n").alias("n_a"), F.explode(F.array("band", F.col("band") + 1)).alias("band"), "s")
-    right = entries.select(F.col("class_id").alias("b"), F.col("n").alias("n_b"), "band", "s")
+    entries = ranked.select("class_id", "n", band.alias("band"), F.posexplode(prefix).alias("at", "y")).select("class_id", "n", "band", "at", F.col("y.s").alias("s"))
+    left = entries.select(F.col("class_id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.explode(F.array("band", F.col("band") + 1)).alias("band"), "s")
+    right = entries.select(F.col("class_id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), "band", "s")
     fits = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    met = left.join(right, ["band", "s"]).where(fits & (F.col("n_a") >= F.lit(least) * F.col("n_b"))).select("a", "b", "n_a", "n_b").distinct()
+    # of the pair's first common signature, which the rarest-first order makes the same for both: all that can follow it
+    follows = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= F.lit(least / (1 + least)) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    met = left.join(right, ["band", "s"]).where(fits & (F.col("n_a") >= F.lit(least) * F.col("n_b")) & follows).select("a", "b").distinct()
     with_sets = met.join(classes.select(F.col("class_id").alias("a"), F.col("signs").alias("x")), "a").join(classes.select(F.col("class_id").alias("b"), F.col("signs").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return with_sets.select("a", "b", (both / (F.col("n_a") + F.col("n_b") - both)).alias("likeness")).where(F.col("likeness") >= least), membership
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [(batch.column("x")[k].values.to_numpy(), batch.column("y")[k].values.to_numpy()) for k in range(batch.num_rows)]
+            found = np.array([pruned_likeness(x, y, least) for x, y in sets])
+            keep = pa.array(np.flatnonzero(found >= least))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep), pa.array(found).take(keep)], schema=PAIR)
+
+    return arrow_map(with_sets, run, PAIR), membership
+
+
+def spotsigs_near_pairs(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, class_id, n_links): each document's class of equal signature sets, and how many other classes are near it."""
+    pairs, members = near_pairs(read(spark, sf_dir, "documents"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    return join_classes(cut(members), ends, "class_id").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def op5_spotsigs_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators of one map stage: encoding, licences, fingerprints, classifier, decontamination."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -97,9 +98,14 @@ def test_base_places():
         ("a <<beginOptional>>b c<<endOptional>> d", "x a d y", True),
         ("a <<beginOptional>>b c<<endOptional>> d", "a b d", False),
         ("a <<var;original=q;match=.{0,2}>> d", "A d", True),
-        ("a <<var;original=q;match=.{0,2}>> d", "a x, y D", True),
-        ("a <<var;original=q;match=.{0,2}>> d", "a x y z d", False),
+        ("a <<var;original=q;match=.{0,3}>> d", "a x, y D", True),
+        ("a <<var;original=q;match=.{0,3}>> d", "a x y z d", False),
         ("a <<var;original=q;match=.{1,2}>> d", "a d", False),
+        ('copyright <<var;name="c";original="<2020> A";match=".+">> all rights', "Copyright (c) 2021 Some One. All rights", True),
+        ('copyright <<var;name="c";original="<2020> A";match=".+">> all rights', "Copyright all rights", False),
+        ('a <<var;name="n";original="its";match="its|their own">> b', "a Their own b", True),
+        ('a <<var;name="n";original="its";match="its|their own">> b', "a their b", False),
+        ('a <<var;name="n";original="";match=".*">> <<var;name="m";original="";match="[0-9]+">> b', "a x y 12 b", True),
         ("<<beginOptional>>z<<endOptional>> a <<beginOptional>>b <<beginOptional>>c<<endOptional>> d<<endOptional>> e", "a b d e", True),
         ("<<beginOptional>>z<<endOptional>> a <<beginOptional>>b <<beginOptional>>c<<endOptional>> d<<endOptional>> e", "z a c e", False),
         ("mandatory wording only", "mandatory wordings only", False),
@@ -111,6 +117,53 @@ def test_automata(text, template, yes):
     assert a.found(words, b" " + b" ".join(words) + b" ") is yes
 
 
+@pytest.mark.parametrize("broken", ["a <<endOptional>>", "<<beginOptional>> a", "a <<var;name=x>> b", "a <<other>> b", "a <<var;match=.+ b", "a >> b"])
+def test_broken_markup_is_an_error(broken):
+    with pytest.raises(ValueError):
+        license.Automaton(broken)
+
+
+def test_automata_accept_what_a_plain_matcher_does():
+    draw = random.Random(31)
+    for _ in range(300):
+        def piece(depth=0):
+            x = draw.random()
+            if x < 0.6 or depth > 2:
+                return " ".join(draw.choice("abc") for _ in range(draw.randint(1, 2)))
+            if x < 0.8:
+                return f"<<beginOptional>>{piece(depth + 1)} {piece(depth + 1)}<<endOptional>>"
+            return '<<var;name="v";original="q";match=".*">>'
+        template = " ".join(["a", *(piece() for _ in range(draw.randint(1, 4))), "b"])
+        pattern = re.compile("(?:^|(?<= ))" + "".join({"<<beginOptional>>": "(?:", "<<endOptional>>": ")?"}.get(x, "(?:[^ ]+ )*" if x.startswith("<<var") else x + " ") for x in re.findall(r"<<[^>]*>>|[abc]", template)))
+        automaton = license.Automaton(template)
+        for _ in range(20):
+            text = [draw.choice("abcd") for _ in range(draw.randint(0, 9))]
+            found = automaton.found([w.encode() for w in text], (" " + " ".join(text) + " ").encode())
+            assert found is bool(pattern.search(" ".join(text) + " ")), (template, text)
+
+
+def filled(template):
+    """The template's text with all optional regions and the originals."""
+    return license._MARK.sub(lambda m: "" if m[1] else next(a or b for k, a, b in license._FIELD.findall(m[2]) if k == "original"), template)
+
+
+@pytest.mark.parametrize("name", sorted(license.TEMPLATES))
+def test_templates_accept_their_texts_and_no_near_misses(name):
+    draw, a = random.Random(32), license.AUTOMATA[name]
+    text = license.words(filled(license.TEMPLATES[name]).encode())
+    ask = lambda t: a.found(t, b" " + b" ".join(t) + b" ")
+    assert ask([b"x", *text, b"y"])
+    mandatory = license.words(re.sub(r"<<beginOptional>>.*?<<endOptional>>", " ", re.sub(r"<<var[^>]*>>", " ", license.TEMPLATES[name], flags=re.S), flags=re.S).encode())
+    for _ in range(10):  # another word in the place of a mandatory one
+        w = draw.choice(sorted(set(mandatory)))
+        assert not ask([b"zzz" if x == w else x for x in text])
+
+
+def test_two_and_three_clauses_are_told_apart():
+    two, three = (license.scan(filled(license.TEMPLATES[n]).encode())[5].split(",") for n in ("bsd-2-clause", "bsd-3-clause"))
+    assert "bsd-2-clause" in two and "bsd-3-clause" not in two and "bsd-3-clause" in three and "bsd-2-clause" not in three
+
+
 def test_license_documents(spark):
     rows = AWKWARD + [(100 + k, t) for k, t in enumerate(NOTICES)]
     out = {r.doc_id: r for r in license.scan_documents(table(spark, rows)).collect()}
@@ -133,7 +186,9 @@ def test_edited_fingerprints(spark):
         possible = followers[r.doc_id]
         assert r.edited_sha256 in {hashlib.sha256(spotsigs.edited(t, n).encode()).hexdigest() for t, n in possible}
         assert r.n_chars == len(possible[0][0])
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        signs = [(spotsigs.signatures(t), spotsigs.signatures(spotsigs.edited(t, n)), spotsigs.signatures(n)) for t, n in possible]
+        jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+        assert (r.near_edited, r.near_next) in {(jaccard(a, b), jaccard(a, c)) for a, b, c in signs}
     by = {}
     for r in out:
         by.setdefault(r.doc_id, r)
@@ -144,6 +199,17 @@ def test_edited_fingerprints(spark):
     assert one.edited_sha256 == hashlib.sha256(b"abab").hexdigest()
 
 
+def test_pruned_likeness_is_the_jaccard_index():
+    draw = random.Random(30)
+    for _ in range(2000):
+        x, y = (sorted(draw.sample(range(60), draw.randint(0, 55))) for _ in range(2))
+        both, either = len(set(x) & set(y)), len(set(x) | set(y))
+        real = both / either if either else 1.0
+        for least in (0.0, 0.3, 0.8):
+            found = spotsigs.pruned_likeness(np.array(x, np.int64), np.array(y, np.int64), least)
+            assert found == (real if real >= least and x and y else found) and (found >= least) == (real >= least or (least == 0 and not x))
+
+
 def test_near_pairs_are_those_of_brute_force(spark):
     draw = random.Random(3)
     words = ["the", "of", "and", *(f"w{k}" for k in range(40))]
@@ -197,6 +263,34 @@ def test_held_out_labels_are_found(spark):
     assert {r.doc_id for r in quality.keep_good(table(spark, docs), known).collect()} == kept
 
 
+def test_weights_and_sample_are_those_of_brute_force(spark):
+    docs, labels = labelled(120)
+    docs += [(500, None), (501, ""), (502, "no such words 1 2 3")]
+    out = {r.doc_id: r for r in quality.weigh(table(spark, docs), quality.fit(table(spark, docs), spark.createDataFrame(labels + labels[:9], "doc_id long, quality int"))[0]).collect()}
+    raw, target = [1] * quality.BUCKETS, [0] * quality.BUCKETS
+    good = {i for i, q in labels if q}
+    for i, t in docs:
+        for b in quality.features(t or "").tolist():
+            raw[b] += 1
+            target[b] += i in good
+    n, m = sum(raw), sum(target)
+    chance = lambda b: (target[b] + quality.SMOOTH * m * raw[b] / n) / (m * (1 + quality.SMOOTH))
+    weights = {i: sum(math.log(chance(b) * n / raw[b]) for b in quality.features(t or "").tolist()) for i, t in docs}
+    assert {i: round(w, 6) for i, w in weights.items()} == {i: round(r.log_weight, 6) for i, r in out.items()}
+    found = quality.resample(table(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    hashes = {r.i: r.h for r in spark.createDataFrame([(i,) for i, _ in docs], "i long").selectExpr("i", f"shiftrightunsigned(xxhash64(cast(i as string), {quality.SEED}), 12) as h").collect()}
+    keys = {i: w - math.log(-math.log((hashes[i] + 0.5) / 2**52)) for i, w in weights.items()}
+    k = sum(w > -math.log(2 * len(good) / len(labels)) for w in weights.values())
+    assert {r.doc_id for r in found} == set(sorted(keys, key=keys.get)[-k:])
+    assert all(r.gumbel_key == pytest.approx(keys[r.doc_id]) for r in found)
+
+
+def test_noise_samples_in_proportion(spark):
+    docs = [(0, "aa bb"), (1, "cc dd"), *((k, "x y") for k in range(2, 4000))]
+    kept = {r.doc_id for r in quality.resample(table(spark, docs, extra=False), spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int"), k=1000).collect()}
+    assert len(kept) == 1000 and 200 < sum(i < 1000 for i in kept) < 300  # equal weights: any are as likely
+
+
 def test_classifier_edges(spark):
     marks = spark.createDataFrame([(1, 1), (1, None), (None, 1), (6, 0), (6, 0)], "doc_id long, quality int")
     out = quality.resample(table(spark), marks, k=4).collect()
