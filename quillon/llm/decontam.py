@@ -1,14 +1,19 @@
 """Benchmark decontamination: BM25 over the test items with block-max WAND, then verified overlap.
 
-The benchmark is cut into index shards of at most SHARD_ITEMS items and SHARD_BYTES bytes of text, so what one task
-holds is bounded however large the benchmark grows; every document meets every shard. A document is cut into windows of
-one and a half times the longest item, overlapping by the longest item, so each place of an item lies whole in some
-window. Each window is a query: all items whose share of their own greatest score reaches ``threshold`` are retrieved.
+Statistics (item count, mean length, document frequencies) are those of the whole benchmark. Its items are cut into
+index shards of at most SHARD_ITEMS items and SHARD_BYTES bytes of text, SCAN_SHARDS of which are broadcast to one scan
+of the documents; so what a worker holds is bounded however large the benchmark grows, and a document is read and taken
+apart once for every SCAN_SHARDS shards. Within a shard, items of similar length form a tier, so one very long item
+doesn't widen the windows of all. For a tier a document is cut into windows of three segments, each of half the tier's
+longest item and overlapping by two, so each place of an item lies whole in some window. Each window is a query: all
+items whose share of their own greatest score reaches ``threshold`` are retrieved.
 
-Block-max WAND skips exactly: a window whose terms' upper bounds stay below the threshold has no pivot, and a pivot
-whose block maxima stay below it is passed over. Retrieved items are verified on word 5-grams: of all the item's, at
-least ``overlap`` must occur in the window, and of its question part and its answer part at least ``part_overlap`` each.
-The question ends with the item's last question mark, or else in its middle.
+Block-max WAND skips exactly: a window whose terms' upper bounds stay below the threshold in every block has no pivot,
+and a pivot whose block maxima stay below it is passed over. Block maxima are kept for the blocks that have a term only;
+terms of more than WIDE blocks add their greatest maximum to a window's bound for all blocks at once. Retrieved items
+are verified on word 5-grams: of all the item's, at least ``overlap`` must occur in the window, and of its question part
+and its answer part at least ``part_overlap`` each. The question ends with the item's last question mark, or else in its
+middle.
 
 Documents are never shuffled. Null texts and texts without words have no hits; items without words are left out; items
 of fewer than five words count as one n-gram. Repeated rows give repeated results; repeated items each count. Empty
@@ -20,7 +25,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 from operator import itemgetter
@@ -30,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, slices, spark_ddl, texts
+from .common import arrow_map, read, slices, texts
 
 K1, B = 1.5, 0.75
 GRAM = 5
-#: Bounds of one index shard.
-SHARD_ITEMS, SHARD_BYTES = 20_000, 8 << 20
-#: Items in a block.
-BLOCK = 8
+#: Bounds of one index shard; shards that one scan of the documents meets.
+SHARD_ITEMS, SHARD_BYTES, SCAN_SHARDS = 20_000, 8 << 20, 4
+#: Items in a block; blocks beyond which a term counts as being in all; words of the longest items of the first tier.
+BLOCK, WIDE, SHORT = 8, 256, 64
 #: Numbers in one table of window bounds.
 BOUNDS = 2_000_000
 THRESHOLD, OVERLAP, PART_OVERLAP = 0.65, 0.8, 0.5
@@ -48,57 +53,82 @@ def tokens(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def grams(words: list[str]) -> list[tuple[str, ...]]:
-    """The item's n-grams in order; a shorter item is one."""
-    if len(words) <= GRAM:
-        return [tuple(words)] if words else []
-    return list(zip(*(words[i:] for i in range(GRAM)), strict=False))
+class Statistics:
+    """What BM25 knows of the whole benchmark. Held on the driver: its distinct words."""
+
+    def __init__(self, items: Iterator[str]):
+        self.n, words, self.df = 0, 0, Counter()
+        for text in items:
+            if own := tokens(text):
+                self.n += 1
+                words += len(own)
+                self.df.update(set(own))
+        self.mean = words / max(1, self.n)
+
+    def idf(self, word: str) -> float:
+        n = self.df[word]
+        return math.log(1 + (self.n - n + 0.5) / (n + 0.5))
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places starts[i] to starts[i] + counts[i] of all i, end to end."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
 
 
 class Index:
-    """BM25 inverted index of items; impacts are shares of the item's score for its own words, so all lie in 0 to 1."""
+    """BM25 inverted index of items; impacts are shares of the item's score for its own words, so all lie in 0 to 1.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    Words, items and blocks are numbers; what belongs to a word lies together in flat arrays, between two of its starts.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], stats: Statistics | None = None):
+        stats = stats or Statistics(t for _, t in items)
         split = [(i, t, w) for i, t in items if (w := tokens(t))]
-        spread: dict[str, int] = defaultdict(int)
-        for _, _, w in split:
-            for x in set(w):
-                spread[x] += 1
         # similar items share blocks, which makes the blocks' bounds tight: by commonest word, then by length
-        split.sort(key=lambda x: (max(x[2], key=lambda w: (spread[w], w)), len(x[2]), x[0]))
+        split.sort(key=lambda x: (max(x[2], key=lambda w: (stats.df[w], w)), len(x[2]), x[0]))
         self.ids = [i for i, _, _ in split]
         self.longest = max((len(w) for _, _, w in split), default=0)
-        mean = sum(len(w) for _, _, w in split) / max(1, len(split))
-        tf = [defaultdict(int) for _ in split]
-        df: dict[str, int] = defaultdict(int)
-        for counts, (_, _, words) in zip(tf, split, strict=True):
-            for w in words:
-                counts[w] += 1
-            for w in counts:
-                df[w] += 1
-        idf = {t: math.log(1 + (len(split) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
-        listed: dict[str, tuple[list[int], list[float]]] = defaultdict(lambda: ([], []))
-        for k, (counts, (_, _, words)) in enumerate(zip(tf, split, strict=True)):
-            norm = K1 * (1 - B + B * len(words) / mean)
-            weights = {t: idf[t] * n / (n + norm) for t, n in counts.items()}
-            own = sum(weights.values())
-            for t, w in weights.items():
-                listed[t][0].append(k)
-                listed[t][1].append(w / own)
-        self.postings = [([], []), *listed.values()]  # by row: items in ascending order, their impacts
-        self.row = {t: k for k, t in enumerate(listed, 1)}
-        self.peaks = np.zeros((len(self.row) + 1, -(-len(split) // BLOCK)), np.float32)  # term x block; row 0: other words
-        for t, k in self.row.items():
-            np.maximum.at(self.peaks[k], np.array(listed[t][0]) // BLOCK, listed[t][1])
-        self.grams, self.asked = [], []
-        for _, text, words in split:
-            own = grams(words)
-            last = text.rfind("?")
-            question = len(tokens(text[: last + 1])) if last >= 0 else 0
-            if not 0 < question < len(words):
-                question = len(words) // 2
-            self.grams.append(own)
-            self.asked.append([k < question for k in range(len(own))])
+        self.row: dict[str, int] = {}  # numbers of words, from 1; 0 is any other word
+        self.words = [np.fromiter((self.row.setdefault(x, len(self.row) + 1) for x in w), np.int32, len(w)) for _, _, w in split]
+        self.asked = [self._question(t, len(w)) for _, t, w in split]
+        lengths = np.array([len(w) for w in self.words], np.int64)
+        n, rows = max(1, len(split)), len(self.row) + 1
+        flat = np.concatenate([np.zeros(0, np.int32), *self.words]).astype(np.int64) * n + np.repeat(np.arange(len(split)), lengths)
+        pairs, tf = np.unique(flat, return_counts=True)
+        word, self.items = np.divmod(pairs, n)
+        idf = np.array([0.0, *map(stats.idf, self.row)])
+        norm = K1 * (1 - B + B * lengths / max(stats.mean, 1e-9))
+        weights = idf[word] * tf / (tf + norm[self.items])
+        self.impacts = weights / np.bincount(self.items, weights, n)[self.items]
+        self.items = self.items.astype(np.int32)
+        self.starts = np.searchsorted(word, np.arange(rows + 1))
+        self.blocks = -(-len(split) // BLOCK)
+        key = word * max(1, self.blocks) + self.items // BLOCK
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.peaks = np.maximum.reduceat(self.impacts, first).astype(np.float32) if len(first) else np.zeros(0, np.float32)
+        self.peak_block = (key[first] % max(1, self.blocks)).astype(np.int32)
+        self.peak_starts = np.searchsorted(word[first], np.arange(rows + 1))
+        count = np.diff(self.peak_starts)
+        self.wide = np.zeros(rows, np.float32)
+        for k in np.flatnonzero(count > WIDE).tolist():
+            self.wide[k] = self.peaks[self.peak_starts[k] : self.peak_starts[k + 1]].max()
+
+    @staticmethod
+    def _question(text: str, n: int) -> int:
+        """Words of the question part."""
+        last = text.rfind("?")
+        words = len(tokens(text[: last + 1])) if last >= 0 else 0
+        return words if 0 < words < n else n // 2
+
+    def posting(self, row: int) -> tuple[list[int], list[float]]:
+        """The items that have a word, in ascending order, and their impacts."""
+        part = slice(self.starts[row], self.starts[row + 1])
+        return self.items[part].tolist(), self.impacts[part].tolist()
+
+    def _peaks(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of peaks, and the places of all, of each of the rows."""
+        counts = self.peak_starts[rows + 1] - self.peak_starts[rows]
+        return counts, _ranges(self.peak_starts[rows], counts)
 
     def search(self, rows: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """All (item, score) with score >= threshold for distinct term rows, by block-max WAND.
@@ -109,15 +139,23 @@ class Index:
         """
         found: list[tuple[int, float]] = []
         enough = threshold - 1e-9
-        block_max = self.peaks[rows]
-        for block in np.flatnonzero(block_max.sum(0) >= threshold - 1e-3).tolist():
+        counts, places = self._peaks(rows)
+        block_of, owner = self.peak_block[places], np.repeat(rows, counts)
+        sums = np.bincount(block_of, self.peaks[places], max(1, self.blocks))
+        able = np.flatnonzero(sums >= threshold - 1e-3)
+        if not len(able):
+            return found
+        read: dict[int, tuple[list[int], list[float]]] = {}
+        for block in able.tolist():
             stop = (block + 1) * BLOCK
             cursors = []  # item, place, peak, items, impacts
-            for row, peak in zip(rows.tolist(), block_max[:, block].tolist(), strict=True):
-                if peak > 0:
-                    items, impacts = self.postings[row]
-                    at = bisect_left(items, block * BLOCK)
-                    cursors.append([items[at], at, peak + 1e-7, items, impacts])
+            here = np.flatnonzero(block_of == block)
+            for row, peak in zip(owner[here].tolist(), self.peaks[places[here]].tolist(), strict=True):
+                if row not in read:
+                    read[row] = self.posting(row)
+                items, impacts = read[row]
+                at = bisect_left(items, block * BLOCK)
+                cursors.append([items[at], at, peak + 1e-7, items, impacts])
             while True:
                 cursors.sort(key=itemgetter(0))
                 reach, pivot = 0.0, -1
@@ -139,43 +177,66 @@ class Index:
                 cursors = [c for c in cursors if c[0] < stop]
         return found
 
-    def verify(self, item: int, words: list[str]) -> tuple[float, float, float]:
-        """Shares of the item's n-grams, of its question's and its answer's, that occur among the words."""
-        own = self.grams[item]
-        width = len(own[0])
-        there = set(zip(*(words[i:] for i in range(width)), strict=False))
-        hits = [g in there for g in own]
-        asked = self.asked[item]
-        question = [h for h, q in zip(hits, asked, strict=True) if q]
-        answer = [h for h, q in zip(hits, asked, strict=True) if not q]
+    def verify(self, item: int, window: np.ndarray) -> tuple[float, float, float]:
+        """Shares of the item's n-grams, of its question's and its answer's, that occur in a window of word numbers."""
+        own, text = self.words[item].tolist(), window.tolist()
+        width = min(GRAM, len(own))
+        there = set(zip(*(text[i:] for i in range(width)), strict=False))
+        hits = [g in there for g in zip(*(own[i:] for i in range(width)), strict=False)]
+        question, answer = hits[: self.asked[item]], hits[self.asked[item] :]
         share = lambda x: sum(x) / len(x) if x else sum(hits) / len(hits)
         return share(hits), share(question), share(answer)
 
+    def able_windows(self, rows: np.ndarray, stride: int, threshold: float) -> list[int]:
+        """Starts of the windows of three segments whose bounds reach the threshold in some block."""
+        segments = max(1, -(-len(rows) // stride))
+        windows = max(1, segments - 2)
+        at = np.flatnonzero(rows)
+        # a word counts once a segment
+        terms = np.unique(at // stride * (len(self.row) + 1) + rows[at])
+        segment, term = np.divmod(terms, len(self.row) + 1)
+        base = np.concatenate((np.bincount(segment, self.wide[term], segments), [0, 0]))
+        base = base[:windows] + base[1 : windows + 1] + base[2 : windows + 2]
+        some = self.wide[term] == 0
+        segment, term = segment[some], term[some]
+        out: list[int] = []
+        step = max(1, BOUNDS // max(1, self.blocks) - 2)
+        for begin in range(0, windows, step):
+            end = min(windows, begin + step)
+            part = slice(*np.searchsorted(segment, [begin, end + 2]))
+            counts, places = self._peaks(term[part])
+            key = np.repeat(segment[part] - begin, counts) * self.blocks + self.peak_block[places]
+            sums = np.bincount(key, self.peaks[places], (end - begin + 2) * self.blocks).reshape(-1, self.blocks)
+            most = (sums[:-2] + sums[1:-1] + sums[2:]).max(1)
+            out += (np.flatnonzero(most[: end - begin] + base[begin:end] >= threshold - 1e-3) + begin).tolist()
+        return [k * stride for k in out]
+
     def hits(self, words: list[str], threshold: float, overlap: float, part_overlap: float) -> dict[int, tuple[float, float, float, float]]:
         """item -> best (overlap, question, answer, score) of the verified items in a document of these words."""
         if not self.ids or not words:
             return {}
-        size = max(2 * GRAM, self.longest * 3 // 2)
-        stride = max(1, size - self.longest)
+        stride = max(GRAM, -(-self.longest // 2))
         rows = np.fromiter(map(self.row.get, words, repeat(0)), np.int64, len(words))
-        able: list[int] = []
-        step = max(1, BOUNDS // self.peaks.shape[1] // stride) * stride
-        for at in range(0, max(1, len(words) - size + stride), step):
-            total = np.zeros((len(part := rows[at : at + step + size]) + 1, self.peaks.shape[1]), np.float32)
-            np.cumsum(self.peaks[part], axis=0, out=total[1:])
-            starts = np.arange(0, min(step, max(1, len(words) - size + stride - at)), stride)
-            sums = total[np.minimum(starts + size, len(part))] - total[starts]
-            able += (starts[(sums >= threshold - 1e-3).any(1)] + at).tolist()
         best: dict[int, tuple[float, float, float, float]] = {}
-        for at in able:
-            window = words[at : at + size]
-            for item, score in self.search(np.array(sorted(set(rows[at : at + size].tolist()))), threshold):
+        for at in self.able_windows(rows, stride, threshold):
+            window = rows[at : at + 3 * stride]
+            distinct = np.unique(window)
+            for item, score in self.search(distinct[distinct > 0], threshold):
                 shares = self.verify(item, window)
                 if shares[0] >= overlap and min(shares[1:]) >= part_overlap:
                     best[item] = max(best.get(item, (0.0,)), (*shares, score))
         return best
 
 
+def tiers(items: list[tuple[int, str]], stats: Statistics) -> list[Index]:
+    """The items by length: of up to SHORT words, up to twice as many, and so on."""
+    by: dict[int, list[tuple[int, str]]] = defaultdict(list)
+    for i, t in items:
+        if n := len(tokens(t)):
+            by[max(0, (n - 1).bit_length() - (SHORT - 1).bit_length())].append((i, t))
+    return [Index(by[k], stats) for k in sorted(by)]
+
+
 def index_shards(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
     """The items in groups within the bounds, one at a time on the driver."""
     group: list[tuple[int, str]] = []
@@ -195,21 +256,30 @@ HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, part_overlap: float = PART_OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, overlap, question_overlap, answer_overlap): each document's verified items."""
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = None
-    for items in index_shards(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(items)  # within the bounds of a shard
+    stats = Statistics(t for group in index_shards(benchmark) for _, t in group)
+    send = docs.sparkSession.sparkContext.broadcast
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+    def scanned(shards: list) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            indexes = [index for shard in shards for index in shard.value]
             for batch in slices(batches):
                 rows = []
                 for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                    for k, (all_, question, answer, score) in sorted(index.hits(tokens(text), threshold, overlap, part_overlap).items()):
-                        rows.append((doc, index.ids[k], score, all_, question, answer))
+                    words = tokens(text)
+                    for index in indexes:
+                        for k, (all_, question, answer, score) in sorted(index.hits(words, threshold, overlap, part_overlap).items()):
+                            rows.append((doc, index.ids[k], score, all_, question, answer))
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(HITS), HITS, strict=True)], schema=HITS)
 
-        found = source.mapInArrow(run, spark_ddl(HITS))
-        out = found if out is None else out.unionByName(found)
+        return arrow_map(source, run, HITS)
+
+    out, held = None, []
+    for items in index_shards(benchmark):
+        held.append(send(tiers(items, stats)))  # within the bounds of a shard
+        if len(held) == SCAN_SHARDS:
+            out, held = scanned(held) if out is None else out.unionByName(scanned(held)), []
+    if held:
+        out = scanned(held) if out is None else out.unionByName(scanned(held))
     return out
 
 

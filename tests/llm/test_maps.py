@@ -319,9 +319,9 @@ def test_wand_is_exact():
         terms = set(draw.sample(words, 20)) | set(decontam.tokens(draw.choice(items(100))[1])[: draw.randint(0, 40)])
         scores = {}
         for t in terms & set(words):
-            for k, w in zip(*index.postings[index.row[t]], strict=True):
+            for k, w in zip(*index.posting(index.row[t]), strict=True):
                 scores[k] = scores.get(k, 0) + w
-        rows = np.array(sorted({index.row.get(t, 0) for t in terms}))
+        rows = np.array(sorted({index.row[t] for t in terms & set(words)}))
         for least in (0.05, 0.2, 0.5, 0.9):
             assert {k for k, _ in index.search(rows, least)} == {k for k, s in scores.items() if s >= least}
 
@@ -360,3 +360,37 @@ def test_index_shards_cover_all_items(spark, monkeypatch):
     assert [len(g) for g in decontam.index_shards(b)] == [7, 7, 7, 7, 2]
     found = decontam.contamination(table(spark, [(k, t) for k, t in bench]), b).collect()
     assert {(r.doc_id, r.item_id) for r in found} >= {(k, k) for k, _ in bench}
+    monkeypatch.setattr(decontam, "SCAN_SHARDS", 2)
+    whole = lambda rows: sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in rows)
+    again = decontam.contamination(table(spark, [(k, t) for k, t in bench]), b).collect()
+    monkeypatch.undo()
+    once = decontam.contamination(table(spark, [(k, t) for k, t in bench]), b).collect()
+    assert whole(found) == whole(again) and {x[:2] for x in whole(once)} == {x[:2] for x in whole(found)}
+
+
+@pytest.mark.parametrize("wide", [2, 256])
+def test_windows_are_passed_over_exactly(monkeypatch, wide):
+    monkeypatch.setattr(decontam, "WIDE", wide)
+    monkeypatch.setattr(decontam, "BOUNDS", 200)
+    draw = random.Random(33)
+    bench = items(120) + [(500, " ".join(f"w{draw.randrange(400)}" for _ in range(700)))]
+    index = decontam.Index(bench)
+    for n in (0, 1, 4, 90, 1500):
+        words = [draw.choice(bench)[1].split()[0] if draw.random() < 0.2 else f"w{draw.randrange(500)}" for _ in range(n)]
+        for k in range(n // 100):
+            at = draw.randrange(n)
+            words[at:at] = decontam.tokens(bench[k][1])
+        rows = np.array([index.row.get(w, 0) for w in words], np.int64)
+        for stride in (7, 20):
+            able = set(index.able_windows(rows, stride, 0.65))
+            for at in range(0, max(1, -(-len(rows) // stride) - 2)):
+                window = np.unique(rows[at * stride : (at + 3) * stride])
+                assert at * stride in able or not index.search(window[window > 0], 0.65)
+
+
+def test_one_long_item_widens_no_other_window():
+    long = (900, " ".join(f"v{k}" for k in range(3000)))
+    found = decontam.tiers([*items(40), long], decontam.Statistics(t for _, t in [*items(40), long]))
+    assert [i.longest <= 64 for i in found] == [True, False] and found[1].ids == [900]
+    text = decontam.tokens(long[1])
+    assert found[1].hits(["x"] * 50 + text[:2700] + ["y"] * 50, 0.65, 0.8, 0.5).keys() == {0}
