@@ -42,7 +42,9 @@ GRAM = 5
 #: Bounds of one index shard; shards that one scan of the documents meets.
 SHARD_ITEMS, SHARD_BYTES, SCAN_SHARDS = 20_000, 8 << 20, 4
 #: Items in a block; blocks beyond which a term counts as being in all; words of the longest items of the first tier.
-BLOCK, WIDE, SHORT = 8, 256, 64
+BLOCK, WIDE, SHORT = 4, 256, 64
+#: Words whose postings a worker keeps as lists.
+READ = 4096
 #: Numbers in one table of window bounds.
 BOUNDS = 2_000_000
 THRESHOLD, OVERLAP, PART_OVERLAP = 0.65, 0.8, 0.5
@@ -109,6 +111,7 @@ class Index:
         self.peak_block = (key[first] % max(1, self.blocks)).astype(np.int32)
         self.peak_starts = np.searchsorted(word[first], np.arange(rows + 1))
         count = np.diff(self.peak_starts)
+        self._read: dict[int, tuple[list[int], list[float]]] = {}  # postings of words looked at, as lists
         self.wide = np.zeros(rows, np.float32)
         for k in np.flatnonzero(count > WIDE).tolist():
             self.wide[k] = self.peaks[self.peak_starts[k] : self.peak_starts[k + 1]].max()
@@ -122,8 +125,12 @@ class Index:
 
     def posting(self, row: int) -> tuple[list[int], list[float]]:
         """The items that have a word, in ascending order, and their impacts."""
-        part = slice(self.starts[row], self.starts[row + 1])
-        return self.items[part].tolist(), self.impacts[part].tolist()
+        if row not in self._read:
+            if len(self._read) >= READ:
+                self._read.clear()
+            part = slice(self.starts[row], self.starts[row + 1])
+            self._read[row] = self.items[part].tolist(), self.impacts[part].tolist()
+        return self._read[row]
 
     def _peaks(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of peaks, and the places of all, of each of the rows."""
@@ -145,15 +152,12 @@ class Index:
         able = np.flatnonzero(sums >= threshold - 1e-3)
         if not len(able):
             return found
-        read: dict[int, tuple[list[int], list[float]]] = {}
         for block in able.tolist():
             stop = (block + 1) * BLOCK
             cursors = []  # item, place, peak, items, impacts
             here = np.flatnonzero(block_of == block)
             for row, peak in zip(owner[here].tolist(), self.peaks[places[here]].tolist(), strict=True):
-                if row not in read:
-                    read[row] = self.posting(row)
-                items, impacts = read[row]
+                items, impacts = self.posting(row)
                 at = bisect_left(items, block * BLOCK)
                 cursors.append([items[at], at, peak + 1e-7, items, impacts])
             while True:
@@ -192,9 +196,7 @@ class Index:
         segments = max(1, -(-len(rows) // stride))
         windows = max(1, segments - 2)
         at = np.flatnonzero(rows)
-        # a word counts once a segment
-        terms = np.unique(at // stride * (len(self.row) + 1) + rows[at])
-        segment, term = np.divmod(terms, len(self.row) + 1)
+        segment, term = at // stride, rows[at]
         base = np.concatenate((np.bincount(segment, self.wide[term], segments), [0, 0]))
         base = base[:windows] + base[1 : windows + 1] + base[2 : windows + 2]
         some = self.wide[term] == 0
@@ -208,9 +210,20 @@ class Index:
             key = np.repeat(segment[part] - begin, counts) * self.blocks + self.peak_block[places]
             sums = np.bincount(key, self.peaks[places], (end - begin + 2) * self.blocks).reshape(-1, self.blocks)
             most = (sums[:-2] + sums[1:-1] + sums[2:]).max(1)
-            out += (np.flatnonzero(most[: end - begin] + base[begin:end] >= threshold - 1e-3) + begin).tolist()
+            maybe = np.flatnonzero(most[: end - begin] + base[begin:end] >= threshold - 1e-3) + begin
+            out += maybe[self._reaches(rows, maybe * stride, 3 * stride, threshold)].tolist() if len(maybe) else []
         return [k * stride for k in out]
 
+    def _reaches(self, rows: np.ndarray, starts: np.ndarray, size: int, threshold: float) -> np.ndarray:
+        """Whether the distinct words of a window at each of the starts reach the threshold in some block."""
+        lengths = np.minimum(size, len(rows) - starts)
+        word = rows[_ranges(starts, lengths)]
+        key = (np.repeat(np.arange(len(starts)), lengths) * (len(self.row) + 1) + word)[word > 0]
+        window, term = np.divmod(np.unique(key), len(self.row) + 1)
+        counts, places = self._peaks(term)
+        sums = np.bincount(np.repeat(window, counts) * self.blocks + self.peak_block[places], self.peaks[places], len(starts) * self.blocks)
+        return sums.reshape(-1, self.blocks).max(1) >= threshold - 1e-3
+
     def hits(self, words: list[str], threshold: float, overlap: float, part_overlap: float) -> dict[int, tuple[float, float, float, float]]:
         """item -> best (overlap, question, answer, score) of the verified items in a document of these words."""
         if not self.ids or not words:
