@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ permissions and limitations under the License.""",
     "gpl-notice": _GPL + '<<var;name="version";original="3";match="[0-9][0-9 .]{0,6}">>',
     "gpl-3.0-notice": _GPL + "3",
     "gpl-2.0-notice": _GPL + "2",
-    "mit-notice": '<<var;name="word";original="Released";match="[a-z]+">> under the <<beginOptional>>terms of the<<endOptional>> MIT License',
+    "mit-notice": "under the <<beginOptional>>terms of the<<endOptional>> MIT License",
     "mit-grant": _GRANT,
     "mit-text": _GRANT + " " + _WARRANTY,
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -107,15 +108,18 @@ class Region:
 
     def __init__(self, match: str):
         counted = _LENGTHS.fullmatch(match)
-        self.pattern = None if counted else re.compile(match, re.I | re.S)
+        self.pattern = None if counted else regex.compile(match, regex.I | regex.S)
         self.least, self.most = 0, None
         if counted and counted[1]:
             self.least = int(counted[1] == "+")
         elif counted:
             self.least, self.most = int(counted[2]), int(counted[3]) if counted[3] else None
 
-    def may_grow(self, length: int) -> bool:
-        return self.most is None or length <= self.most
+    def may_grow(self, text: list[bytes], begin: int, end: int, length: int) -> bool:
+        """Whether these words may begin what the region takes."""
+        if self.pattern is None:
+            return self.most is None or length <= self.most
+        return self.pattern.fullmatch(b" ".join(text[begin:end]).decode("utf-8", "replace"), partial=True) is not None
 
     def takes(self, text: list[bytes], begin: int, end: int, length: int) -> bool:
         """length: characters of the words and the spaces between them."""
@@ -209,7 +213,7 @@ class Automaton:
             for s, begin, length in threads:
                 if begin < 0:
                     following.update((n, -1, 0) for w, n in self.steps[s] if w == word)
-                elif self.regions[s][0].may_grow(grown := length + size + (k > begin)):
+                elif self.regions[s][0].may_grow(text, begin, k + 1, grown := length + size + (k > begin)):
                     following.add((s, begin, grown))
             threads = self._closed(following, text, k + 1)
         return end
