@@ -55,7 +55,12 @@ def packed(sizes: Column, most: int, least: int, per_word: float) -> Column:
         )
 
     firsts = F.aggregate(groups, begin, join, lambda acc: acc["firsts"])
-    return F.transform(sizes, lambda _, i: F.size(F.filter(firsts, lambda f: f <= i)) - 1)
+    # a group's number for each of its members: from where it begins to where the next one does
+    def numbers(begins: Column) -> Column:
+        ends = F.concat(F.slice(begins, 2, F.greatest(F.size(begins) - 1, F.lit(0))), F.array(F.size(sizes)))
+        return F.flatten(F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda x, k: F.array_repeat(k, x["b"] - x["a"])))
+
+    return F.transform(F.array(firsts), numbers)[0]
 
 
 def chunks(paragraphs: DataFrame, max_tokens: int = 400, min_tokens: int = 60, per_word: float = 1.3, overlap: int = 0) -> DataFrame:

@@ -148,7 +148,7 @@ def retrieve(mode: str, questions: DataFrame, lexical: LexicalIndex | None = Non
     if mode in ("dense", "hybrid") and dense is None:
         raise UserError(f"mode {mode} needs vectors")
     if mode == "none":
-        return questions.where("false").select("q_id", F.lit("").alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+        return questions.where("false").select("q_id", F.lit(None).cast("string").alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     if mode == "lexical":
         return lexical.search(questions, k, **options)
     if mode == "dense":

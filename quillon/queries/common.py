@@ -10,11 +10,10 @@ TEXTS = {"documents", "pages"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The whole table. Texts that lie in fewer files than there are cores (each perhaps one row group, so one task) are
-    dealt out; tables of many files are read as they lie."""
+    """The whole table. Texts that lie in fewer pieces than there are cores are dealt out; others are read as they lie."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in TEXTS and len(df.inputFiles()) < min(cores, 16) else df
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < min(cores, 16) else df
 
 
 def strip(x: str) -> str:

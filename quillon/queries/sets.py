@@ -50,7 +50,7 @@ def _review(spark, sf_dir) -> DataFrame:
         pick(7, "factual", "procedimental", "sem_resposta", "other", "factual ").alias("tipo"),
         F.col("source").alias("tema_id"),
         F.when(i % 11 > 0, F.concat(F.lit("t"), F.lpad(i.cast("string"), 4, "0"), F.lit("|t7"))).alias("evidencia"),
-        F.substring("text", 1, 20).alias("pergunta"),
+        F.col("text").alias("pergunta"),
         F.col("lang").alias("resposta_ref"),
         pick(13, "aceitar", "EDITAR", "descartar", "", "maybe", "aceitar ", "aceitar").alias("decisao"),
         F.when(i % 3 == 0, " new? ").alias("pergunta_corrigida"),
@@ -159,7 +159,7 @@ ORACLES = {
     "group_split": f"WITH {_SPLIT} SELECT doc_id, source AS tema_id, split FROM documents JOIN sp ON g = source",
     "held_out_chunks": f"WITH {_SPLIT} SELECT doc_id AS id, source AS section_id FROM documents JOIN sp ON g = source WHERE split = 'dev' ORDER BY md5(concat('42:', doc_id)), doc_id LIMIT 30",
     "review_apply": """WITH r AS (SELECT doc_id AS line, concat('q', doc_id // 50 * 50 + least(doc_id % 50, 47)) AS id, trim(['factual', 'procedimental', 'sem_resposta', 'other', 'factual '][1 + doc_id % 7 % 5]) AS tipo, source AS tema_id,
-        CASE WHEN doc_id % 11 > 0 THEN [concat('t', lpad(doc_id::VARCHAR, 4, '0')), 't7'] ELSE [] END AS ev, regexp_replace(left(text, 20), '^\\s+|\\s+$', '', 'g') AS q, lang AS a,
+        CASE WHEN doc_id % 11 > 0 THEN [concat('t', lpad(doc_id::VARCHAR, 4, '0')), 't7'] ELSE [] END AS ev, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS q, lang AS a,
         lower(trim(['aceitar', 'EDITAR', 'descartar', '', 'maybe', 'aceitar ', 'aceitar'][1 + doc_id % 13 % 7])) AS d, CASE WHEN doc_id % 3 = 0 THEN 'new?' ELSE '' END AS nq, CASE WHEN doc_id % 4 = 0 THEN 'better' ELSE '' END AS na FROM documents),
       k AS (SELECT *, d IN ('aceitar', 'editar', 'descartar') AS known FROM r), s AS (SELECT *, known AND row_number() OVER (PARTITION BY id, known ORDER BY line) > 1 AS again FROM k),
       j AS (SELECT *, CASE WHEN d = '' THEN 'no decision' WHEN NOT known THEN 'unknown decision' WHEN again THEN 'repeated id' WHEN d = 'descartar' THEN '' WHEN tipo NOT IN ('factual', 'procedimental', 'sem_resposta') THEN 'unknown kind'
