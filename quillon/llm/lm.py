@@ -247,11 +247,12 @@ class LogBilinear:
 
 
 class Learner:
-    """A model that climbs the noise-contrastive objective by AdaGrad (one rate a vector), minibatch after minibatch."""
+    """A model that climbs the noise-contrastive objective by AdaGrad (one rate a vector, one a bias), minibatch after minibatch."""
 
     def __init__(self, model: LogBilinear, seed: int = 7):
         self.model, self.draw = model, np.random.default_rng(seed)
         self.squares = {k: np.full(v.shape[:1] if v.ndim == 2 else v.shape, 1e-6, np.float32) for k, v in model.p.items()}
+        self.squares["bias"] = self.squares["target"].copy()
         self.cumulated = np.cumsum(model.noise)
         self.shift = np.log(NOISE_RATIO * model.noise).astype(np.float32)
         self.seen = 0
@@ -281,11 +282,21 @@ class Learner:
         self._climb("context", *steps)
         self.seen += m
 
+    def _rate(self, name: str, rows, square: np.ndarray) -> np.ndarray:
+        squares = self.squares[name]
+        squares[rows] += square
+        return RATE / np.sqrt(squares[rows])
+
     def _climb(self, name: str, rows, grad: np.ndarray) -> None:
-        table, squares = self.model.p[name], self.squares[name]
-        squares[rows] += np.einsum("ij,ij->i", grad, grad) / grad.shape[1] if table.ndim == 2 else grad * grad
-        rate = RATE / np.sqrt(squares[rows])
-        table[rows] += rate[:, None] * grad if table.ndim == 2 else rate * grad
+        table = self.model.p[name]
+        if table.ndim == 1:
+            table[rows] += self._rate(name, rows, grad * grad) * grad
+            return
+        vector = grad[:, :DIM]
+        step = self._rate(name, rows, np.einsum("ij,ij->i", vector, vector) / DIM)[:, None] * grad
+        if name == "target":  # the bias has a rate of its own
+            step[:, DIM] = self._rate("bias", rows, grad[:, DIM] ** 2) * grad[:, DIM]
+        table[rows] += step
 
     def learn(self, symbol: np.ndarray, ends: np.ndarray) -> None:
         one, two = contexts(symbol, ends)
