@@ -209,6 +209,38 @@ def distractors(ranked: DataFrame, evidence: DataFrame, chunks: DataFrame, wante
     return listed.select("q_id", F.posexplode(F.aggregate("c", start, take, lambda acc: acc["ids"])).alias("place", "id"))
 
 
+#: Characters, at most, of a short anchor's part by which the words that hold it are looked up.
+PART = 8
+
+
+def _grams(word: Column, lengths: Sequence[int]) -> Column:
+    """The distinct runs of so many characters in the word; the word itself where it is shorter."""
+
+    def runs(chars: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
+
+    # bound to a name, the word is taken apart once
+    return F.array_distinct(F.flatten(F.flatten(F.transform(F.array(F.split(word, "")), lambda c: F.array(*(runs(c, n) for n in lengths))))))
+
+
+def _short_evidence(short: DataFrame, words: DataFrame, texts: DataFrame) -> DataFrame:
+    """(q_id, id) for anchors of one or two words, which may lie inside longer words.
+
+    Each distinct word of the corpus is met by the anchors whose longer part it holds, found by the part's first
+    characters; only texts with such a word are compared.
+    """
+    first, last = (F.element_at(F.split("anchor", " "), place) for place in (1, -1))
+    part = F.when(F.length(first) < F.length(last), last).otherwise(first)
+    short = short.select("q_id", "anchor", part.alias("part")).withColumn("gram", F.substring("part", 1, PART)).distinct()
+    lengths = sorted(r[0] for r in short.select(F.length("gram")).distinct().collect())  # PART numbers at most
+    if not lengths:
+        return short.select("q_id", F.lit(None).cast(texts.schema["id"].dataType).alias("id"))  # no rows
+    grams = words.select("word").distinct().select("word", F.explode(_grams(F.col("word"), lengths)).alias("gram"))
+    holders = grams.join(short, "gram").where(F.contains("word", "part")).select("q_id", "anchor", "word")
+    met = holders.join(words, "word").select("q_id", "anchor", "id").distinct()
+    return met.join(texts, "id").where(F.contains("text", "anchor")).select("q_id", "id")
+
+
 def anchor_evidence(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
     """(q_id, id, n_chunks): chunks (id, text) whose text holds the anchor (q_id, anchor), both with spaces collapsed.
 
@@ -218,13 +250,12 @@ def anchor_evidence(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
     flat = lambda c: F.lower(F.array_join(T.words(F.col(c)), " "))
     asked = anchors.select("q_id", flat("anchor").alias("anchor")).where("anchor <> ''")
     texts = chunks.select("id", flat("text").alias("text"))
-    # inner words are whole in any text that contains the anchor; its first and last may be parts of longer words
-    inner = F.slice(F.split("anchor", " "), F.lit(2), F.greatest(F.size(F.split("anchor", " ")) - 2, F.lit(0)))
-    keyed = asked.select("q_id", "anchor", F.explode_outer(F.array_distinct(inner)).alias("word"))
     words = texts.select("id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    parts = F.split("anchor", " ")
+    # inner words are whole in any text that contains the anchor; its first and last may be parts of longer words
+    keyed = asked.where(F.size(parts) > 2).select("q_id", "anchor", F.explode(F.array_distinct(F.slice(parts, F.lit(2), F.size(parts) - 2))).alias("word"))
     spread = words.join(keyed.select("word").distinct(), "word").groupBy("word").agg(F.count("*").alias("df"))
-    rare = keyed.join(spread, "word", "left").groupBy("q_id", "anchor").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("w"), F.max(F.col("word").isNotNull()).alias("inner"))
-    by_word = rare.where("inner").select("q_id", "anchor", F.col("w.word").alias("word")).join(words, "word").join(texts, "id").where(F.contains("text", "anchor"))
-    short = rare.where("not inner").select("q_id", "anchor")  # of one or two words: few, compared with every text
-    found = by_word.select("q_id", "id").unionByName(short.join(texts, F.contains("text", "anchor")).select("q_id", "id"))
+    rare = keyed.join(spread, "word", "left").groupBy("q_id", "anchor").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("w"))
+    by_word = rare.select("q_id", "anchor", F.col("w.word").alias("word")).join(words, "word").join(texts, "id").where(F.contains("text", "anchor"))
+    found = by_word.select("q_id", "id").unionByName(_short_evidence(asked.where(F.size(parts) < 3), words, texts))
     return found.withColumn("n_chunks", F.count("*").over(Window.partitionBy("q_id")))

@@ -150,6 +150,17 @@ def test_anchor_evidence_finds_parts_of_words(spark):
     assert {(r.q_id, r.id, r.n_chunks) for r in R.anchor_evidence(a, c).collect()} == {(1, "t1", 1), (3, "t2", 1)}
 
 
+def test_anchor_evidence_of_any_length_is_that_of_brute_force(spark):
+    texts = [("t1", "a casa azul"), ("t2", "casas  azuis"), ("t3", "descasado AZULEJO"), ("t4", None), ("t5", ""), ("t6", "😀éa" + "b" * 50_000 + " fim"), ("t7", "incomunicabilidade e comunicabilidades")]
+    anchors = ["casa", "casa azul", "a", "s az", "bbb", "b f", "😀", "éa", "comunicabilidade", "comunicabilidade e", "a casa azul", "ca azul", "zz", " ", None, "b" * 50_000]
+    a = spark.createDataFrame(list(enumerate(anchors)), "q_id long, anchor string")
+    found = R.anchor_evidence(a, spark.createDataFrame(texts, "id string, text string"))
+    flat = lambda x: " ".join((x or "").lower().split())
+    wanted = [(q, i) for q, x in enumerate(anchors) for i, t in texts if flat(x) and flat(x) in flat(t)]
+    assert sorted((r.q_id, r.id) for r in found.collect()) == sorted(wanted)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+
+
 def test_distractors_pass_over_what_does_not_fit(spark):
     chunks = spark.createDataFrame([(f"t{i}", n) for i, n in enumerate([100, 900, 50, 60, 70])], "id string, n_tokens int")
     evidence = spark.createDataFrame([(1, "t0")], "q_id long, id string")
