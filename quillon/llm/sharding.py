@@ -6,8 +6,9 @@ its weight, and a new shard only takes rows, each with the probability of its sh
 another's, so no table of placements is kept.
 
 Slots within a shard are numbered without gaps by two levels of counting: rows are numbered inside one of SUBS parts of
-a shard, and the counts of the parts (at most shards x SUBS numbers, a fixed bound) give each part its offset. No task
-ever sorts a whole shard.
+a shard, and the counts of the parts give each part its offset (shards x SUBS numbers, broadcast up to SENT of them). No
+task ever sorts a whole shard. Equal rows are counted first and numbered as runs of at most RUN, each in a part of its
+own, so that one row repeated any number of times is spread too.
 
 The text is read once, by a map-side projection to its size and checksum; only these narrow rows are shuffled.
 
@@ -25,6 +26,10 @@ from .common import read
 
 #: Parts of a shard that are numbered separately.
 SUBS = 1024
+#: Offsets of parts that are broadcast; more are joined by shuffle.
+SENT = 1 << 17
+#: Equal rows that are numbered as one.
+RUN = 10_000
 #: Bytes of a record besides its text.
 RECORD_BYTES = 8
 LAW = "key"
@@ -46,17 +51,22 @@ def shard_of(key: Column, weights: list[float], names: list[str] | None = None)
     return -F.array_max(F.array(*scores))["turn"]
 
 
-def with_slots(rows: DataFrame, shard: str, order: list[str], subs: int = SUBS) -> DataFrame:
-    """Adds slot, gapless from 0 in each shard; rows are ordered by part, then by ``order``."""
-    part = F.pmod(F.xxhash64(*order), F.lit(subs)).cast("int")
-    parted = rows.withColumn("_part", part)
-    counts = parted.groupBy(shard, "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(shard).alias("_shard"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    numbered = parted.withColumn("_at", F.row_number().over(Window.partitionBy(shard, "_part").orderBy(*order)))
-    # at most shards * subs rows of three numbers
-    joined = numbered.join(F.broadcast(offsets), (F.col(shard) == F.col("_shard")) & (F.col("_part") == F.col("_p")))
-    return joined.withColumn("slot", (F.col("_offset") + F.col("_at") - 1).cast("bigint")).drop("_part", "_shard", "_p", "_offset", "_at")
+def with_slots(rows: DataFrame, shard: str, order: list[str], shards: int, subs: int = SUBS, run: int = RUN) -> DataFrame:
+    """Adds slot, gapless from 0 in each of the shards; rows are ordered by part, then by ``order``."""
+    columns = rows.columns
+    equal = rows.groupBy(*columns).agg(F.count("*").alias("_all"))
+    runs = equal.withColumn("_run", F.explode(F.sequence(F.lit(0), F.floor((F.col("_all") - 1) / run)))).withColumn("_n", F.least(F.lit(run), F.col("_all") - F.col("_run") * run))
+    parted = runs.withColumn("_part", F.pmod(F.xxhash64(*order, "_run"), F.lit(subs)).cast("int"))
+    earlier = (Window.unboundedPreceding, -1)
+    counts = parted.groupBy(shard, "_part").agg(F.sum("_n").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(shard).orderBy("_part").rowsBetween(*earlier))
+    offsets = counts.select(F.col(shard).alias("_shard"), F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_offset"))
+    inside = F.sum("_n").over(Window.partitionBy(shard, "_part").orderBy(*order, "_run").rowsBetween(*earlier))
+    numbered = parted.withColumn("_at", F.coalesce(inside, F.lit(0)))
+    offsets = F.broadcast(offsets) if shards * subs <= SENT else offsets
+    joined = numbered.join(offsets, (F.col(shard) == F.col("_shard")) & (F.col("_part") == F.col("_p")))
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1))
+    return joined.select(*columns, (F.col("_offset") + F.col("_at")).alias("_start"), each.alias("_i")).select(*columns, (F.col("_start") + F.col("_i")).cast("bigint").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, weights: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,7 +78,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, weights: list[float] | No
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), (F.octet_length(text) + RECORD_BYTES).cast("bigint").alias("size"), F.crc32(text).cast("bigint").alias("text_crc32"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     placed = rows.withColumn("shard", shard_of(key, weights).cast("int")).withColumn("grown_shard", shard_of(key, [*weights, 1.0]).cast("int"))
-    return with_slots(placed, "shard", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", "grown_shard")
+    return with_slots(placed, "shard", ["doc_id", "text_crc32", "size"], shards).select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", "grown_shard")
 
 
 def op10_rendezvous_sharding(spark, sf_dir: str) -> DataFrame:

@@ -379,6 +379,21 @@ def test_shards(spark):
     assert sharding.shard_documents(empty(spark), 24).count() == 0
 
 
+@pytest.mark.parametrize("shards", [2, 300])
+def test_a_row_repeated_many_times_is_spread(spark, shards):
+    rows = table(spark, [(7, "same")], extra=False).join(spark.range(2500).select()).unionByName(table(spark, [(k, "x") for k in range(500)], extra=False))
+    placed = rows.select("doc_id", (F.col("doc_id") % shards).alias("shard"))
+    out = sharding.with_slots(placed, "shard", ["doc_id"], shards, run=100).collect()
+    assert collections.Counter(r.doc_id for r in out) == {k: 2501 if k == 7 else 1 for k in range(500)}
+    slots = collections.defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    # runs of the row lie between others, not in one stretch
+    own = sorted(r.slot for r in out if r.doc_id == 7)
+    assert shards > 2 or any(b - a > 1 for a, b in zip(own, own[1:], strict=False))
+
+
 def test_weights_are_shares(spark):
     df = table(spark, [(k, "") for k in range(8000)], extra=False)
     n = collections.Counter(r.shard for r in sharding.shard_documents(df, 3, [1.0, 2.0, 5.0]).collect())
