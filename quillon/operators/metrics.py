@@ -63,11 +63,18 @@ def reciprocal_rank(ids: Column, evidence: Column) -> Column:
     return F.when(F.size(places) > 0, 1.0 / F.array_min(places)).otherwise(0.0)
 
 
+def ranked_lists(ranked: DataFrame, evidence: DataFrame, k: int = 5) -> DataFrame:
+    """(q_id, recall, mrr, ids) for every question with evidence (q_id, id); ranked: (q_id, id, rank). ids: in order of rank."""
+    met = ranked.where(F.col("rank") <= k).select("q_id", "id", "rank").join(evidence.select("q_id", "id", F.lit(True).alias("hit")), ["q_id", "id"], "full")
+    placed = F.struct("rank", "id")
+    found = met.groupBy("q_id").agg(F.max("hit").alias("asked"), F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"), F.array_sort(F.collect_set(F.when(F.col("rank").isNotNull(), placed))).alias("top"))
+    own = found.where("asked")
+    return own.select("q_id", F.col("first").isNotNull().cast("int").alias("recall"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), F.transform("top", lambda x: x["id"]).alias("ids"))
+
+
 def ranked_metrics(ranked: DataFrame, evidence: DataFrame, k: int = 5) -> DataFrame:
-    """(q_id, recall, mrr) for every question with evidence (q_id, id); ranked: (q_id, id, rank)."""
-    first = ranked.where(F.col("rank") <= k).join(evidence, ["q_id", "id"]).groupBy("q_id").agg(F.min("rank").alias("first"))
-    asked = evidence.select("q_id").distinct()
-    return asked.join(first, "q_id", "left").select("q_id", F.col("first").isNotNull().cast("int").alias("recall"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"))
+    """The same without ids."""
+    return ranked_lists(ranked, evidence, k).drop("ids")
 
 
 def scored(responses: DataFrame, gold: DataFrame) -> DataFrame:

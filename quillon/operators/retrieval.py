@@ -21,6 +21,8 @@ K1, B = 1.5, 0.75
 #: What stands for a text without tokens, so that it counts as one of length one.
 EMPTY_TOKEN = "_vazio_"
 MODES = ("none", "lexical", "dense", "hybrid")
+#: Questions' terms, repeats in other questions counted, that are broadcast to the postings: some 10 MB.
+SENT_TERMS = 100_000
 #: Vectors in a block of queries and in a block of the index.
 QUERY_BLOCK, INDEX_BLOCK = 2048, 8192
 
@@ -41,7 +43,7 @@ def tokenised(texts: DataFrame, id_col: str, text_col: str, stop_words: Sequence
 
 
 class LexicalIndex:
-    """postings (id, term, tf, dl), terms (term, df, idf) and totals (n, avgdl): three tables."""
+    """postings (id, term, tf, dl), terms (term, df, idf, avgdl) and totals (n, avgdl): three tables."""
 
     def __init__(self, postings: DataFrame, terms: DataFrame, totals: DataFrame):
         self.postings, self.terms, self.totals = postings, terms, totals
@@ -52,10 +54,13 @@ class LexicalIndex:
         docs = tokenised(texts, id_col, text_col, stop_words, keep_accents)
         words = docs.select("id", "dl", F.explode_outer("tokens").alias("term"))  # never empty; a plain explode tests that by splitting again
         if only_terms is not None:
-            words = words.join(only_terms, "term", "left_semi")
+            # dealt by text, so that neither postings nor a few questions' scores are shuffled again
+            words = words.join(only_terms, "term", "left_semi").repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
         postings = words.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
         totals = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        terms = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(totals)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+        # asks for tf, which is never below one, so that both uses of postings are the same plan and run once
+        found = postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df")).join(F.broadcast(totals))
+        terms = found.select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
         return cls(postings, terms, totals)
 
     def save(self, path: str) -> None:
@@ -78,10 +83,12 @@ class LexicalIndex:
     def scores(self, questions: DataFrame, k1: float = K1, b: float = B, stop_words: Sequence[str] = (), keep_accents: bool = True) -> DataFrame:
         """(q_id, id, score > 0) for questions (q_id, text); a token that occurs twice counts twice."""
         asked = question_terms(questions, stop_words, keep_accents)
+        few = asked.count() <= SENT_TERMS
         # a row for each term, with its questions: postings are joined once and fan out only when they are summed
         asked = asked.groupBy("term").agg(F.collect_list(F.struct("q_id", "times")).alias("q")).join(self.terms, "term")
-        # by shuffle, so that the fan-out runs in as many tasks as there are partitions, not where a small side happens to lie
-        weighed = self.postings.join(asked.hint("shuffle_hash"), "term").join(F.broadcast(self.totals)).select("id", "q", self.weights(k1, b).alias("w"))
+        # many are joined by shuffle, so that the fan-out runs in as many tasks as there are partitions
+        asked = F.broadcast(asked) if few else asked.hint("shuffle_hash")
+        weighed = self.postings.join(asked, "term").select("id", "q", self.weights(k1, b).alias("w"))
         return weighed.select("id", "w", F.inline("q")).groupBy("q_id", "id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
 
     def search(self, questions: DataFrame, k: int = 5, **options) -> DataFrame:

@@ -48,10 +48,8 @@ def anchor_evidence(spark, sf_dir):
 def bm25_recall_mrr(spark, sf_dir):
     """Per question: its recall at five, its reciprocal rank, and the documents found."""
     index, questions = _index(spark, sf_dir)
-    ranked = index.search(questions, K, stop_words=STOP_WORDS)
-    found = metrics.ranked_metrics(ranked, _evidence(spark, sf_dir).select("q_id", "id"), K)
-    lists = ranked.groupBy("q_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"].cast("string")), ",").alias("ids"))
-    return found.join(lists, "q_id", "left").select("q_id", "recall", F.round("mrr", 6).alias("mrr"), F.coalesce("ids", F.lit("")).alias("ids"))
+    found = metrics.ranked_lists(index.search(questions, K, stop_words=STOP_WORDS), _evidence(spark, sf_dir), K)
+    return found.select("q_id", "recall", F.round("mrr", 6).alias("mrr"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 def rrf_fusion(spark, sf_dir):
