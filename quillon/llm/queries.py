@@ -3,10 +3,12 @@ operators that the former don't reach."""
 
 from __future__ import annotations
 
-from . import chat, secrets
+from . import chat, infill, secrets
 from .bpe import op7_bpe_merge_replay
 from .chat import op6_chat_event_fold
+from .cobucket import op13_radix_co_bucketing
 from .decontam import op2_bm25_wand_decontamination
+from .infill import op12_fill_in_middle
 from .license import op3_license_template_automata
 from .lm import op1_log_bilinear_nce
 from .quality import op4_importance_resampling
@@ -26,6 +28,8 @@ QUERIES = {
     "op8_secret_blob_ledger": op8_secret_blob_ledger,
     "op9_simhash_multi_index": op9_simhash_multi_index,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_radix_co_bucketing": op13_radix_co_bucketing,
 }
 
 EXTRA = {"secret_ledger_versions": secret_ledger_versions, "spotsigs_near_pairs": spotsigs_near_pairs}
@@ -35,5 +39,6 @@ QUERIES |= EXTRA
 ORACLES: dict[str, str] = {
     "op6_chat_event_fold": chat.ORACLE,
     "op8_secret_blob_ledger": secrets.ORACLE,
+    "op12_fill_in_middle": infill.ORACLE,
     "secret_ledger_versions": secrets.ORACLE,
 }
