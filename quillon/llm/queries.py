@@ -11,6 +11,7 @@ from .decontam import op2_bm25_wand_decontamination
 from .infill import op12_fill_in_middle
 from .license import op3_license_template_automata
 from .lm import op1_log_bilinear_nce
+from .multiindex import op11_inverted_multi_index
 from .quality import op4_importance_resampling
 from .secrets import op8_secret_blob_ledger, secret_ledger_versions
 from .sharding import op10_rendezvous_sharding
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_secret_blob_ledger": op8_secret_blob_ledger,
     "op9_simhash_multi_index": op9_simhash_multi_index,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
+    "op11_inverted_multi_index": op11_inverted_multi_index,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_radix_co_bucketing": op13_radix_co_bucketing,
 }
@@ -39,6 +41,7 @@ QUERIES |= EXTRA
 ORACLES: dict[str, str] = {
     "op6_chat_event_fold": chat.ORACLE,
     "op8_secret_blob_ledger": secrets.ORACLE,
+    "op11_inverted_multi_index": op11_inverted_multi_index,
     "op12_fill_in_middle": infill.ORACLE,
     "secret_ledger_versions": secrets.ORACLE,
 }
