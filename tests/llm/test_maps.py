@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -267,14 +268,26 @@ def test_weights_and_sample_are_those_of_brute_force(spark):
     docs, labels = labelled(120)
     docs += [(500, None), (501, ""), (502, "no such words 1 2 3")]
     out = {r.doc_id: r for r in quality.weigh(table(spark, docs), quality.fit(table(spark, docs), spark.createDataFrame(labels + labels[:9], "doc_id long, quality int"))[0]).collect()}
-    raw, target = [1] * quality.BUCKETS, [0] * quality.BUCKETS
+    raw, target = [1] * quality.SIZE, [0] * quality.SIZE
     good = {i for i, q in labels if q}
     for i, t in docs:
         for b in quality.features(t or "").tolist():
             raw[b] += 1
             target[b] += i in good
     n, m = sum(raw), sum(target)
-    chance = lambda b: (target[b] + quality.SMOOTH * m * raw[b] / n) / (m * (1 + quality.SMOOTH))
+    rights = []
+    for smooth in quality.SMOOTHS:  # each labelled text by the counts of the others
+        right = {True: [], False: []}
+        for i, t in docs[:120]:
+            found = quality.features(t).tolist()
+            own = Counter(found) if i in good else Counter()
+            left = m - sum(own.values())
+            w = sum(math.log((target[b] - own[b] + smooth * m * raw[b] / n) / (left + smooth * m) * n / raw[b]) for b in found)
+            margin = (w + math.log(2 * len(good) / len(labels))) * (1 if i in good else -1)
+            right[i in good].append(1 / (1 + math.exp(-max(margin, -700))))
+        rights.append((round(sum(sum(x) / len(x) for x in right.values()), 6), smooth))
+    smooth = max(rights)[1]
+    chance = lambda b: (target[b] + smooth * m * raw[b] / n) / (m * (1 + smooth))
     weights = {i: sum(math.log(chance(b) * n / raw[b]) for b in quality.features(t or "").tolist()) for i, t in docs}
     assert {i: round(w, 6) for i, w in weights.items()} == {i: round(r.log_weight, 6) for i, r in out.items()}
     found = quality.resample(table(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
@@ -285,6 +298,30 @@ def test_weights_and_sample_are_those_of_brute_force(spark):
     assert all(r.gumbel_key == pytest.approx(keys[r.doc_id]) for r in found)
 
 
+def test_features_are_hashed_one_by_one(monkeypatch):
+    monkeypatch.setattr(quality, "KEPT_TOKENS", 3)
+    draw = random.Random(8)
+    for _ in range(200):
+        t = " ".join(draw.choice(["the", "The", "THE", "A", "x9X", "42", "!!", "%%% ###", "_", "é", "Éa", "中"]) for _ in range(draw.randint(0, 12)))
+        a, b = quality.features(t), quality.features(t)
+        n = len(quality.TOKEN.findall(t))
+        assert a.tolist() == b.tolist() and len(a) == max(0, 4 * n - 1)
+        assert all(x < quality.BUCKETS for x in a[: max(0, 2 * n - 1)]) and all(quality.BUCKETS <= x < quality.SIZE for x in a[max(0, 2 * n - 1) :])
+    assert [quality.shape(t) for t in ("the", "The", "THE", "A", "x9X", "42", "!!!!!!!!!!!", "é", "中")] == ["a", "Aa", "A", "x", "x", "9", "!!!!!!!!", "a", "x"]
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_labels_that_the_fit_has_not_seen(spark, scale):
+    """A third of the labels is held out: nine tenths of the good texts among them are kept, nine tenths of the others go."""
+    folder = f"/root/testdata/{scale}"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    held = [r for r in labels.collect() if r.doc_id % 3 == 1]
+    kept = {r.doc_id for r in quality.resample(docs, labels.where("doc_id % 3 <> 1")).select("doc_id").collect()}
+    for kind in (0, 1):
+        own = [(r.doc_id in kept) == bool(kind) for r in held if r.quality == kind]
+        assert len(own) > 2 and sum(own) >= 0.9 * len(own), (kind, sum(own), len(own))
+
+
 def test_noise_samples_in_proportion(spark):
     docs = [(0, "aa bb"), (1, "cc dd"), *((k, "x y") for k in range(2, 4000))]
     kept = {r.doc_id for r in quality.resample(table(spark, docs, extra=False), spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int"), k=1000).collect()}
