@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..errors import UserError
 from ..operators import gold, models, perplexity
+from ..operators.alignment import alignment_f1
 from ..operators import retrieval as R
 from ..sources import readers, writers
 from . import config as C
@@ -162,7 +163,7 @@ def cmd_perplexidade(a, c) -> None:
 def cmd_avaliar(a, c) -> None:
     base = [a.config, a.sobrescrever]
     configs = [C.load(*base, n, name=n) for n in a.configs or c["avaliacao"]["configs"]]
-    home, table, gains = jobs.evaluate(session(), a.gold, configs, a.leitores or list(c["avaliacao"]["leitores"]), client_maker(c), a.repeticoes or c["avaliacao"]["repeticoes"], a.retomar, a.limite, None, a.perplexidade, P.load(a.modelos_de_texto))
+    home, table, gains = jobs.evaluate(session(), a.gold, configs, a.leitores or list(c["avaliacao"]["leitores"]), client_maker(c), a.repeticoes or c["avaliacao"]["repeticoes"], a.retomar, a.limite, alignment_f1 if a.alinhamento else None, a.perplexidade, P.load(a.modelos_de_texto))
     for df in (table, gains):
         print(writers.markdown(df))
     print(home)
@@ -240,7 +241,7 @@ def parser() -> argparse.ArgumentParser:
     command("exportar-revisao", cmd_exportar_revisao, ("--candidatas", {"default": "data/gold_candidatas.jsonl"}), ("--trechos", {}), ("--saida", {"default": "data/gold_revisao.csv"}), ("--forcar", flag))
     command("importar-revisao", cmd_importar_revisao, ("--csv", need), ("--dividir", flag), ("--reservar-ppl", whole), ("--forcar", flag))
     command("perplexidade", cmd_perplexidade, ("--binario", need), ("--gguf-base", need), ("--gguf-ajustado", need), ("--texto", {}), ("--ctx", whole))
-    command("avaliar", cmd_avaliar, ("--gold", need), ("--configs", {"nargs": "+"}), ("--leitores", {"nargs": "+"} | readers_), ("--repeticoes", whole), ("--retomar", {}), ("--limite", whole), ("--perplexidade", {}), templates)
+    command("avaliar", cmd_avaliar, ("--gold", need), ("--configs", {"nargs": "+"}), ("--leitores", {"nargs": "+"} | readers_), ("--repeticoes", whole), ("--retomar", {}), ("--limite", whole), ("--perplexidade", {}), ("--alinhamento", flag), templates)
     command("smoke", cmd_smoke, ("--sem-rede", flag), ("--sem-bertscore", flag))
     command("stats", cmd_stats)
     return top

@@ -19,7 +19,7 @@ from ..errors import UserError
 from ..functions import text as T
 from ..operators import chunking, gold, ingest, metrics, models, verify
 from ..operators import retrieval as R
-from ..sources import readers, writers
+from ..sources import readers, store, writers
 from . import config as C
 from . import prompts as P
 
@@ -241,7 +241,7 @@ def evaluate(spark: SparkSession, gold_path: str, configs: list, readers_: list[
     handler = writers.run_log(home)
     try:
         answers = f"{home}/respostas"
-        done = readers.read_jsonl(spark, answers, readers.RESPONSE) if Path(answers).exists() else None
+        done = readers.read_jsonl(spark, answers, readers.RESPONSE) if store.exists(spark, answers) else None
         modes = {C.MODES[c["retriever"]] for c in configs}
         index_ = Index(spark, base, dense=bool(modes & {"dense", "hybrid"})) if modes != {"none"} else None
         models.require_models(make_client(), [C.reader_model(base, r) for r in readers_])
@@ -258,8 +258,8 @@ def evaluate(spark: SparkSession, gold_path: str, configs: list, readers_: list[
         rows = metrics.scored(responses, items)
         if bertscore:
             a, cache = base["avaliacao"], f"{base['paths']['runs_dir']}/.cache/bertscore"
-            known = spark.read.parquet(cache) if Path(cache).exists() else None
-            rows = metrics.with_stored_bertscore(rows, bertscore, known, cache, a["bertscore_modelo"], a["bertscore_num_layers"])
+            known = spark.read.parquet(cache) if store.exists(spark, cache) else None
+            rows = metrics.with_stored_bertscore(rows, bertscore, known, cache, getattr(bertscore, "cache_name", a["bertscore_modelo"]), a["bertscore_num_layers"])
         from ..operators.perplexity import latest
 
         found = latest(base["paths"]["runs_dir"], perplexity)

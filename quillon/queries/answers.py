@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import metrics, verify
-from .common import strip, table, words
+from ..operators import alignment, metrics, verify
+from .common import strip, table, tokens, words
 
 PHRASE = "De là"
 
@@ -139,7 +139,15 @@ def agreement_kappa(spark, sf_dir):
     return _rounded(metrics.kappa(a, b))
 
 
-QUERIES = {f.__name__: f for f in (abstention_detect, citation_extract, citation_valid, strip_citations, think_removed, json_objects, evidence_ids, normalize_em_f1, metrics_by_config, recall_by_config, error_kinds, paired_means, paired_gain, paired_gain_bootstrap, latency_quantiles, agreement_kappa)}
+def token_alignment(spark, sf_dir):
+    """How well each message covers the one before it, words weighing by their rarity among those."""
+    t = table(spark, sf_dir, "conversations")
+    pairs = t.select(F.struct("conv_id", "turn").alias("key"), F.col("text").alias("pred"), F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("ref"))
+    found = alignment.alignment(pairs, "key", alignment.inverse_frequencies(pairs, "ref"))
+    return _rounded(found.select("key.*", "precision", "recall", "f1"), 5)
+
+
+QUERIES = {f.__name__: f for f in (abstention_detect, citation_extract, citation_valid, strip_citations, think_removed, json_objects, evidence_ids, normalize_em_f1, metrics_by_config, recall_by_config, error_kinds, paired_means, paired_gain, paired_gain_bootstrap, latency_quantiles, agreement_kappa, token_alignment)}
 
 _LITTLE = ", ".join(f"'{w}'" for w in T.LITTLE_WORDS)
 
@@ -179,6 +187,22 @@ ORACLES = {
       w AS (SELECT conv_id, turn, {_normal("text")} AS p, {_normal("ref")} AS r FROM c WHERE ref IS NOT NULL),
       b AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(p), lambda t: least(len(list_filter(p, lambda x: x = t)), len(list_filter(r, lambda y: y = t))))), 0) AS c FROM w)
       SELECT conv_id, turn, md5(array_to_string(p, ' ')) AS normalised, (p = r)::INT AS em, round(CASE WHEN len(p) = 0 OR len(r) = 0 THEN (len(p) = len(r))::INT::DOUBLE ELSE 2.0::DOUBLE * c / (len(p) + len(r)) END, 6) AS f1 FROM b""",
+    "token_alignment": f"""WITH k AS (SELECT conv_id, turn, text AS p, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+      t AS (SELECT conv_id, turn, p, r, CASE WHEN len({tokens("p")}) > 0 THEN {tokens("p")} ELSE [p] END AS tp, CASE WHEN len({tokens("r")}) > 0 THEN {tokens("r")} ELSE [r] END AS tr FROM k),
+      df AS (SELECT w, count(*) AS df FROM (SELECT unnest(list_distinct(tr)) AS w FROM t WHERE r IS NOT NULL) GROUP BY w),
+      idf AS (SELECT w, ln(((SELECT count(*) FROM t WHERE r IS NOT NULL) + 1) / (df + 1)::DOUBLE) AS idf FROM df),
+      e AS (SELECT conv_id, turn, false AS side, unnest(tp) AS w FROM t WHERE p IS NOT NULL AND r IS NOT NULL UNION ALL SELECT conv_id, turn, true, unnest(tr) FROM t WHERE p IS NOT NULL AND r IS NOT NULL),
+      c AS (SELECT conv_id, turn, side, w, count(*) * coalesce(any_value(idf), (SELECT max(idf) FROM idf)) AS weight FROM e LEFT JOIN idf USING (w) GROUP BY ALL),
+      g AS (SELECT w, (('0x' || right(md5(substr('<' || w || '>', i, 3)), 3))::INT % 1024) AS b, count(*) AS n FROM (SELECT w, unnest(range(1, greatest(1, length(w)) + 1)) AS i FROM (SELECT DISTINCT w FROM e)) GROUP BY ALL),
+      l AS (SELECT w, sqrt(sum(n * n)) AS l FROM g GROUP BY w),
+      xy AS (SELECT DISTINCT a.w AS x, b.w AS y FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn = b.turn AND NOT a.side AND b.side),
+      d AS (SELECT x, y, sum(a.n * b.n) AS dot FROM xy JOIN g a ON a.w = x JOIN g b ON b.w = y AND b.b = a.b GROUP BY ALL),
+      s AS (SELECT x, y, dot / (a.l * b.l) AS cosine FROM d JOIN l a ON a.w = x JOIN l b ON b.w = y),
+      m AS (SELECT a.conv_id, a.turn, x, y, cosine FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn = b.turn AND NOT a.side AND b.side JOIN s ON x = a.w AND y = b.w),
+      best AS (SELECT conv_id, turn, false AS side, x AS w, max(cosine) AS cosine FROM m GROUP BY ALL UNION ALL SELECT conv_id, turn, true, y, max(cosine) FROM m GROUP BY ALL),
+      f AS (SELECT conv_id, turn, c.side, sum(weight * coalesce(cosine, 0)) / nullif(sum(weight), 0) AS mean FROM c LEFT JOIN best USING (conv_id, turn, side, w) GROUP BY ALL),
+      o AS (SELECT conv_id, turn, coalesce(any_value(mean) FILTER (NOT side), 0) AS p, coalesce(any_value(mean) FILTER (side), 0) AS r FROM f GROUP BY ALL)
+      SELECT conv_id, turn, round(p, 5) AS precision, round(r, 5) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 5) AS f1 FROM o""",
     "metrics_by_config": f"WITH {_SCORED} {_METRICS}",
     "recall_by_config": f"WITH {_SCORED}, m AS (SELECT config, leitor, avg(recall0) FILTER (able) AS r FROM e GROUP BY ALL) SELECT config, round(avg(r), 6) AS recall_at_5 FROM m GROUP BY config",
     "error_kinds": f"""WITH {_SCORED} SELECT config, leitor, CASE WHEN NOT able AND NOT quiet THEN 'hallucination' WHEN NOT able THEN 'right abstention' WHEN recall0 = 0 THEN 'retrieval miss' WHEN quiet THEN 'undue abstention' WHEN em0 = 1 THEN 'right'
