@@ -5,16 +5,15 @@ Order is kept in columns: blocks by (doc_id, page, block_idx), paragraphs by (do
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import UserError
 from ..functions import text as T
+from .titles import accepted_titles
 
 # A page with less text counts as empty; above this share of empty pages a document needs OCR.
 MIN_PAGE_CHARS, MAX_EMPTY_SHARE = 50, 0.8
-#: Titles that are folded together.
-RUN = 128
 #: The section before any title.
 NO_SECTION = "Sem título"
 
@@ -75,31 +74,6 @@ def parts(blocks: DataFrame, title: str = T.TITLE) -> DataFrame:
     )
 
 
-def accepted_titles(titles: DataFrame, order: list[str], jump: int = 5) -> DataFrame:
-    """Adds ``accepted`` to rows (doc_id, section_id, order...): whether the title follows the last accepted one.
-
-    That depends on all titles before, so it is a fold over a document's titles (few beside its text), not a window. The
-    fold goes over runs of RUN titles, so that what is decided isn't copied anew for each title.
-    """
-    rows = F.array_sort(F.collect_list(F.struct(*order, "section_id")))
-    none = F.array().cast("array<boolean>")
-    begin = F.struct(F.lit(None).cast("string").alias("now"), F.array().cast("array<array<boolean>>").alias("runs"))
-
-    def step(acc: Column, x: Column) -> Column:
-        now = F.when(acc["now"].isNotNull() & (acc["now"] != ""), acc["now"])
-        new, old = T.numbering(x["section_id"]), T.numbering(now)
-        ok = F.when(now.isNull(), True).when(F.size(old) == 0, False).otherwise(T.title_follows(new, old, jump))
-        return F.struct(F.when(ok, x["section_id"]).otherwise(acc["now"]).alias("now"), F.concat(acc["seen"], F.array(ok)).alias("seen"))
-
-    def run(acc: Column, part: Column) -> Column:
-        own = F.aggregate(part, F.struct(acc["now"].alias("now"), none.alias("seen")), step)
-        return F.struct(own["now"].alias("now"), F.concat(acc["runs"], F.array(own["seen"])).alias("runs"))
-
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / RUN).cast("int")), lambda k: F.slice("t", k * RUN + 1, RUN))
-    folded = titles.groupBy("doc_id").agg(rows.alias("t")).select("doc_id", "t", F.aggregate(parts, begin, run, lambda acc: F.flatten(acc["runs"])).alias("s"))
-    return folded.select("doc_id", F.explode(F.arrays_zip("t", "s")).alias("z")).select("doc_id", *(F.col(f"z.t.{c}").alias(c) for c in [*order, "section_id"]), F.col("z.s").alias("accepted"))
-
-
 def paragraphs(blocks: DataFrame, n_pages: DataFrame, share: float = 0.5, title: str = T.TITLE, min_chars: int = 25, check_order: bool = True, drop_repeated: bool = True) -> tuple[DataFrame, DataFrame]:
     """(doc_id, idx, page, section, section_id, text, is_title) and counts by document, from blocks with block_idx."""
     kept = without_repeated(blocks, repeated_keys(blocks, n_pages, share)) if drop_repeated else blocks

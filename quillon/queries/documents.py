@@ -113,11 +113,8 @@ def title_sequence(spark, sf_dir):
 
 def section_ffill(spark, sf_dir):
     """The section that each document of a source lies in: that of the last accepted title."""
-    from pyspark.sql import Window
-
     t = ingest.accepted_titles(_titles(spark, sf_dir), ["at"])
-    by = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return t.select(F.col("doc_id").alias("source"), F.col("at").alias("doc_id"), F.coalesce(F.last(F.when(F.col("accepted"), F.col("section_id")), ignorenulls=True).over(by), F.lit("")).alias("section_id"))
+    return t.select(F.col("doc_id").alias("source"), F.col("at").alias("doc_id"), F.col("current").alias("section_id"))
 
 
 _SEQUENCE = f"""RECURSIVE t AS (SELECT source, doc_id, {_NUMBER} AS section_id, list_transform(string_split({_NUMBER}, '.'), lambda x: x::INT) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),

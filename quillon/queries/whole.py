@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import UserError
 from ..functions import text as T
 from ..operators import chunking, gold, metrics, verify
 from ..operators import retrieval as R
 from ..sources import readers, writers
+from ..sources.store import scratch
 from . import answers, documents, search, sets
 from .common import estimate, table, tokens
 
@@ -23,16 +19,6 @@ DECOMPOSED = {"é": "é", "è": "è", "ê": "ê", "ü": "ü", "ö": "ö", "
 LEAST_SCORE = 40.0
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder for a query's own files, in spark.checkpoint.dir; without that, and in one process only, a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise UserError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp()
-    return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 def composed_tokens(spark, sf_dir):
     """Every third text is taken apart into letters and marks; tokens and answers must not show it."""
     taken = F.col("text")

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..errors import UserError
 
 
 def _opened(spark: SparkSession, path: str):
@@ -35,3 +41,20 @@ def size(spark: SparkSession, path: str) -> int:
     """Bytes below a folder, 0 if it isn't there."""
     fs, p = _opened(spark, path)
     return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files between steps, in spark.checkpoint.dir; without that, and in one process only, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise UserError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp()
+    return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written to a new folder there and read again."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
