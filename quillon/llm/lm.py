@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, cut, raw_texts, read, slices
+from .topk import top_k
 
 #: Symbols: the end of a text is number 0, then come single words, then tail classes.
 SYMBOLS, TAIL = 1536, 47
@@ -130,17 +131,28 @@ class Lexicon:
 
 
 def lexicon(counts: DataFrame, known: int = KNOWN, words: int = WORDS, tail: int = TAIL) -> Lexicon:
-    """Collects the most frequent words (``known`` at most) and a few totals; counts: a table or checkpoint."""
+    """Collects the most frequent words (``known`` at most, or ``words`` if that is more) and a few totals; counts: a table
+    or checkpoint.
+
+    Words come by whole levels of their count. Only if those that fit are fewer than the symbols, the next level gives
+    as many as fit, by the greatest hash.
+    """
+    known = max(known, words)
     all_words = counts.where("word <> X''")
     # counts by their logarithm: a few hundred rows tell from where on words are at most ``known``
     level = F.floor(F.log2("c") * 32).cast("int")
     levels = sorted(((r.l, r.n) for r in all_words.groupBy(level.alias("l")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    least, n = 1 << 30, 0
+    least, n, cut_level = 1 << 30, 0, None
     for at, k in levels:
         if n + k > known:
+            cut_level = at
             break
         least, n = at, n + k
-    found = all_words.where(level >= least).toArrow()
+    chosen = all_words.where(level >= least)
+    if cut_level is not None and n < words:
+        edge = all_words.where(level == cut_level).withColumn("_hash", F.xxhash64("word"))
+        chosen = chosen.unionByName(top_k(edge, "_hash", "_hash", known - n).select(*all_words.columns))
+    found = chosen.toArrow()
     top = sorted(zip(found["word"].to_pylist(), found["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
     words = min(words, len(top))
     single = {w for w, _ in top[:words]}
