@@ -25,7 +25,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, join_classes, map_rows, raw_texts, read
@@ -144,6 +144,8 @@ LIKENESS, SHINGLE = 0.8, 5
 BANDS, BAND = 24, 4
 #: Documents up to which a group of candidates is compared whole; larger ones are dealt into blocks.
 GROUP = 2000
+#: Bytes of shingle sets up to which that holds; postings that are walked at once.
+GROUP_BYTES, WALKED = 32 << 20, 1 << 20
 FACTORS = np.random.default_rng(SEED).integers(2**63, size=(BANDS * BAND, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -199,9 +201,12 @@ def verified(sets: list[np.ndarray], least: float = LIKENESS) -> list[int]:
         while waiting and left:
             x = waiting.pop()
             own = code[ends[x] - sizes[x] : ends[x]]
-            many = starts[own + 1] - starts[own]
-            at = np.repeat(starts[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            both = np.bincount(holders[at], minlength=len(sets))  # a set holds a shingle once
+            both, step = np.zeros(len(sets), np.int64), max(1, WALKED // len(sets))
+            for k in range(0, len(own), step):
+                part = own[k : k + step]
+                many = starts[part + 1] - starts[part]
+                at = np.repeat(starts[part] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                both += np.bincount(holders[at], minlength=len(sets))  # a set holds a shingle once
             near = np.flatnonzero((root < 0) & (both >= least * (sizes[x] + sizes - both) - 1e-9))
             root[near] = first
             left -= len(near)
@@ -231,25 +236,30 @@ def _compared(keyed: DataFrame, source: DataFrame) -> DataFrame:
     return sent.dropDuplicates(["first", "grp"]).groupBy("grp").applyInArrow(held, "grp bigint, a bigint, b bigint")
 
 
+def _blocks(n: Column, size: Column, group: int) -> Column:
+    """Blocks for n documents whose sets have ``size`` bytes together."""
+    return F.greatest(F.ceil(n / group), F.ceil(size / GROUP_BYTES)).cast("int")
+
+
 def _in_blocks(met: DataFrame, source: DataFrame, group: int) -> DataFrame:
-    """(a, b): links among the members of bands, rows (band, first, h, least, n), of which some have more than ``group``.
+    """(a, b): links among the members of bands, rows (band, first, h, size, least, n, bytes), of which some have more than
+    ``group`` documents or GROUP_BYTES.
 
     Such a band is dealt into blocks, and its least member goes into each of them. Members that reach it inside their
     block are one component already; only the others are held against all blocks, in blocks of their own. So no task
-    holds more than twice ``group`` documents, and a band of copies of one document costs each of them one comparison.
+    holds much more than twice ``group`` documents or GROUP_BYTES, and a band of copies of one document costs each of them one comparison.
     """
-    count = F.ceil(F.col("n") / group).cast("int")
-    dealt = met.withColumn("count", count).withColumn("block", F.pmod(F.xxhash64("first"), F.col("count")).cast("int"))
+    dealt = met.withColumn("count", _blocks(F.col("n"), F.col("bytes"), group)).withColumn("block", F.pmod(F.xxhash64("first"), F.col("count")).cast("int"))
     every = F.when(F.col("first") == F.col("least"), F.sequence(F.lit(0), F.col("count") - 1)).otherwise(F.array("block"))
     dealt = cut(dealt)
     keyed = dealt.select("first", "h", "band", F.explode(every).alias("block")).select("first", "h", F.xxhash64("band", "block").alias("grp"))
     inside = cut(_compared(keyed, source))
     left = dealt.where("count > 1").withColumn("grp", F.xxhash64("band", "block")).join(inside.withColumnRenamed("a", "first"), ["grp", "first"]).where("b <> least")
-    left = cut(left.select("band", "first", "h", "count"))
+    left = cut(left.select("band", "first", "h", "size", "count"))
     links = inside.select("a", "b")
     if left.isEmpty():
         return links
-    rows = left.groupBy("band").agg(F.ceil(F.count("*") / group).cast("int").alias("own"))
+    rows = left.groupBy("band").agg(_blocks(F.count("*"), F.sum("size"), group).alias("own"))
     own = left.join(rows, "band").withColumn("u", F.pmod(F.xxhash64("first", F.lit(1)), F.col("own")).cast("int"))
     others = dealt.join(rows, "band").select("first", "h", "band", "block", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("u"))
     asking = own.select("first", "h", "band", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("block"), "u")
@@ -262,36 +272,42 @@ def near_copies(docs: DataFrame, group: int = GROUP) -> DataFrame:
 
     Two documents are linked if their sets of five-word shingles, those of the whole texts, have a Jaccard index of 0.8
     or more. Documents that share a MinHash band are only candidates: groups of them (one document for each distinct
-    set) are held against each other on the sets themselves. A group of up to ``group`` documents goes to one task, a
-    larger one band by band, and those bands in blocks of that size. Rows with a null id are left out.
+    set) are held against each other on the sets themselves. A group of up to ``group`` documents and GROUP_BYTES of sets
+    goes to one task, a larger one band by band, and those bands in blocks of that size. Copies of a set are named once
+    it has its component, so they are no links. An id whose rows have several sets links these. Rows with a null id are
+    left out.
     """
     text = F.col("text").cast("string")
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).where("doc_id is not null")
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("set_id", pa.string()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("set_id", pa.string()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def make(batch: pa.RecordBatch) -> dict[str, list]:
         sets = [shingles(t) for t in raw_texts(batch)]
         own = {c: batch.column(c).to_pylist() for c in ("doc_id", "h")}
-        return own | {"set_id": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "bands": [bands(s) for s in sets]}
+        return own | {"set_id": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "size": [s.nbytes for s in sets], "bands": [bands(s) for s in sets]}
 
     marked = cut(map_rows(source, schema, make))
     # a set is found in the document of the least id that has it
-    classes = cut(marked.groupBy("set_id").agg(F.min(F.struct("doc_id", "h")).alias("x"), F.first("bands").alias("bands")).select("set_id", F.col("x.doc_id").alias("first"), F.col("x.h").alias("h"), "bands"))
-    same = join_classes(marked.select("doc_id", "set_id"), classes.select("set_id", "first"), "set_id", "inner").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b")
+    classes = cut(marked.groupBy("set_id").agg(F.min(F.struct("doc_id", "h")).alias("x"), F.first("size").alias("size"), F.first("bands").alias("bands")).select("set_id", F.col("x.doc_id").alias("first"), F.col("x.h").alias("h"), "size", "bands"))
+    named = cut(join_classes(marked.select("doc_id", "set_id"), classes.select("set_id", "first"), "set_id", "inner").select("doc_id", "first"))
+    several = cut(named.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").select("doc_id", "a"))
+    same = named.join(several, "doc_id").where("first <> a").select("a", F.col("first").alias("b")).distinct()
 
-    listed = classes.select("first", "h", F.explode("bands").alias("band"))
-    shared = listed.groupBy("band").agg(F.min("first").alias("least"), F.count("*").alias("n")).where("n > 1")
+    listed = classes.select("first", "h", "size", F.explode("bands").alias("band"))
+    shared = listed.groupBy("band").agg(F.min("first").alias("least"), F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
     met = cut(join_classes(cut(listed), shared, "band", "inner"))
     rooted = cut(components(met.select(F.col("first").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "first"))
-    large = cut(rooted.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > group).select("root", F.lit(True).alias("large")))
+    sizes = met.select("first", "size").distinct()
+    large = cut(rooted.join(sizes, "first").groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where((F.col("n") > group) | (F.col("bytes") > GROUP_BYTES)).select("root", F.lit(True).alias("large")))
     if large.isEmpty():
         near = _compared(met.join(rooted, "first").select("first", "h", F.col("root").alias("grp")), source).select("a", "b")
     else:
         placed = cut(met.join(join_classes(rooted, large, "root"), "first"))
         small = placed.where("large is null").select("first", "h", F.col("root").alias("grp"))
-        near = _compared(small, source).select("a", "b").unionByName(_in_blocks(placed.where("large").select("band", "first", "h", "least", "n"), source, group))
-    linked = components(same.unionByName(near.where("a <> b")))
-    return marked.select("doc_id").distinct().join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+        near = _compared(small, source).select("a", "b").unionByName(_in_blocks(placed.where("large").select("band", "first", "h", "size", "least", "n", "bytes"), source, group))
+    linked = components(same.unionByName(near.where("a <> b"))).withColumnRenamed("node", "first")
+    rooted = classes.select("first").distinct().join(linked, "first", "left").select("first", F.coalesce("root", "first").alias("root"))
+    return join_classes(named, cut(rooted), "first", "inner").groupBy("doc_id").agg(F.min("root").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 from zlib import crc32
 
 import numpy as np
@@ -68,6 +69,15 @@ def test_rare_words_are_joined_and_not_dropped(spark):
         assert few[i].base_score == pytest.approx(r.base_score, abs=1e-6) and few[i].score < 0
 
 
+@pytest.mark.parametrize("known", [5, 20, 200])
+def test_symbols_do_not_hang_on_what_is_known(spark, known):
+    rows = [(0, " ".join(f"word{k}" for k in range(52)))]  # one level of counts
+    counts = lm.cut(lm.word_counts(table(spark, rows, extra=False)))
+    lex = lm.lexicon(counts, known=known, words=10, tail=3)
+    assert lex.words == 10 and len(lex.index) == 1 + min(52, max(known, 10))
+    assert lex.total == 53 and lex.distinct == 53
+
+
 def fitted(spark, rows, words, tail):
     docs = table(spark, rows)
     counts = lm.cut(lm.word_counts(docs))
@@ -252,6 +262,39 @@ def test_near_copies_are_those_of_brute_force(spark, group):
         assert {r.doc_id for r in simhash.keep_one(table(spark, rows)).collect()} == set(root.values())
 
 
+def test_groups_are_bounded_by_bytes(spark, monkeypatch):
+    draw = random.Random(14)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(3, 9)))
+    base = [word() for _ in range(3000)]
+    rows = []
+    for i in range(40):  # near copies, in more bytes than a group may have
+        e = list(base)
+        for _ in range(5):
+            e[draw.randrange(len(e))] = word()
+        rows.append((i, " ".join(e)))
+    rows += [(100, "other words altogether " * 3), (7, "an id with a second text of its own")]
+    monkeypatch.setattr(simhash, "GROUP_BYTES", 200_000)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(table(spark, rows)).collect()}
+    assert got == {i: 0 for i in range(40)} | {100: 100}
+
+
+def test_verified_walks_postings_in_slices(monkeypatch):
+    import tracemalloc
+
+    draw = np.random.default_rng(2)
+    base = np.unique(draw.integers(2**63, size=20_000, dtype=np.uint64))
+    sets = [np.unique(np.concatenate((base[k:], draw.integers(2**63, size=k, dtype=np.uint64)))) for k in range(60)]
+    sets += [np.unique(draw.integers(2**63, size=50, dtype=np.uint64)) for _ in range(5)]
+    tracemalloc.start()
+    found = simhash.verified(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [0] * 60 + list(range(60, 65))
+    assert peak < 12 * sum(s.nbytes for s in sets)
+    monkeypatch.setattr(simhash, "WALKED", 100)
+    assert simhash.verified(sets[40:]) == [0] * 20 + list(range(20, 25))
+
+
 # ---- 8
 
 SECRET_TEXTS = [
@@ -301,13 +344,34 @@ def test_ledger_scans_only_what_is_new(spark):
 
 def test_hostile_texts_end_no_executor(spark):
     n = 100_000
-    texts = ["-----BEGIN " + "A " * n, "-----BEGIN " * n, "AKIA" * n, "ghp_" * n, "xoxb-" * n, "eyJ" * 5000, "eyJ" + "a." * n, "password" * n, "password" + " " * n, 'secret="' * n, "0123456789abcdef" * n, "token=abcdef1 " * 20_000]
+    texts = ["-----BEGIN " + "A " * n, "-----BEGIN " * n, "AKIA" * n, "ghp_" * n, "xoxb-" * n, "eyJ" * n, "eyJ" + "a." * n, "password" * n, "password" + " " * n, 'secret="' * n, "0123456789abcdef" * n, "token=abcdef1 " * 20_000]
     out = {r.doc_id: r for r in secrets.scan_documents(table(spark, list(enumerate(texts)), extra=False)).collect()}
     assert len(out) == len(texts) and out[10].n_hex == 1
     spans = out[11].base_spans.split(",")
     assert len(spans) == 20_000 and spans[-1] == f"assign:{14 * 19_999}:{14 * 19_999 + 13}"
 
 
+@pytest.mark.parametrize("kind", list(secrets.KINDS))
+def test_no_rule_is_slow_on_a_million_characters(spark, kind):
+    begins = {"assign": ["password", "token =", "api_key='", "secret="], "access": ["AKIA", "AKI"], "hex": ["0123456789abcdef", "0123456789abcdefg"], "private_key": ["-----BEGIN ", "-----BEGIN A"], "github": ["ghp_", "ghp_a1"], "slack": ["xoxb-", "xoxb"], "jwt": ["eyJ", "eyJabcdefghij.", "eyJ-"]}
+    texts = [b * (1_000_000 // len(b)) for b in begins[kind]] + [begins[kind][0] + c * 1_000_000 for c in ("a", " ", "-", "A", ".")]
+    rows = table(spark, list(enumerate(texts)), extra=False).repartition(4).persist()
+    rows.count()
+    rule = (secrets.BASE_RULES | secrets.ADDED_RULES)[kind]
+    began = time.monotonic()
+    assert rows.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(rule[1]), F.lit(0))).alias("n")).agg(F.count("n")).first()[0] == len(texts)
+    assert time.monotonic() - began < 2 * len(texts)
+    rows.unpersist()
+
+
+def test_guarded_tokens_are_found_where_runs_begin(spark):
+    good = "eyJhbGciOiJ.eyJzdWIiOiI.abcdefghij"
+    texts = [good, "x " + good + "." + good, "x" + good, "." + good, "eyJ." + good, good[:-3], "é" + good + " " + good]
+    out = {r.doc_id: r.spans for r in secrets.scan_documents(table(spark, list(enumerate(texts)), extra=False)).collect()}
+    plain = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    assert out == {i: ",".join(f"jwt:{m.start()}:{m.end()}" for m in plain.finditer(t)) for i, t in enumerate(texts)}
+
+
 def test_crowded_blobs_are_joined_whole(spark):
     rows = [(k, "password=abcdef123") for k in range(3000)] + [(k, f"text {k}") for k in range(3000, 3300)] + [(None, "password=abcdef123")] * 5
     found = secrets.scan_documents(table(spark, rows)).collect()
