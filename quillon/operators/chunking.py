@@ -1,83 +1,38 @@
 """Paragraphs to chunks within a token budget.
 
-Packing depends on what was packed before, so it is a fold over the paragraphs under one heading; paragraphs are never
-cut, and a chunk never spans two headings.
+Paragraphs are never cut, and a chunk never spans two headings. Where chunks begin is found by scans over paragraphs
+without their texts (see ``packing``), so a document and a heading may have any number of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import written
+from .packing import packed
 
 BINS = 10
 
 
-def segments(paragraphs: DataFrame) -> DataFrame:
-    """Paragraphs without titles, with ``seg``: a number that grows at each title and each change of section."""
-    by = Window.partitionBy("doc_id").orderBy("idx")
-    before = F.lag(F.struct("section_id", "section")).over(by)
-    begins = F.col("is_title") | before.isNull() | (before != F.struct("section_id", "section"))
-    return paragraphs.withColumn("_begins", begins.cast("int")).withColumn("seg", F.sum("_begins").over(by)).where("not is_title").drop("_begins")
-
-
-def packed(sizes: Column, most: int, least: int, per_word: float) -> Column:
-    """Group number of each member of an array of word counts.
-
-    A group takes members while its estimate stays within ``most``; a group below ``least`` joins the next one, unless
-    it is the last.
-    """
-    empty = F.array().cast("array<struct<first:int,n:int>>")
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("held"), F.lit(0).alias("words"), F.lit(0).alias("first"), empty.alias("groups"))
-    group = lambda first, n: F.array(F.struct(first.alias("first"), n.alias("n")))
-
-    def add(acc: Column, n: Column) -> Column:
-        over = (acc["held"] > 0) & (T.token_estimate(acc["words"] + n, per_word) > most)
-        return F.struct(
-            (acc["at"] + 1).alias("at"),
-            F.when(over, 1).otherwise(acc["held"] + 1).alias("held"),
-            F.when(over, n).otherwise(acc["words"] + n).alias("words"),
-            F.when(over, acc["at"]).otherwise(acc["first"]).alias("first"),
-            F.when(over, F.concat(acc["groups"], group(acc["first"], acc["words"]))).otherwise(acc["groups"]).alias("groups"),
-        )
-
-    groups = F.aggregate(sizes, start, add, lambda acc: F.concat(acc["groups"], group(acc["first"], acc["words"])))
-    # second fold: where groups still begin once small ones have joined their successors
-    begin = F.struct(F.lit(0).alias("words"), F.lit(True).alias("open"), F.array().cast("array<int>").alias("firsts"))
-
-    def join(acc: Column, g: Column) -> Column:
-        total = F.when(acc["open"], g["n"]).otherwise(acc["words"] + g["n"])
-        return F.struct(
-            total.alias("words"),
-            (T.token_estimate(total, per_word) >= least).alias("open"),
-            F.when(acc["open"], F.concat(acc["firsts"], F.array(g["first"]))).otherwise(acc["firsts"]).alias("firsts"),
-        )
-
-    firsts = F.aggregate(groups, begin, join, lambda acc: acc["firsts"])
-    # a group's number for each of its members: from where it begins to where the next one does
-    def numbers(begins: Column) -> Column:
-        ends = F.concat(F.slice(begins, 2, F.greatest(F.size(begins) - 1, F.lit(0))), F.array(F.size(sizes)))
-        return F.flatten(F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda x, k: F.array_repeat(k, x["b"] - x["a"])))
-
-    return F.transform(F.array(firsts), numbers)[0]
-
-
 def chunks(paragraphs: DataFrame, max_tokens: int = 400, min_tokens: int = 60, per_word: float = 1.3, overlap: int = 0) -> DataFrame:
     """(doc_id, id, section, section_id, page_start, page_end, n_paragraphs, n_tokens, text) in document order.
 
-    overlap: so many last paragraphs of the group before, in the same segment, come first.
+    overlap: so many last paragraphs of the chunk before, in the same segment, come first. Paragraphs (doc_id, idx, page,
+    section, section_id, text, is_title) have distinct idx within a document.
     """
-    rows = segments(paragraphs).withColumn("words", F.size(T.words(F.col("text"))))
-    packs = rows.groupBy("doc_id", "seg").agg(F.array_sort(F.collect_list(F.struct("idx", "page", "text", "words", "section", "section_id"))).alias("p"))
-    packs = packs.withColumn("g", packed(F.transform("p", lambda x: x["words"]), max_tokens, min_tokens, per_word))
-    numbered = packs.select("doc_id", "seg", F.posexplode(F.arrays_zip("p", "g")).alias("pos", "z")).select("doc_id", "seg", F.col("z.g").alias("grp"), "z.p.*")
-    groups = numbered.groupBy("doc_id", "seg", "grp").agg(F.array_sort(F.collect_list(F.struct("idx", "page", "text", "section", "section_id"))).alias("p"))
+    rows = written(paragraphs.select("doc_id", "idx", "page", "section", "section_id", "text", "is_title", F.size(T.words(F.col("text"))).alias("words")))
+    placed, made = packed(rows.select("doc_id", "idx", "words", F.col("is_title").alias("title"), F.struct("section_id", "section").alias("key")), max_tokens, min_tokens, per_word)
+    placed = placed.select(F.col("doc_id").alias("_doc"), F.col("idx").alias("_idx"), "chunk")
+    numbered = rows.join(placed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("idx") == F.col("_idx")))
+    groups = numbered.groupBy("doc_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("idx", "page", "text", "section", "section_id"))).alias("p"))
     if overlap:
-        before = F.lag("p").over(Window.partitionBy("doc_id", "seg").orderBy("grp"))
-        tail = F.slice(before, -F.least(F.lit(overlap), F.size(before)), F.least(F.lit(overlap), F.size(before)))
-        groups = groups.withColumn("p", F.when(before.isNotNull(), F.concat(tail, F.col("p"))).otherwise(F.col("p")))
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("seg", "grp")).cast("string")
+        groups = written(groups)
+        tails = groups.select(F.col("doc_id").alias("_doc"), (F.col("chunk") + 1).alias("_chunk"), F.slice("p", -F.least(F.lit(overlap), F.size("p")), F.least(F.lit(overlap), F.size("p"))).alias("tail"))
+        following = made.where(~F.col("opens")).join(tails, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("chunk") == F.col("_chunk"))).select("_doc", "_chunk", "tail")
+        groups = groups.join(following, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("chunk") == F.col("_chunk")), "left").withColumn("p", F.when(F.col("tail").isNotNull(), F.concat("tail", "p")).otherwise(F.col("p")))
+    number = F.col("chunk").cast("string")
     text = F.array_join(F.transform("p", lambda x: x["text"]), "\n")
     return groups.withColumn("id", F.concat(F.lit("t"), F.lpad(number, F.greatest(F.lit(4), F.length(number)), F.lit("0")))).select(
         "doc_id",

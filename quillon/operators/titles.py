@@ -6,8 +6,7 @@ titles that follows that number is accepted, and from there on the run's own tit
 their order of evaluation. The numbers that can be current at a run's beginning are those with which some run can end;
 they are few, as chains of accepted titles soon meet.
 
-Runs are ranges of the sorted titles, at most RUN each, so a document of any size lies in many tasks. Their maps are
-composed in groups of SPAN, and groups again, which gives every run's beginning; then all runs are decided at once.
+So the scan over runs (see ``scan``) decides documents of any size, each in many tasks.
 """
 
 from __future__ import annotations
@@ -16,14 +15,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..sources.store import written
+from . import scan
 
-#: Titles of a run; runs whose maps are composed together; comparisons held at once.
-RUN, SPAN, COMPARED = 4096, 1024, 1 << 22
+#: Comparisons held at once; numbers whose comparisons a task remembers.
+COMPARED, REMEMBERED = 1 << 22, 1 << 13
 
 
 def numbers(section_ids: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +68,7 @@ class _Known:
 
     def places(self, section_ids: Sequence[str]) -> np.ndarray:
         new = [s for s in dict.fromkeys(section_ids) if s not in self.at]
-        if len(self.names) + len(new) > 2 * RUN:  # what was known is given up
+        if len(self.names) + len(new) > REMEMBERED:  # what was known is given up
             self.names, self.at, new = [], {}, list(dict.fromkeys(section_ids))
             self.table = np.zeros((0, 0), bool)
         if new:
@@ -114,36 +114,15 @@ def decided(section_ids: Sequence[str], begin: str, known: _Known) -> tuple[list
 
 
 def runs(titles: DataFrame, order: list[str], jump: int) -> DataFrame:
-    """(doc_id, run, t, names, ends): the titles in runs, numbered in order (not without gaps), with what sums them up."""
-    spark = titles.sparkSession
+    """(doc_id, run, t, names, ends): the titles in runs, with what sums them up."""
     rows = titles.select("doc_id", *order, F.coalesce("section_id", F.lit("")).alias("section_id"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = rows.repartitionByRange(parts, "doc_id", *order).sortWithinPartitions("doc_id", *order)
-    strings = ArrayType(StringType())
-    item = StructType([f for f in rows.schema if f.name != "doc_id"])
-    schema = StructType([rows.schema["doc_id"], StructField("run", LongType()), StructField("t", ArrayType(item)), StructField("names", strings), StructField("ends", strings)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def sum_up():
+        known = _Known(jump)
+        return lambda batch: summed_up(batch.column("section_id").to_pylist(), known)
 
-        known, number = _Known(jump), TaskContext.get().partitionId() << 40
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column("doc_id").to_pylist()
-            begins = [0]
-            for i in range(1, len(ids)):
-                if ids[i] != ids[i - 1] or i - begins[-1] >= RUN:
-                    begins.append(i)
-            bounds = [*begins, len(ids)]
-            sections = batch.column("section_id").to_pylist()
-            names, ends = zip(*(summed_up(sections[a:b], known) for a, b in zip(bounds, bounds[1:], strict=False)), strict=True)
-            items = pa.StructArray.from_arrays([batch.column(f.name) for f in item], names=item.names)
-            listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), items)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(begins)), pa.array(range(number, number + len(begins)), pa.int64()), listed, pa.array(list(names), pa.list_(pa.string())), pa.array(list(ends), pa.list_(pa.string()))], names=schema.names)
-            number += len(begins)
-
-    return ranges.mapInArrow(run, schema)
+    strings = ArrayType(StringType())
+    return scan.in_runs(rows, "doc_id", order, [StructField("names", strings), StructField("ends", strings)], sum_up)
 
 
 def maps(found: DataFrame, jump: int) -> DataFrame:
@@ -168,33 +147,13 @@ def maps(found: DataFrame, jump: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _composed(listed: Column) -> Column:
-    """The maps of an array of (rank, map), one after the other."""
-    identity = F.sequence(F.lit(0), F.size(listed[0]["map"]) - 1)
-    return F.aggregate(listed, identity, lambda acc, x: F.transform(acc, lambda i: F.get(x["map"], i)))
-
-
-def _starts(listed: Column, begin: Column) -> Column:
-    """What is current before each of an array of (rank, map), if ``begin`` is before the first."""
-    start = F.struct(begin.cast("int").alias("now"), F.array().cast("array<int>").alias("all"))
-    return F.aggregate(listed, start, lambda acc, x: F.struct(F.get(x["map"], acc["now"]).alias("now"), F.concat(acc["all"], F.array(acc["now"])).alias("all")), lambda acc: acc["all"])
-
-
-def beginnings(mapped: DataFrame) -> DataFrame:
-    """(run, begin): the number that is current where a run begins."""
-    ranked = mapped.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("run")) - 1)
-    grouped = ranked.withColumn("part", F.floor(F.col("rank") / SPAN)).groupBy("doc_id", "part").agg(F.array_sort(F.collect_list(F.struct("rank", "run", "map"))).alias("own"), F.first("numbers").alias("numbers"))
-    wholes = grouped.select("doc_id", "part", _composed(F.col("own")).alias("map")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "map"))).alias("parts"))
-    placed = wholes.select(F.col("doc_id").alias("_doc"), F.posexplode(_starts(F.col("parts"), F.lit(0))).alias("_part", "begin"))
-    each = grouped.join(placed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("part") == F.col("_part"))).select("numbers", F.explode(F.arrays_zip(F.col("own"), _starts(F.col("own"), F.col("begin")).alias("at"))).alias("x"))
-    return each.select(F.col("x.own.run").alias("run"), F.get("numbers", F.col("x.at")).alias("begin"))
-
-
 def accepted_titles(titles: DataFrame, order: list[str], jump: int = 5) -> DataFrame:
     """(doc_id, order..., section_id, accepted, current): whether each title of a document, in order, follows the last
     accepted one, and the number that is current with it. Titles at one place are in any order; a null number is empty."""
     found = written(runs(titles, order, jump))
-    begun = found.select("doc_id", "run", "t").join(beginnings(maps(found, jump)), "run", "left")
+    mapped = maps(found, jump)
+    begun = found.select("doc_id", "run", "t").join(mapped.select("run", "numbers"), "run", "left").join(scan.entry_states(mapped, "doc_id"), "run", "left")
+    begun = begun.select("doc_id", "t", F.get("numbers", "entry").alias("begin"))
     item = found.schema["t"].dataType.elementType
     flagged = StructType([found.schema["doc_id"], StructField("t", ArrayType(item)), StructField("accepted", ArrayType(BooleanType())), StructField("current", ArrayType(StringType()))])
 
@@ -203,8 +162,7 @@ def accepted_titles(titles: DataFrame, order: list[str], jump: int = 5) -> DataF
         for batch in batches:
             if batch.num_rows:
                 t = batch.column("t")
-                sections = [x or [] for x in pa.ListArray.from_arrays(t.offsets, t.values.field("section_id")).to_pylist()]
-                flags, current = zip(*(decided(s, b or "", known) for s, b in zip(sections, batch.column("begin").to_pylist(), strict=True)), strict=True)
+                flags, current = zip(*(decided(s, b or "", known) for s, b in zip(scan.unpacked(t, "section_id"), batch.column("begin").to_pylist(), strict=True)), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), t, pa.array(list(flags), pa.list_(pa.bool_())), pa.array(list(current), pa.list_(pa.string()))], names=flagged.names)
 
     each = begun.mapInArrow(run, flagged).select("doc_id", F.explode(F.arrays_zip("t", "accepted", "current")).alias("x"))

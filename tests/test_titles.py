@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import titles
+from quillon.operators import scan, titles
 
 
 def plain_follows(new, current, jump=5):
@@ -58,8 +58,8 @@ def test_comparison_is_the_column_expressions(spark):
 
 @pytest.mark.parametrize(("run", "span", "compared"), [(1, 2, 1), (3, 2, 50), (7, 3, 1 << 22), (4096, 1024, 1 << 22)])
 def test_runs_give_what_one_fold_gives(spark, monkeypatch, run, span, compared):
-    monkeypatch.setattr(titles, "RUN", run)
-    monkeypatch.setattr(titles, "SPAN", span)
+    monkeypatch.setattr(scan, "RUN", run)
+    monkeypatch.setattr(scan, "SPAN", span)
     monkeypatch.setattr(titles, "COMPARED", compared)
     draw = random.Random(run)
     docs = {f"d{k}": [random_number(draw) for _ in range(n)] for k, n in enumerate((0, 1, 2, 30, 57, 5))}
@@ -89,4 +89,4 @@ def test_a_million_titles_of_one_document(spark):
     assert out.where("accepted").count() == sum(ok for ok, _ in plain)
     sample = {r["at"]: (r.accepted, r.current) for r in out.where("at % 1009 = 0 or at >= 999000").collect()}
     assert all(plain[i] == v for i, v in sample.items())
-    assert titles.runs(df, ["at"], 5).agg(F.max(F.size("t"))).first()[0] <= titles.RUN
+    assert titles.runs(df, ["at"], 5).agg(F.max(F.size("t"))).first()[0] <= scan.RUN
