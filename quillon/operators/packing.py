@@ -148,17 +148,21 @@ def chained(chain: Filling | Joining, rows: DataFrame, at: str) -> DataFrame:
     fields = [StructField("words", ArrayType(LongType())), StructField("fresh", ArrayType(BooleanType())), StructField("places", ArrayType(LongType())), StructField("first", key), StructField("last", key), StructField("title_first", BooleanType()), StructField("closed", BooleanType())]
 
     def sum_up():
-        def of(batch: pa.RecordBatch) -> tuple:
-            words, titles, keys, opens, ats = (batch.column(c).to_pylist() for c in ("words", "title", "key", "opens", at))
-            kept, fresh, where, new = [], [], [], False
-            for i, (w, title, k) in enumerate(zip(words, titles, keys, strict=True)):
-                new = new or title or opens[i] or (i > 0 and k != keys[i - 1])
-                if not title:
-                    kept.append(w)
-                    fresh.append(bool(new))
-                    where.append(ats[i])
-                    new = False
-            return kept, fresh, where, keys[0], keys[-1], bool(titles[0]), bool(titles[-1])
+        def of(batch: pa.RecordBatch):
+            words, titles, opens, ats, keys = (batch.column(c).to_pylist() for c in ("words", "title", "opens", at, "key"))
+
+            def of_run(a: int, b: int) -> tuple:
+                kept, fresh, where, new = [], [], [], False
+                for i in range(a, b):
+                    new = new or titles[i] or opens[i] or (i > a and keys[i] != keys[i - 1])
+                    if not titles[i]:
+                        kept.append(words[i])
+                        fresh.append(bool(new))
+                        where.append(ats[i])
+                        new = False
+                return kept, fresh, where, keys[a], keys[b - 1], bool(titles[a]), bool(titles[b - 1])
+
+            return of_run
 
         return of
 
@@ -191,23 +195,18 @@ def chained(chain: Filling | Joining, rows: DataFrame, at: str) -> DataFrame:
     entries = entered.select("run", "entry", F.last("last", ignorenulls=True).over(so_far).alias("carried"), F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("before"))
     out_type = StructType([found.schema["doc_id"], *(StructField(n, LongType()) for n in (at, "words", "start", "number")), StructField("fresh", BooleanType())])
 
-    def rows_of(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*found, strict=True))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(columns[0], pa.int64())), *(pa.array(c, pa.int64()) for c in columns[1:5]), pa.array(columns[5], pa.bool_())], names=out_type.names)
-
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for i, (words, fresh, where, opens, entry, carried, before) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("words", "fresh", "places", "opens", "entry", "carried", "before")), strict=True)):
+            columns = [batch.column(c).to_pylist() for c in ("words", "fresh", "places", "opens", "entry", "carried", "before")]
+            source, out = [], [[] for _ in range(5)]
+            for i, (words, fresh, where, opens, entry, carried, before) in enumerate(zip(*columns, strict=True)):
                 own = opened(fresh, opens)
-                at_ = places(chain, words, own, entry)
-                begins = np.cumsum([p == k for k, p in enumerate(at_)])
-                found += zip([i] * len(words), where, words, [where[p] if p >= 0 else carried for p in at_], (begins + before).tolist(), own, strict=True)
-                if len(found) >= scan.RUN:
-                    yield rows_of(batch, found)
-                    found = []
-            if found:
-                yield rows_of(batch, found)
+                begins = places(chain, words, own, entry)
+                number = np.cumsum([p == k for k, p in enumerate(begins)]) + before
+                source.extend([i] * len(words))
+                for column, more in zip(out, (where, words, [where[p] if p >= 0 else carried for p in begins], number.tolist(), own), strict=True):
+                    column.extend(more)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(source, pa.int64())), *(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.bool_())], names=out_type.names)
 
     known = held.join(entries, "run", "left").withColumn("entry", F.coalesce("entry", F.lit(0))).withColumn("before", F.coalesce("before", F.lit(0)))
     return known.mapInArrow(placed, out_type)

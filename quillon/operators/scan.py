@@ -19,11 +19,12 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 RUN, SPAN = 4096, 1024
 
 
-def in_runs(rows: DataFrame, by: str, order: list[str], fields: list[StructField] = (), sum_up: Callable[[], Callable[[pa.RecordBatch], tuple]] | None = None, size: int | None = None) -> DataFrame:
+def in_runs(rows: DataFrame, by: str, order: list[str], fields: list[StructField] = (), sum_up: Callable[[], Callable[[pa.RecordBatch], Callable[[int, int], tuple]]] | None = None, size: int | None = None) -> DataFrame:
     """(by, run, t, fields...): rows sorted by key and order, in runs of at most ``size`` (RUN); t: the array of the rows'
     other columns. Runs are numbered in order, not without gaps.
 
-    sum_up() gives, once a task, a function of a run's rows that returns the values of ``fields``.
+    sum_up() gives, once a task, a function of a batch that gives a function of a run's first row in it and the one behind
+    its last, which returns the values of ``fields``.
     """
     size = size or RUN
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -45,7 +46,7 @@ def in_runs(rows: DataFrame, by: str, order: list[str], fields: list[StructField
                 if keys[i] != keys[i - 1] or i - bounds[-1] >= size:
                     bounds.append(i)
             begins, bounds = bounds, [*bounds, len(keys)]
-            made = list(zip(*(make(batch.slice(a, b - a)) for a, b in zip(begins, bounds[1:], strict=True)), strict=True)) if make else []
+            made = list(zip(*map(make(batch), begins, bounds[1:]), strict=True)) if make else []
             items = pa.StructArray.from_arrays([batch.column(n) for n in item.names], names=item.names)
             own = [batch.column(by).take(pa.array(begins)), pa.array(range(number, number + len(begins)), pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), items)]
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(list(v), k) for v, k in zip(made, kinds, strict=True))], names=schema.names)

@@ -119,7 +119,12 @@ def runs(titles: DataFrame, order: list[str], jump: int) -> DataFrame:
 
     def sum_up():
         known = _Known(jump)
-        return lambda batch: summed_up(batch.column("section_id").to_pylist(), known)
+
+        def of(batch: pa.RecordBatch):
+            sections = batch.column("section_id").to_pylist()
+            return lambda a, b: summed_up(sections[a:b], known)
+
+        return of
 
     strings = ArrayType(StringType())
     return scan.in_runs(rows, "doc_id", order, [StructField("names", strings), StructField("ends", strings)], sum_up)
