@@ -1,149 +1,185 @@
-"""Configuration: a tree of known keys with types, read from YAML, merged, checked at once."""
+"""Configuration: one table of keys, each with its kind, default and allowed values; everything else follows from it.
+
+A configuration is a stack of layers, each a flat mapping of dotted names: defaults, files, experiments, changes, the
+environment. The uppermost layer that has a key gives its value; all values are then held against the table.
+"""
 
 from __future__ import annotations
 
 import os
 import re
+from collections import ChainMap
+from collections.abc import Iterator, Mapping
 from pathlib import Path
 from types import MappingProxyType
+from typing import NamedTuple
 
 from ..errors import UserError
+from ..operators import models
 
-# The keys of a configuration with their types and default values, as users' files have them.
-PATH, OPTIONAL_FLOAT, STRINGS = "path", "float?", "strings"
-KEYS = {
-    "paths": {"manual_pdf": (PATH, "data/manual.pdf"), "trechos": (PATH, "data/trechos.jsonl"), "index_dir": (PATH, "index"), "runs_dir": (PATH, "runs"), "gold_dev": (PATH, "data/gold_dev.jsonl"), "gold_test": (PATH, "data/gold_test.jsonl"), "ppl_holdout": (PATH, "data/ppl_holdout.txt")},
-    "ollama": {"host": (str, "http://localhost:11434"), "timeout_s": (float, 300.0)},
-    "modelos": {"leitor_base": (str, "qwen3:4b"), "leitor_ajustado": (str, "qwen3:4b-ajustado"), "embeddings": (str, "bge-m3"), "gerador": (str, "llama3.2:3b")},
-    "ingestao": {
-        "remover_cabecalhos_rodapes": (bool, True),
-        "limiar_repeticao_cabecalho": (float, 0.5),
-        "regex_titulo": (str, r"^(\d+(\.\d+){0,3})\s+[A-ZÁÉÍÓÚÂÊÔÃÕÇ][^\n]{2,80}$"),
-        "validar_sequencia_titulos": (bool, True),
-        "min_chars_paragrafo": (int, 25),
-    },
-    "trechos": {"max_tokens": (int, 400), "min_tokens": (int, 60), "tokens_por_palavra": (float, 1.3), "sobreposicao_paragrafos": (int, 0)},
-    "bm25": {"k1": (float, 1.5), "b": (float, 0.75), "remover_stopwords": (bool, True), "manter_acentos": (bool, True)},
-    "denso": {"dimensao": (int, 1024), "normalizar_l2": (bool, True), "batch_size": (int, 16)},
-    "retriever": (str, "hibrido"),
-    "k": (int, 5),
-    "k_candidatos_por_lista": (int, 20),
-    "rrf_c": (int, 60),
-    "decodificacao": {"temperature": (float, 0.0), "top_p": (float, 1.0), "seed": (int, 42), "num_ctx": (int, 8192), "num_predict": (int, 200), "think": (bool, False)},
-    "abstencao": {"frase": (str, "Não encontrado no manual"), "limiar_score": (OPTIONAL_FLOAT, None)},
-    "gold": {"n_candidatas": (int, 150), "frac_sem_resposta": (float, 0.2), "frac_dev": (float, 0.3), "seed": (int, 42)},
-    "avaliacao": {
-        "configs": (STRINGS, ("S0", "S1", "S2", "S3")),
-        "leitores": (STRINGS, ("base", "ajustado")),
-        "repeticoes": (int, 1),
-        "bertscore_modelo": (str, "neuralmind/bert-base-portuguese-cased"),
-        "bertscore_num_layers": (int, 9),
-        "ppl_ctx": (int, 2048),
-    },
-}
 MODES = {"nenhum": "none", "bm25": "lexical", "denso": "dense", "hibrido": "hybrid"}
 READERS = ("base", "ajustado")
 EXPERIMENTS = {"S0": {"retriever": "nenhum"}, "S1": {"retriever": "bm25"}, "S2": {"retriever": "denso"}, "S3": {"retriever": "hibrido"}}
 
 
-def defaults(keys: dict = KEYS) -> dict:
-    return {k: defaults(v) if isinstance(v, dict) else (list(v[1]) if v[0] == STRINGS else v[1]) for k, v in keys.items()}
-
-
-def merged(base: dict, other: dict) -> dict:
-    """``other`` over ``base``; sections are merged, all else is replaced."""
-    return base | {k: merged(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in other.items()}
-
-
-def _value(kind, x, name: str):
-    number = isinstance(x, (int, float)) and not isinstance(x, bool)
-    if kind == OPTIONAL_FLOAT:
-        kind = type(None) if x is None else float
-    if kind is float and number:
-        return float(x)
-    if kind == PATH and isinstance(x, str) and x:
-        return x
-    if kind == STRINGS and isinstance(x, (list, tuple)) and all(isinstance(y, str) for y in x):
-        return tuple(x)
-    if kind in (str, bool, type(None)) and isinstance(x, kind):
-        return x
-    if kind is int and number and isinstance(x, int):
-        return x
-    wanted = {PATH: "a path", STRINGS: "a list of texts", str: "a text", bool: "true or false", int: "a whole number", float: "a number"}.get(kind, str(kind))
-    raise UserError(f"configuration: {name} must be {wanted}")
+class Kind(NamedTuple):
+    """What a value may be in a file, what it becomes, and how that is named in messages."""
+
+    name: str
+    types: tuple[type, ...]
+    make: object = None
+
+
+TEXT, WORDS, PLACE = Kind("a text", (str,)), Kind("a text that isn't blank", (str,)), Kind("a path", (str,))
+PATTERN, ADDRESS = Kind("a regular expression", (str,)), Kind("a server's address", (str,), models.address)
+FLAG, WHOLE, NUMBER = Kind("true or false", (bool,)), Kind("a whole number", (int,)), Kind("a number", (int, float), float)
+MAYBE, LIST = Kind("a number or nothing", (int, float, type(None)), lambda x: None if x is None else float(x)), Kind("a list of texts", (list, tuple), tuple)
+
+# The keys of a configuration with their kinds, default values and allowed values (an interval, or a choice),
+# as users' files have them.
+KEYS: dict[str, tuple] = {
+    "paths.manual_pdf": (PLACE, "data/manual.pdf"),
+    "paths.trechos": (PLACE, "data/trechos.jsonl"),
+    "paths.index_dir": (PLACE, "index"),
+    "paths.runs_dir": (PLACE, "runs"),
+    "paths.gold_dev": (PLACE, "data/gold_dev.jsonl"),
+    "paths.gold_test": (PLACE, "data/gold_test.jsonl"),
+    "paths.ppl_holdout": (PLACE, "data/ppl_holdout.txt"),
+    "ollama.host": (ADDRESS, "http://localhost:11434"),
+    "ollama.timeout_s": (NUMBER, 300.0),
+    "modelos.leitor_base": (TEXT, "qwen3:4b"),
+    "modelos.leitor_ajustado": (TEXT, "qwen3:4b-ajustado"),
+    "modelos.embeddings": (TEXT, "bge-m3"),
+    "modelos.gerador": (TEXT, "llama3.2:3b"),
+    "ingestao.remover_cabecalhos_rodapes": (FLAG, True),
+    "ingestao.limiar_repeticao_cabecalho": (NUMBER, 0.5, "(0, 1]"),
+    "ingestao.regex_titulo": (PATTERN, r"^(\d+(\.\d+){0,3})\s+[A-ZÁÉÍÓÚÂÊÔÃÕÇ][^\n]{2,80}$"),
+    "ingestao.validar_sequencia_titulos": (FLAG, True),
+    "ingestao.min_chars_paragrafo": (WHOLE, 25),
+    "trechos.max_tokens": (WHOLE, 400, "[1, inf)"),
+    "trechos.min_tokens": (WHOLE, 60, "[0, inf)"),
+    "trechos.tokens_por_palavra": (NUMBER, 1.3, "(0, inf)"),
+    "trechos.sobreposicao_paragrafos": (WHOLE, 0, "[0, inf)"),
+    "bm25.k1": (NUMBER, 1.5),
+    "bm25.b": (NUMBER, 0.75),
+    "bm25.remover_stopwords": (FLAG, True),
+    "bm25.manter_acentos": (FLAG, True),
+    "denso.dimensao": (WHOLE, 1024, "[1, inf)"),
+    "denso.normalizar_l2": (FLAG, True),
+    "denso.batch_size": (WHOLE, 16, "[1, inf)"),
+    "retriever": (TEXT, "hibrido", tuple(MODES)),
+    "k": (WHOLE, 5, "[1, inf)"),
+    "k_candidatos_por_lista": (WHOLE, 20),
+    "rrf_c": (WHOLE, 60, "[0, inf)"),
+    "decodificacao.temperature": (NUMBER, 0.0),
+    "decodificacao.top_p": (NUMBER, 1.0),
+    "decodificacao.seed": (WHOLE, 42),
+    "decodificacao.num_ctx": (WHOLE, 8192),
+    "decodificacao.num_predict": (WHOLE, 200),
+    "decodificacao.think": (FLAG, False),
+    "abstencao.frase": (WORDS, "Não encontrado no manual"),
+    "abstencao.limiar_score": (MAYBE, None),
+    "gold.n_candidatas": (WHOLE, 150, "[1, inf)"),
+    "gold.frac_sem_resposta": (NUMBER, 0.2, "[0, 1)"),
+    "gold.frac_dev": (NUMBER, 0.3, "(0, 1)"),
+    "gold.seed": (WHOLE, 42),
+    "avaliacao.configs": (LIST, ("S0", "S1", "S2", "S3")),
+    "avaliacao.leitores": (LIST, ("base", "ajustado"), READERS),
+    "avaliacao.repeticoes": (WHOLE, 1, "[1, inf)"),
+    "avaliacao.bertscore_modelo": (TEXT, "neuralmind/bert-base-portuguese-cased"),
+    "avaliacao.bertscore_num_layers": (WHOLE, 9),
+    "avaliacao.ppl_ctx": (WHOLE, 2048),
+}
+# Keys of which the first must not be above the second.
+ORDERED = [("trechos.min_tokens", "trechos.max_tokens"), ("k", "k_candidatos_por_lista")]
+SECTIONS = {name.rpartition(".")[0] for name in KEYS} - {""}
 
 
-def checked(values: dict, keys: dict = KEYS, at: str = "") -> MappingProxyType:
-    """The values with their types, read-only; keys that are unknown or missing are errors."""
-    if not isinstance(values, dict):
-        raise UserError(f"configuration: {at.rstrip('.') or 'the file'} must be a section")
-    for label, wrong in (("unknown", set(values) - set(keys)), ("missing", set(keys) - set(values))):
-        if wrong:
-            raise UserError(f"configuration: {label} keys: {', '.join(at + k for k in sorted(wrong))}")
-    return MappingProxyType({k: checked(values[k], v, f"{at}{k}.") if isinstance(v, dict) else _value(v[0], values[k], at + k) for k, v in keys.items()})
+def within(interval: str, x: float) -> bool:
+    """Whether a number lies in an interval like "(0, 1]"."""
+    low, high = (float(end) for end in interval[1:-1].split(","))
+    return (low < x or low == x and interval[0] == "[") and (x < high or x == high and interval[-1] == "]")
 
 
-def _problems(c) -> list[str]:
-    t, g = c["trechos"], c["gold"]
+def is_pattern(text: str) -> bool:
     try:
-        re.compile(c["ingestao"]["regex_titulo"])
-        pattern = True
+        return bool(re.compile(text)) or True
     except re.error:
-        pattern = False
-    rules = [
-        (c["retriever"] in MODES, f"retriever must be one of {', '.join(MODES)}"),
-        (c["k"] >= 1, "k must be positive"),
-        (c["k_candidatos_por_lista"] >= c["k"], "k_candidatos_por_lista must be k at least"),
-        (c["rrf_c"] >= 0, "rrf_c must not be negative"),
-        (0 < c["ingestao"]["limiar_repeticao_cabecalho"] <= 1, "ingestao.limiar_repeticao_cabecalho must be in (0, 1]"),
-        (pattern, "ingestao.regex_titulo is no pattern"),
-        (0 <= t["min_tokens"] <= t["max_tokens"] and t["max_tokens"] >= 1, "trechos: 0 <= min_tokens <= max_tokens, and 1 <= max_tokens"),
-        (t["tokens_por_palavra"] > 0, "trechos.tokens_por_palavra must be positive"),
-        (t["sobreposicao_paragrafos"] >= 0, "trechos.sobreposicao_paragrafos must not be negative"),
-        (c["denso"]["dimensao"] >= 1 and c["denso"]["batch_size"] >= 1, "denso.dimensao and denso.batch_size must be positive"),
-        (0 <= g["frac_sem_resposta"] < 1 and 0 < g["frac_dev"] < 1, "gold.frac_sem_resposta must be in [0, 1), gold.frac_dev in (0, 1)"),
-        (g["n_candidatas"] >= 1, "gold.n_candidatas must be positive"),
-        (set(c["avaliacao"]["leitores"]) <= set(READERS), f"avaliacao.leitores: only {', '.join(READERS)}"),
-        (c["avaliacao"]["repeticoes"] >= 1, "avaliacao.repeticoes must be positive"),
-        (bool(c["abstencao"]["frase"].strip()), "abstencao.frase must not be empty"),
-    ]
-    return [text for ok, text in rules if not ok]
-
-
-def _read(path: str) -> dict:
+        return False
+
+
+def flat(tree: Mapping, above: str = "") -> Iterator[tuple[str, object]]:
+    """Dotted names and values of nested mappings. An empty section has none."""
+    for key, value in tree.items():
+        name = f"{above}{key}"
+        if isinstance(value, Mapping) and (value or name in SECTIONS):
+            yield from flat(value, f"{name}.")
+        else:
+            yield name, value
+
+
+def judged(name: str, value) -> tuple[object, str | None]:
+    """The value as it is used, or what it must be."""
+    kind, _, *allowed = KEYS[name]
+    fits = isinstance(value, kind.types) and (not isinstance(value, bool) or bool in kind.types)
+    fits = fits and not (kind is LIST and not all(isinstance(x, str) for x in value))
+    fits = fits and not (kind is PLACE and not value or kind is WORDS and not value.strip() or kind is PATTERN and not is_pattern(value))
+    if not fits:
+        return None, f"{name} must be {kind.name}"
+    value = kind.make(value) if kind.make else value
+    if allowed and isinstance(allowed[0], str) and not within(allowed[0], value):
+        return None, f"{name} must be in {allowed[0]}"
+    if allowed and isinstance(allowed[0], tuple) and not set(value if kind is LIST else [value]) <= set(allowed[0]):
+        return None, f"{name} must be of {', '.join(allowed[0])}"
+    return value, None
+
+
+def nested(values: Mapping[str, object]) -> MappingProxyType:
+    """Read-only mappings, one in the other, by the dots of the names."""
+    out: dict = {}
+    for name, value in values.items():
+        section, _, key = name.rpartition(".")
+        (out.setdefault(section, {}) if section else out)[key] = value
+    return MappingProxyType({k: MappingProxyType(v) if k in SECTIONS else v for k, v in out.items()})
+
+
+def file_layer(path: str) -> Mapping:
     import yaml
 
-    if not Path(path).is_file():
-        raise UserError(f"no configuration {path}; experiments: {', '.join(EXPERIMENTS)}")
     try:
-        found = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+        tree = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    except OSError:
+        raise UserError(f"no configuration {path}; experiments: {', '.join(EXPERIMENTS)}") from None
     except yaml.YAMLError as e:
         raise UserError(f"{path} is no YAML: {e}") from None
-    if not isinstance(found, dict):
+    if not isinstance(tree or {}, Mapping):
         raise UserError(f"{path} must hold keys and values")
-    return found
+    return tree or {}
+
+
+def layer(source: str | Mapping) -> dict[str, object]:
+    """What a source says, by dotted names."""
+    if isinstance(source, str):
+        source = EXPERIMENTS.get(source) or file_layer(source)
+    return dict(flat(source))
 
 
 def load(*sources: str | dict | None, name: str | None = None) -> MappingProxyType:
-    """The defaults with sources over them in order: files, names of experiments (S0 to S3), or dicts.
-
-    The environment's OLLAMA_HOST replaces the server's address. All rules that are broken are told at once.
-    """
-    values, last = defaults(), "base"
-    for s in sources:
-        if s is None:
-            continue
-        if isinstance(s, dict):
-            values = merged(values, s)
-        else:
-            values = merged(values, EXPERIMENTS[s] if s in EXPERIMENTS else _read(s))
-            last = Path(s).stem
-    if host := os.environ.get("OLLAMA_HOST"):
-        values = merged(values, {"ollama": {"host": host if "://" in host else f"http://{host}"}})
-    found = checked(values)
-    if wrong := _problems(found):
+    """The defaults below the sources in order: files, names of experiments (S0 to S3), or dicts; on top the environment's
+    OLLAMA_HOST. Everything that is wrong is told at once. A configuration is named after its last file or experiment."""
+    named = [s for s in sources if isinstance(s, str)]
+    layers = [layer(s) for s in sources if s is not None]
+    layers += [{"ollama.host": os.environ["OLLAMA_HOST"]}] if os.environ.get("OLLAMA_HOST") else []
+    stack = ChainMap(*reversed(layers), {key: default for key, (_, default, *_) in KEYS.items()})
+    wrong = [f"unknown key {key}" if key not in SECTIONS else f"{key} must be a section" for key in sorted(set(stack) - set(KEYS))]
+    values = {}
+    for key in KEYS:
+        values[key], problem = judged(key, stack[key])
+        wrong += [problem] if problem else []
+    wrong += [f"{a} must not be above {b}" for a, b in ORDERED if values[a] is not None and values[b] is not None and values[a] > values[b]]
+    if wrong:
         raise UserError("configuration: " + "; ".join(wrong))
-    return MappingProxyType(dict(found) | {"nome": name or last})
+    return MappingProxyType(dict(nested(values)) | {"nome": name or (Path(named[-1]).stem if named else "base")})
 
 
 def plain(c) -> dict:

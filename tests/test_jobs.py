@@ -1,6 +1,7 @@
 """Configuration, files, and whole jobs with the stand-in client."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,6 +165,29 @@ def test_configuration(tmp_path, monkeypatch):
         C.reader_model(C.load(), "other")
 
 
+def test_every_key_is_held_against_the_table():
+    from types import MappingProxyType
+
+    assert [C.within(i, x) for i, x in (("(0, 1]", 0), ("(0, 1]", 1), ("[0, 1)", 0), ("[0, 1)", 1), ("[1, inf)", 1), ("[1, inf)", 10**9))] == [False, True, True, False, True, True]
+    c = C.load()
+    for name, (kind, default, *allowed) in C.KEYS.items():
+        section, _, key = name.rpartition(".")
+        assert (c[section] if section else c)[key] == default
+        wrong = {C.FLAG: 1, C.WHOLE: 1.5, C.NUMBER: "1", C.LIST: [1], C.MAYBE: "x"}.get(kind, 3)
+        bad = [wrong] + ([float(allowed[0][1:-1].split(",")[0]) - 1] if allowed and isinstance(allowed[0], str) and kind is C.NUMBER else [])
+        for value in bad:
+            with pytest.raises(UserError, match=re.escape(name)):
+                C.load({section: {key: value}} if section else {key: value})
+    assert isinstance(c["gold"], MappingProxyType) and C.plain(c)["avaliacao"]["leitores"] == ["base", "ajustado"]
+    with pytest.raises(UserError, match="unknown key gold.x; unknown key nope"):
+        C.load({"gold": {"x": 1}, "nope": 1})
+    with pytest.raises(UserError, match="gold must be a section"):
+        C.load({"gold": 1})
+    with pytest.raises(UserError, match="k must not be above k_candidatos_por_lista"):
+        C.load({"k": 50})
+    assert C.load({"gold": {}}, None, "S2", name="own")["nome"] == "own" and C.load({}, "S2")["nome"] == "S2"
+
+
 def test_command_line(spark, made, tmp_path, capsys, monkeypatch):
     _, home, c, _, blocks, _ = made
     monkeypatch.chdir(tmp_path)
