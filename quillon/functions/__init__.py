@@ -1 +1 @@
-"""Column expressions: text, answers and vectors. All but ``nfc`` stay inside the JVM."""
+"""Column expressions: text, answers and vectors. All stay inside the JVM."""

@@ -11,10 +11,8 @@ import unicodedata
 from collections.abc import Sequence
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Typographic ligatures and what they stand for.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
@@ -38,15 +36,14 @@ UNCOMPOSED = (
 )
 
 
-@F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Canonical composition. Spark has no such function."""
-    return text.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+def _normalised(text: Column, form: str, compatible: bool) -> Column:
+    """``compose`` or ``decompose`` by the Unicode library that Spark itself uses for collations; not for nulls."""
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit(form), text, F.lit(compatible))
 
 
 def composed(text: Column) -> Column:
-    """The text in canonical composition. Only texts that it may change are sent to Python."""
-    return F.coalesce(nfc(F.when(text.rlike(r"[\x{300}-\x{10ffff}]") & text.rlike(UNCOMPOSED), text)), text)
+    """The text in canonical composition. Only texts that it may change are looked at further."""
+    return F.when(text.rlike(r"[\x{300}-\x{10ffff}]") & text.rlike(UNCOMPOSED), _normalised(text, "compose", False)).otherwise(text)
 
 
 def strip(text: Column) -> Column:
@@ -125,26 +122,18 @@ def without_thinking(text: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def accent_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Letters whose compatible decomposition has marks or other letters: one to one as (from, to), and the others."""
-    one, many = {}, []
-    for c in map(chr, [*range(0xAA, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x20A0), *range(0xFB00, 0xFB07)]):
-        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if plain != c and len(plain) == 1:
-            one[c] = plain
-        elif plain != c and plain:
-            many.append((c, plain))
-    return "".join(one), "".join(one.values()), tuple(many)
+def combining_marks() -> str:
+    """A pattern for the characters that combine with the one before them, from their classes."""
+    marks = [c for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))]
+    begins = [c for c in marks if not unicodedata.combining(chr(c - 1))]
+    ends = [c for c in marks if not unicodedata.combining(chr(c + 1))]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(begins, ends, strict=True)) + "]+"
 
 
 def without_accents(text: Column) -> Column:
-    """Without diacritics; compatible forms (ﬁ, ³) become plain. Covers Latin letters; other scripts are kept as they are."""
-    source, target, many = accent_table()
-    t = F.regexp_replace(F.translate(text, source, target), r"\p{Mn}+", "")
-    for a, b in many:
-        if b.strip() and a in "ﬁﬂﬀﬃﬄĳŉǆǉǌ½¼¾…":
-            t = F.replace(t, F.lit(a), F.lit(b))
-    return t
+    """Compatible forms (ﬁ, ³) made plain, letters taken apart, and their marks removed, in any script."""
+    plain = F.regexp_replace(_normalised(text, "decompose", True), combining_marks(), "")
+    return F.when(text.rlike(r"[^\x00-\x7f]"), plain).otherwise(text)
 
 
 @lru_cache(maxsize=1)

@@ -216,53 +216,61 @@ def distractors(ranked: DataFrame, evidence: DataFrame, chunks: DataFrame, wante
     return listed.select("q_id", F.posexplode(F.aggregate("c", start, take, lambda acc: acc["ids"])).alias("place", "id"))
 
 
-#: Characters, at most, of a short anchor's part by which the words that hold it are looked up.
-PART = 8
+#: Characters of the anchors in one automaton, some 60 bytes each in a task's memory.
+SHARD_CHARS = 1 << 20
 
 
-def _grams(word: Column, lengths: Sequence[int]) -> Column:
-    """The distinct runs of so many characters in the word; the word itself where it is shorter."""
+def anchor_shards(anchors: DataFrame, chars: int | None = None) -> list[DataFrame]:
+    """Distinct anchors (anchor) in parts of about ``chars`` characters (SHARD_CHARS), by their hash."""
+    distinct = anchors.select("anchor").distinct()
+    total = distinct.agg(F.sum(F.length("anchor"))).first()[0] or 0
+    n = max(1, -(-total // (chars or SHARD_CHARS)))
+    return [distinct.where(F.pmod(F.xxhash64("anchor"), F.lit(n)) == k) for k in range(n)]
 
-    def runs(chars: Column, n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
 
-    # bound to a name, the word is taken apart once
-    return F.array_distinct(F.flatten(F.flatten(F.transform(F.array(F.split(word, "")), lambda c: F.array(*(runs(c, n) for n in lengths))))))
+def holders(anchors: DataFrame, texts: DataFrame, chars: int | None = None) -> DataFrame:
+    """(anchor, id): the texts (id, text) that contain each anchor (anchor), wherever in them, once each.
 
-
-def _short_evidence(short: DataFrame, words: DataFrame, texts: DataFrame) -> DataFrame:
-    """(q_id, id) for anchors of one or two words, which may lie inside longer words.
-
-    Each distinct word of the corpus is met by the anchors whose longer part it holds, found by the part's first
-    characters; only texts with such a word are compared.
+    All anchors of a part are looked for in one pass over a text, by an Aho-Corasick automaton: the time is that of the
+    text and of what is found. A part is broadcast, and each part is one scan of the texts, which are not shuffled.
     """
-    first, last = (F.element_at(F.split("anchor", " "), place) for place in (1, -1))
-    part = F.when(F.length(first) < F.length(last), last).otherwise(first)
-    short = short.select("q_id", "anchor", part.alias("part")).withColumn("gram", F.substring("part", 1, PART)).distinct()
-    lengths = sorted(r[0] for r in short.select(F.length("gram")).distinct().collect())  # PART numbers at most
-    if not lengths:
-        return short.select("q_id", F.lit(None).cast(texts.schema["id"].dataType).alias("id"))  # no rows
-    grams = words.select("word").distinct().select("word", F.explode(_grams(F.col("word"), lengths)).alias("gram"))
-    holders = grams.join(short, "gram").where(F.contains("word", "part")).select("q_id", "anchor", "word")
-    met = holders.join(words, "word").select("q_id", "anchor", "id").distinct()
-    return met.join(texts, "id").where(F.contains("text", "anchor")).select("q_id", "id")
+    spark = texts.sparkSession
+    kind = texts.schema["id"].dataType.simpleString()
+    found = []
+    for part in anchor_shards(anchors, chars):
+        names = [r.anchor for r in part.where("anchor <> ''").collect()]  # bounded by the part's characters
+        if not names:
+            continue
+        shared = spark.sparkContext.broadcast(names)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            names, automaton = shared.value, ahocorasick.Automaton()
+            for k, name in enumerate(names):
+                automaton.add_word(name, k)
+            automaton.make_automaton()
+            for batch in batches:
+                rows, held = [], []
+                for i, text in enumerate(batch.column("text").to_pylist()):
+                    own = {k for _, k in automaton.iter(text)} if text else ()
+                    rows += [i] * len(own)
+                    held += [names[k] for k in own]
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), batch.column("id").take(pa.array(rows, pa.int64()))], names=["anchor", "id"])
+
+        found.append(texts.select("id", "text").mapInArrow(run, f"anchor string, id {kind}"))
+    if not found:
+        return texts.where("false").select(F.lit("").alias("anchor"), "id")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def anchor_evidence(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(q_id, id, n_chunks): chunks (id, text) whose text holds the anchor (q_id, anchor), both with spaces collapsed.
-
-    Containment is no equality, but every containing text has all of the anchor's words in place; so anchors meet only
-    texts that share the anchor's rarest word, and are then compared. Anchors without words meet nothing.
-    """
+    """(q_id, id, n_chunks): chunks (id, text) whose text holds the anchor (q_id, anchor), both with spaces collapsed and
+    in lower case. Anchors without words meet nothing; repeated rows of a chunk count each."""
     flat = lambda c: F.lower(F.array_join(T.words(F.col(c)), " "))
     asked = anchors.select("q_id", flat("anchor").alias("anchor")).where("anchor <> ''")
-    texts = chunks.select("id", flat("text").alias("text"))
-    words = texts.select("id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    parts = F.split("anchor", " ")
-    # inner words are whole in any text that contains the anchor; its first and last may be parts of longer words
-    keyed = asked.where(F.size(parts) > 2).select("q_id", "anchor", F.explode(F.array_distinct(F.slice(parts, F.lit(2), F.size(parts) - 2))).alias("word"))
-    spread = words.join(keyed.select("word").distinct(), "word").groupBy("word").agg(F.count("*").alias("df"))
-    rare = keyed.join(spread, "word", "left").groupBy("q_id", "anchor").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("w"))
-    by_word = rare.select("q_id", "anchor", F.col("w.word").alias("word")).join(words, "word").join(texts, "id").where(F.contains("text", "anchor"))
-    found = by_word.select("q_id", "id").unionByName(_short_evidence(asked.where(F.size(parts) < 3), words, texts))
-    return found.withColumn("n_chunks", F.count("*").over(Window.partitionBy("q_id")))
+    met = holders(asked, chunks.select("id", flat("text").alias("text")))
+    return asked.join(met, "anchor").select("q_id", "id").withColumn("n_chunks", F.count("*").over(Window.partitionBy("q_id")))

@@ -150,6 +150,24 @@ def test_anchor_evidence_finds_parts_of_words(spark):
     assert {(r.q_id, r.id, r.n_chunks) for r in R.anchor_evidence(a, c).collect()} == {(1, "t1", 1), (3, "t2", 1)}
 
 
+def test_anchors_in_parts_are_found_in_one_scan_each(spark):
+    import random
+
+    draw = random.Random(21)
+    word = lambda: "".join(draw.choice("abc") for _ in range(draw.randint(1, 3)))
+    anchors = sorted({" ".join(word() for _ in range(draw.randint(1, 3))) for _ in range(300)})
+    texts = [(i, " ".join(word() for _ in range(draw.randint(0, 30)))) for i in range(120)] + [(500, ""), (501, None), (7, "a repeated id")]
+    a = spark.createDataFrame([(x,) for x in anchors], "anchor string")
+    assert len(R.anchor_shards(a, 100)) > 5
+    found = R.holders(a, spark.createDataFrame(texts, "id int, text string"), 100)
+    assert sorted((r.anchor, r.id) for r in found.collect()) == sorted((x, i) for x in anchors for i, t in texts if t and x in t)
+    assert "Exchange" not in R.holders(a, spark.createDataFrame(texts, "id int, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert R.holders(a.limit(0), spark.createDataFrame(texts, "id int, text string")).collect() == []
+    many = spark.range(100_000).selectExpr("concat('key ', id, ' of many') as anchor")
+    some = spark.createDataFrame([(1, "x key 77 of many y key 99999 of many key 100000 of many")], "id int, text string")
+    assert {r.anchor for r in R.holders(many, some).collect()} == {"key 77 of many", "key 99999 of many"}
+
+
 def test_anchor_evidence_of_any_length_is_that_of_brute_force(spark):
     texts = [("t1", "a casa azul"), ("t2", "casas  azuis"), ("t3", "descasado AZULEJO"), ("t4", None), ("t5", ""), ("t6", "😀éa" + "b" * 50_000 + " fim"), ("t7", "incomunicabilidade e comunicabilidades")]
     anchors = ["casa", "casa azul", "a", "s az", "bbb", "b f", "😀", "éa", "comunicabilidade", "comunicabilidade e", "a casa azul", "ca azul", "zz", " ", None, "b" * 50_000]

@@ -214,3 +214,22 @@ N = 100_000
 )
 def test_long_texts_neither_crash_nor_stall(ev, expression, text, value):
     assert ev(expression, text) == value
+
+
+def test_normal_forms_are_pythons_in_every_script(spark):
+    import random
+    import unicodedata
+
+    draw = random.Random(17)
+    known = [chr(c) for c in range(0x20, 0x30000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    some = draw.sample(known, 4000) + ["".join(draw.choice(known[:3000]) + chr(draw.randrange(0x300, 0x370)) for _ in range(3)) for _ in range(500)] + ["Ελλάδα", "наждак й", "हिन्दी", "각 가나", "ﬁ ½ ㎏ Å", None, ""]
+    df = spark.createDataFrame([(t,) for t in some], "t string")
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    for r in df.select("t", T.composed(F.col("t")).alias("c"), T.without_accents(F.col("t")).alias("a")).collect():
+        assert (r.c, r.a) == ((None, None) if r.t is None else (unicodedata.normalize("NFC", r.t), plain(r.t))), repr(r.t)
+
+
+def test_tokens_stay_in_the_jvm(spark):
+    df = spark.createDataFrame([("é x",)], "t string")
+    plan = df.select(T.tokens(F.col("t")), T.answer_text(F.col("t")), T.without_accents(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
