@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..errors import UserError
 from ..functions import text as T
+from ..sources.store import written
 from .retrieval import distractors
+from .select import least_keys
 
 # Kinds of questions, decisions of reviewers, columns of the review file.
 KINDS = ("factual", "procedimental", "sem_resposta")
@@ -32,18 +34,22 @@ def quotas(counts: DataFrame, n: int, group: str = "grp") -> DataFrame:
     """(group, size, quota) from (group, size): n in proportion to size, each group one if n allows, by largest remainder.
 
     No quota exceeds its group: what is left over goes round again, which the largest remainder never needs more than
-    once here, as no share exceeds its group's size.
+    once here, as no share exceeds its group's size. Groups may be any number: their totals are sums, and the largest
+    remainders are found by counting their digits. ``counts`` is written, as it is read several times.
     """
-    every = Window.partitionBy(F.lit(0))  # groups, not rows: a few numbers for each
-    t = counts.withColumn("groups", F.count("*").over(every)).withColumn("total", F.sum("size").over(every))
-    t = t.withColumn("n", F.least(F.lit(n), F.col("total"))).withColumn("base", F.when(F.col("n") >= F.col("groups"), 1).otherwise(0))
-    spare = F.col("n") - F.col("base") * F.col("groups")
-    room = F.col("total") - F.col("base") * F.col("groups")
-    t = t.withColumn("ideal", F.when(room > 0, spare * (F.col("size") - F.col("base")) / room).otherwise(F.lit(0.0)))
-    t = t.withColumn("whole", F.col("base") + F.floor("ideal"))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.round(F.floor("ideal") - F.col("ideal"), 9), F.md5(F.col(group).cast("string")), F.col(group))
-    t = t.withColumn("left", F.col("n") - F.sum("whole").over(every)).withColumn("turn", F.row_number().over(order))
-    return t.select(group, "size", (F.col("whole") + F.when((F.col("turn") <= F.col("left")) & (F.col("whole") < F.col("size")), 1).otherwise(0)).alias("quota"))
+    counts = written(counts.select(group, "size"))
+    all_ = counts.agg(F.count("*").alias("groups"), F.coalesce(F.sum("size"), F.lit(0)).alias("total")).first()
+    n = min(n, all_.total)
+    base = 1 if n >= all_.groups else 0
+    room = all_.total - base * all_.groups
+    ideal = (n - base * all_.groups) * (F.col("size") - base) / F.lit(room) if room > 0 else F.lit(0.0)
+    # the larger the remainder, the less the key; at nine decimals, ties in the order of a hash
+    rest = F.lit(10**9) + F.round(F.round(F.floor("ideal") - F.col("ideal"), 9) * 10**9).cast("bigint")
+    t = counts.withColumn("ideal", ideal).withColumn("whole", (base + F.floor("ideal")).cast("bigint"))
+    t = t.withColumn("key", F.concat(F.lpad(F.lower(F.hex(rest)), 9, "0"), F.md5(F.coalesce(F.col(group).cast("string"), F.lit("")))))
+    left = n - (t.agg(F.sum("whole")).first()[0] or 0)
+    more = least_keys(t, F.col("key"), 41, left) & (F.col("whole") < F.col("size"))
+    return t.select(group, "size", (F.col("whole") + F.when(more, 1).otherwise(0)).alias("quota"))
 
 
 def stratified_sample(rows: DataFrame, n: int, group: str, id_col: str = "id", seed: int = 42) -> DataFrame:
@@ -51,7 +57,7 @@ def stratified_sample(rows: DataFrame, n: int, group: str, id_col: str = "id", s
     within hash parts of a group first, of which only as many as the quota go on."""
     named = rows.withColumn("_h", shuffled(seed, F.col(id_col).cast("string"))).withColumn("grp", F.col(group))
     share = quotas(named.groupBy("grp").agg(F.count("*").alias("size")), n)
-    near = named.join(F.broadcast(share.select("grp", "quota")), "grp").withColumn("_part", F.substring("_h", 1, 2))
+    near = named.join(share.where("quota > 0").select("grp", "quota"), "grp").withColumn("_part", F.substring("_h", 1, 2))
     first = near.withColumn("_k", F.row_number().over(Window.partitionBy("grp", "_part").orderBy("_h", id_col))).where("_k <= quota")
     return first.withColumn("_k", F.row_number().over(Window.partitionBy("grp").orderBy("_h", id_col))).where("_k <= quota").drop("_k", "_part", "_h", "grp", "quota")
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.errors import ModelError, UserError
-from quillon.operators import chunking, gold, ingest, metrics, models, perplexity
+from quillon.operators import chunking, gold, ingest, metrics, models, perplexity, select
 from quillon.operators import retrieval as R
 
 
@@ -236,6 +236,30 @@ def test_training_set(spark):
     assert sum(r.part == "validation" for r in out.values()) == 2
 
 
+def test_least_keys_are_those_of_sorting(spark, monkeypatch):
+    import random
+
+    draw = random.Random(5)
+    keys = [f"{draw.randrange(16**6):06x}" for _ in range(3000)] + ["0000aa"] * 7 + ["ffffff"] * 3
+    rows = spark.createDataFrame([(k,) for k in keys], "k string").persist()
+    keys.sort()
+    for step in (1, 3, 4):
+        monkeypatch.setattr(select, "STEP", step)
+        for k in (0, 1, 7, 8, 1500, 3007, 3009, 3010, 5000):
+            found = sorted(r.k for r in rows.where(select.least_keys(rows, F.col("k"), 6, k)).collect())
+            assert found == [x for x in keys if k and x <= keys[min(k, len(keys)) - 1]], (step, k)
+
+
+def test_quotas_over_a_million_groups(spark):
+    n = 1_000_000
+    counts = spark.range(n).select(F.col("id").alias("grp"), (1 + F.col("id") % 3).alias("size"))
+    q = gold.quotas(counts, 1_300_000)
+    assert "Window" not in q._jdf.queryExecution().executedPlan().toString()
+    found = q.agg(F.sum("quota"), F.min("quota"), F.count_if(F.col("quota") > F.col("size")), F.count("*")).first()
+    assert tuple(found) == (1_300_000, 1, 0, n)
+    assert q.where("size = 1").agg(F.max("quota")).first()[0] == 1
+
+
 def test_quotas_by_largest_remainder(spark):
     counts = lambda d: spark.createDataFrame(list(d.items()), "grp string, size long")
     q = lambda d, n: {r.grp: r.quota for r in gold.quotas(counts(d), n).collect()}
