@@ -219,9 +219,43 @@ class Automaton:
         return end
 
     def found(self, text: list[bytes], joined: bytes) -> bool:
+        """Whether a match begins anywhere: one pass, in which a thread begins at every word.
+
+        Of the threads in a region without an upper length, the one that began first takes all that the others take, so
+        it alone goes on; a counted region holds as many as fit its length.
+        """
         if self.key not in joined:
             return False
-        return any((self.begins is None or w in self.begins) and self.accepts(text, k) >= 0 for k, w in enumerate(text))
+        threads: set[tuple[int, int, int]] = set()
+        for k, word in enumerate(text):
+            if not threads and self.begins is not None and word not in self.begins:
+                continue
+            threads.add((0, -1, 0))
+            threads = self._closed(threads, text, k)
+            if self.accepted(threads):
+                return True
+            threads = self._stepped(threads, text, k)
+        return self.accepted(self._closed(threads, text, len(text)))
+
+    def accepted(self, threads: set[tuple[int, int, int]]) -> bool:
+        return (self.final, -1, 0) in threads
+
+    def _stepped(self, threads: set[tuple[int, int, int]], text: list[bytes], k: int) -> set[tuple[int, int, int]]:
+        """The threads behind word k."""
+        word, size = text[k], None
+        following, first = set(), {}
+        for s, begin, length in threads:
+            if begin < 0:
+                following.update((n, -1, 0) for w, n in self.steps[s] if w == word)
+                continue
+            size = len(word.decode("utf-8", "replace")) if size is None else size
+            region, grown = self.regions[s][0], length + size + (k > begin)
+            if region.pattern is None and region.most is None:
+                if s not in first or begin < first[s][1]:
+                    first[s] = (s, begin, grown)
+            elif region.may_grow(text, begin, k + 1, grown):
+                following.add((s, begin, grown))
+        return following.union(first.values())
 
 
 AUTOMATA = {name: Automaton(t) for name, t in TEMPLATES.items()}

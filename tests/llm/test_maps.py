@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -124,6 +125,30 @@ def test_broken_markup_is_an_error(broken):
         license.Automaton(broken)
 
 
+@pytest.mark.parametrize("name", list(license.TEMPLATES))
+def test_a_megabyte_of_beginnings_takes_seconds(name):
+    a = license.AUTOMATA[name]
+    plain = re.sub(r"<<.*?>>", " x ", license.TEMPLATES[name])
+    grant = " ".join(plain.split()[:-1]) + " "  # all but its last word, again and again, and its longest wording alone
+    text = (grant * (1_000_000 // len(grant)) + "filler " * 100).encode() + a.key
+    found = license.words(text)
+    began = time.monotonic()
+    wanted = a.found(license.words(license.TEMPLATES[name].encode()), a.key)
+    a.found(found, b" " + b" ".join(found) + b" ")
+    license.scan((plain.split()[0] + " ").encode() * 150_000 + a.key)
+    assert time.monotonic() - began < 8 and wanted in (True, False)
+
+
+def test_one_pass_finds_what_every_beginning_finds():
+    draw = random.Random(33)
+    for template in ('a <<var;name="v";original="";match=".+">> b <<var;name="v";original="";match=".{0,4}">> c', '<<var;name="v";original="";match=".*">> a b', "a <<beginOptional>>b<<endOptional>> a c", 'a <<var;name="v";original="";match="b+|c d">> e'):
+        a = license.Automaton(template)
+        for _ in range(400):
+            text = [draw.choice([b"a", b"b", b"c", b"d", b"e"]) for _ in range(draw.randint(0, 14))]
+            each = a.key in b" " + b" ".join(text) + b" " and any((a.begins is None or w in a.begins) and a.accepts(text, k) >= 0 for k, w in enumerate(text))
+            assert a.found(text, b" " + b" ".join(text) + b" ") is each, (template, text)
+
+
 def test_automata_accept_what_a_plain_matcher_does():
     draw = random.Random(31)
     for _ in range(300):
