@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import written
+from . import scan
 from .gold import UNANSWERABLE
 
 #: Numbers that a bootstrap draws at once.
@@ -197,17 +199,45 @@ def paired_gain(rows: DataFrame, n: int = 1000, seed: int = 42) -> DataFrame:
     return paired(rows).groupBy("config", "metrica").applyInPandas(gain, schema)
 
 
-def hashed_bootstrap(values: DataFrame, by: list[str], value: str, order: str, n: int = 200, seed: int = 42) -> DataFrame:
+#: Rows of a block, and draws that are dealt out together, of the hashed bootstrap.
+BLOCK, DEALT = 256, 4096
+
+
+def _hashed(*parts: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("bigint")
+
+
+def _in_blocks(values: DataFrame, value: str, order: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """(g, block, v): the values of each group (g) by ``order``, in blocks of so many; (g, m): their numbers."""
+    runs = written(scan.in_runs(values.select("g", F.col(order).alias("o"), F.col(value).cast("double").alias("x")), "g", ["o"]))
+    counted = runs.select("g", "run", F.size("t").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = runs.join(counted.select("run", before.alias("before")), "run").select("g", "before", F.posexplode("t").alias("at", "r"))
+    row = placed.select("g", (F.col("before") + F.col("at")).alias("at"), F.col("r.x").alias("x"))
+    blocks = row.groupBy("g", F.floor(F.col("at") / block).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda y: y["x"]).alias("v"))
+    return blocks, counted.groupBy("g").agg(F.sum("n").alias("m"))
+
+
+def hashed_bootstrap(values: DataFrame, by: list[str], value: str, order: str, n: int = 200, seed: int = 42, block: int | None = None) -> DataFrame:
     """(by, mean, low, high): a bootstrap whose draws are hashes, so that SQL repeats it exactly.
 
-    Draw r of place i takes the row at md5(seed:r:i) modulo the group's size. For groups of questions, not of a corpus.
+    A replicate's draws fall into blocks of consecutive rows: draw i of replicate r into that of the place md5(seed:r:i)
+    modulo the group's size. So a block gets its share of a multinomial draw, and the k-th of them takes its row at
+    md5(seed:r:block:k) modulo the block's size. Draws are counted, and a block's sums found, wherever their rows lie;
+    sums of blocks add up to those of a replicate. No task holds a group, and no row is sent with every replicate.
     """
-    rows = values.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value].cast("double")).alias("v"))
-    size = F.size("v")
-    pick = lambda r, i: F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), r.cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("bigint"), size).cast("int")
-    drawn = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(*by, "v", F.aggregate(F.sequence(F.lit(0), size - 1), F.lit(0.0), lambda s, i: s + F.get("v", pick(F.col("r"), i))).alias("s"))
-    means = drawn.select(*by, F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("total"), size.alias("m"), (F.col("s") / size).alias("draw"))
-    return means.groupBy(*by, "total", "m").agg(F.percentile("draw", F.lit(0.025)).alias("low"), F.percentile("draw", F.lit(0.975)).alias("high")).select(*by, (F.col("total") / F.col("m")).alias("mean"), "low", "high")
+    block = block or BLOCK
+    blocks, sizes = _in_blocks(values.withColumn("g", F.struct(*by)), value, order, block)
+    blocks, sizes = written(blocks), written(sizes)
+    ranges = sizes.select("g", "m", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / DEALT))).alias("part"), F.lit(1).alias("one"))
+    each = ranges.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("i", F.explode(F.sequence(F.col("part") * DEALT, F.least(F.col("m"), (F.col("part") + 1) * DEALT) - 1)))
+    drawn = each.groupBy("g", "m", "r", F.floor(F.pmod(_hashed(F.lit(seed), F.col("r"), F.col("i")), F.col("m")) / block).alias("block")).agg(F.count("*").alias("c"))
+    pick = lambda k: F.pmod(_hashed(F.lit(seed), F.col("r"), F.col("block"), k), F.size("v")).cast("int")
+    summed = drawn.join(blocks, ["g", "block"]).select("g", "m", "r", F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.col("c") - 1), F.lit(0.0), lambda s, k: s + F.get("v", pick(k))).alias("s"))
+    means = summed.groupBy("g", "m", "r").agg((F.sum("s") / F.col("m")).alias("draw"))
+    intervals = means.groupBy("g").agg(F.percentile("draw", F.lit(0.025)).alias("low"), F.percentile("draw", F.lit(0.975)).alias("high"))
+    totals = blocks.groupBy("g").agg(F.sum(F.aggregate("v", F.lit(0.0), lambda s, x: s + x)).alias("total"), F.sum(F.size("v")).alias("m"))
+    return totals.join(intervals, "g").select("g.*", (F.col("total") / F.col("m")).alias("mean"), "low", "high")
 
 
 def kappa(a: DataFrame, b: DataFrame, id_col: str = "id", label: str = "label") -> DataFrame:

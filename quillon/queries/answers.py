@@ -124,7 +124,7 @@ def paired_gain(spark, sf_dir):
 
 def paired_gain_bootstrap(spark, sf_dir):
     pairs = metrics.paired(_scored(spark, sf_dir)).select("config", "metrica", "q_id", F.round(F.col("second") - F.col("first"), 6).alias("gain"))
-    return _rounded(metrics.hashed_bootstrap(pairs, ["config", "metrica"], "gain", "q_id", 1000), 5)
+    return _rounded(metrics.hashed_bootstrap(pairs, ["config", "metrica"], "gain", "q_id", 1000, block=64), 5)
 
 
 def latency_quantiles(spark, sf_dir):
@@ -209,8 +209,10 @@ ORACLES = {
       WHEN f10 = 0 THEN 'reading failure' ELSE 'partly right' END AS error, count(*) AS n FROM e GROUP BY ALL""",
     "paired_means": f"WITH {_PAIRED} SELECT config, metrica, count(*) AS n_perguntas, round(avg(b), 6) AS media_base, round(avg(a), 6) AS media_ajustado, round(avg(a - b), 6) AS ganho_medio FROM pr GROUP BY ALL",
     "paired_gain_bootstrap": f"""WITH {_PAIRED}, v AS (SELECT config, metrica, list(round(a - b, 6) ORDER BY q_id) AS v FROM pr GROUP BY ALL),
-      d AS (SELECT config, metrica, v, r, list_avg(list_transform(range(len(v)), lambda i: v[1 + (('0x' || left(md5(concat('42:', r, ':', i)), 8))::BIGINT % len(v))])) AS draw FROM v, (SELECT unnest(range(1000)) AS r))
-      SELECT config, metrica, round(list_avg(any_value(v)), 5) AS mean, round(quantile_cont(draw, 0.025), 5) AS low, round(quantile_cont(draw, 0.975), 5) AS high FROM d GROUP BY config, metrica""",
+      d AS (SELECT config, metrica, r, (('0x' || left(md5(concat('42:', r, ':', i)), 8))::BIGINT % len(v)) // 64 AS b, count(*) AS c FROM (SELECT *, unnest(range(len(v))) AS i FROM v), (SELECT unnest(range(1000)) AS r) GROUP BY ALL),
+      s AS (SELECT config, metrica, r, v, list_sum(list_transform(range(c), lambda k: v[1 + b * 64 + (('0x' || left(md5(concat('42:', r, ':', b, ':', k)), 8))::BIGINT % least(64, len(v) - b * 64))])) AS s FROM d JOIN v USING (config, metrica)),
+      w AS (SELECT config, metrica, r, sum(s) / any_value(len(v)) AS draw FROM s GROUP BY ALL)
+      SELECT config, metrica, round(any_value(list_avg(v)), 5) AS mean, round(quantile_cont(draw, 0.025), 5) AS low, round(quantile_cont(draw, 0.975), 5) AS high FROM w JOIN v USING (config, metrica) GROUP BY config, metrica""",
     "latency_quantiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median_s, round(quantile_cont(value, 0.95), 6) AS p95_s, count(*) AS n FROM events GROUP BY event_type",
     "agreement_kappa": """WITH t AS (SELECT quality AS x, 1 - toxic AS y FROM labels), n AS (SELECT count(*) AS n, avg((x = y)::INT) AS o FROM t), c AS (SELECT sum(r * s) AS e FROM (SELECT x AS l, count(*) AS r FROM t GROUP BY x) JOIN (SELECT y AS l, count(*) AS s FROM t GROUP BY y) USING (l))
       SELECT n, round(o, 6) AS observed, round(coalesce(e, 0) / (n * n)::DOUBLE, 6) AS expected, round((o - coalesce(e, 0) / (n * n)::DOUBLE) / (1 - coalesce(e, 0) / (n * n)::DOUBLE), 6) AS kappa FROM n, c""",
