@@ -134,11 +134,39 @@ def digests(formatted: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
 EXTRA = "</s>[INST] ok [/INST]"
 
 
-def op6_chat_event_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, and conversation -7, formatted and read back."""
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -7."""
     extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(EXTRA).alias("text"))
     stored = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
-    return digests(format_events(as_events(stored.unionByName(extra))))
+    return stored.unionByName(extra)
+
+
+def op6_chat_event_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -7, formatted and read back."""
+    return digests(format_events(as_events(_stored(spark, sf_dir))))
+
+
+#: Characters of a delta, and room for the events of one turn, in the log that is made of stored conversations.
+DELTA, ROOM = 40, 1_000_000
+
+
+def as_stream(conversations: DataFrame) -> DataFrame:
+    """Stored messages (distinct turns) as the log of a chat that ended with them: texts arrive in deltas; every third turn
+    was drafted, then regenerated; another third was answered, with a message after it, before it was edited."""
+    own = lambda op, text: F.struct(F.lit(op).alias("op"), F.col("turn").alias("turn"), F.col("role").alias("role"), text.alias("text"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / DELTA).cast("int")), lambda i: own("delta", F.substring(text, i * DELTA + 1, F.lit(DELTA))))
+    stale = F.struct(F.lit("message").alias("op"), (F.col("turn") + 1).alias("turn"), F.lit("user").alias("role"), F.lit("an answer to what is gone").alias("text"))
+    drafted = F.concat(F.array(own("delta", F.lit("a dr")), own("delta", F.lit("aft")), own("regenerate", F.lit(""))), pieces)
+    edited = F.array(own("message", F.lit("not yet right")), stale, own("edit", text))
+    events = F.when(F.col("turn") % 3 == 1, drafted).when(F.col("turn") % 3 == 2, edited).otherwise(pieces)
+    each = conversations.select("conv_id", F.col("turn").alias("_at"), F.posexplode(events).alias("_k", "e"))
+    return each.select("conv_id", (F.col("_at") * ROOM + F.col("_k")).alias("seq"), "e.turn", "e.op", "e.role", "e.text")
+
+
+def chat_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6 gives, from a log of deltas, edits and regenerations that ends with the same conversations."""
+    return digests(format_events(as_stream(_stored(spark, sf_dir))))
 
 
 def _duck_escaped(text: str, line: bool = False) -> str:

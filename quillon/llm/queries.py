@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from . import chat, infill, secrets
 from .bpe import op7_bpe_merge_replay
-from .chat import op6_chat_event_fold
+from .chat import chat_event_log, op6_chat_event_fold
 from .cobucket import op13_radix_co_bucketing
 from .decontam import op2_bm25_wand_decontamination
 from .infill import op12_fill_in_middle
@@ -34,12 +34,13 @@ QUERIES = {
     "op13_radix_co_bucketing": op13_radix_co_bucketing,
 }
 
-EXTRA = {"secret_ledger_versions": secret_ledger_versions, "spotsigs_near_pairs": spotsigs_near_pairs}
+EXTRA = {"chat_event_log": chat_event_log, "secret_ledger_versions": secret_ledger_versions, "spotsigs_near_pairs": spotsigs_near_pairs}
 QUERIES |= EXTRA
 
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict[str, str] = {
     "op6_chat_event_fold": chat.ORACLE,
+    "chat_event_log": chat.ORACLE,
     "op8_secret_blob_ledger": secrets.ORACLE,
     "op11_inverted_multi_index": op11_inverted_multi_index,
     "op12_fill_in_middle": infill.ORACLE,
