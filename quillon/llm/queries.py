@@ -42,7 +42,6 @@ ORACLES: dict[str, str] = {
     "op6_chat_event_fold": chat.ORACLE,
     "chat_event_log": chat.ORACLE,
     "op8_secret_blob_ledger": secrets.ORACLE,
-    "op11_inverted_multi_index": op11_inverted_multi_index,
     "op12_fill_in_middle": infill.ORACLE,
     "secret_ledger_versions": secrets.ORACLE,
 }
