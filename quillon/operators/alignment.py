@@ -28,8 +28,8 @@ from ..sources.store import exists
 
 DIMENSION = 1024
 GRAM = 3
-#: Numbers in the vectors, and in the cosines, of a block; tokens whose grams a task remembers.
-BLOCK, KEPT = 1 << 22, 200_000
+#: Numbers in the vectors, and in the cosines, of a block; tokens whose grams a task remembers; pairs taken apart at once.
+BLOCK, KEPT, ROWS = 1 << 21, 100_000, 256
 
 
 def grams(token: str) -> list[str]:
@@ -139,13 +139,19 @@ def alignment(pairs: DataFrame, key: str = "key", frequencies: DataFrame | None
     """
     kind = pairs.schema[key].dataType.simpleString()
 
+    def side(column: pa.ListArray) -> tuple[list[list[str]], list[list[float]]]:
+        items, bounds = column.flatten(), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy()))).tolist()
+        names, weights = items.field("token").to_pylist(), items.field("w").to_pylist()
+        cut = lambda x: [x[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
+        return cut(names), cut(weights)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Buckets(dimension)
-        for batch in batches:
-            p, r = batch.column("p").to_pylist(), batch.column("r").to_pylist()
-            names, weights = (lambda rows: [[x["token"] for x in row] for row in rows]), (lambda rows: [[x["w"] for x in row] for row in rows])
-            found = aligned(names(p), weights(p), names(r), weights(r), dimension, known)
-            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(found[:, k]) for k in range(3))], names=[key, "precision", "recall", "f1"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                found = aligned(*side(batch.column("p")), *side(batch.column("r")), dimension, known)
+                yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(found[:, k]) for k in range(3))], names=[key, "precision", "recall", "f1"])
 
     return _sides(pairs, key, frequencies).mapInArrow(run, f"`{key}` {kind}, precision double, recall double, f1 double")
 
