@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from ..sources.store import written
+from ..sources.store import delete, scratch, written
 from . import scan
 
 
@@ -136,13 +136,13 @@ def places(chain: Filling | Joining, words: list[int], fresh: list[bool], entry:
     return out.tolist()
 
 
-def chained(chain: Filling | Joining, rows: DataFrame, at: str) -> DataFrame:
+def chained(chain: Filling | Joining, rows: DataFrame, at: str, folder: str) -> DataFrame:
     """(doc_id, at, words, start, number, fresh) of the rows that are no titles: where the row's group begins, the group's
     number in the document from 1, and whether the row opens a segment.
 
     rows: (doc_id, at, words, title, key, opens): the order, the row's words, whether it is a title, which begins a segment
     and belongs to no group, what begins a segment where it changes, and whether the row does so by itself. The rows are
-    written between the steps, without any texts.
+    written to ``folder`` between the steps, without any texts.
     """
     key = rows.schema["key"].dataType
     fields = [StructField("words", ArrayType(LongType())), StructField("fresh", ArrayType(BooleanType())), StructField("places", ArrayType(LongType())), StructField("first", key), StructField("last", key), StructField("title_first", BooleanType()), StructField("closed", BooleanType())]
@@ -166,7 +166,7 @@ def chained(chain: Filling | Joining, rows: DataFrame, at: str) -> DataFrame:
 
         return of
 
-    found = written(scan.in_runs(rows.select("doc_id", F.col(at).cast("bigint").alias(at), F.col("words").cast("bigint").alias("words"), "title", "key", "opens"), "doc_id", [at], fields, sum_up))
+    found = written(scan.in_runs(rows.select("doc_id", F.col(at).cast("bigint").alias(at), F.col("words").cast("bigint").alias("words"), "title", "key", "opens"), "doc_id", [at], fields, sum_up).drop("t"), f"{folder}/runs")
     earlier = Window.partitionBy("doc_id").orderBy("run")
     before = F.lag(F.struct("last", "closed")).over(earlier)
     narrow = found.select("doc_id", "run", "first", "last", "closed", "title_first")
@@ -189,7 +189,7 @@ def chained(chain: Filling | Joining, rows: DataFrame, at: str) -> DataFrame:
                 counts.append(count.tolist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("run"), pa.array(maps, pa.list_(pa.int32())), pa.array(lasts, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], names=mapped_type.names)
 
-    mapped = written(held.where(~F.col("alone")).mapInArrow(summed, mapped_type))  # a document of one run needs no map
+    mapped = written(held.where(~F.col("alone")).mapInArrow(summed, mapped_type), f"{folder}/maps")  # a document of one run needs no map
     entered = mapped.join(scan.entry_states(mapped, "doc_id"), "run").select("doc_id", "run", "entry", F.get("lasts", "entry").alias("last"), F.get("counts", "entry").alias("n"))
     so_far = earlier.rowsBetween(Window.unboundedPreceding, -1)
     entries = entered.select("run", "entry", F.last("last", ignorenulls=True).over(so_far).alias("carried"), F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("before"))
@@ -219,10 +219,16 @@ def packed(rows: DataFrame, max_tokens: int, min_tokens: int, per_word: float) -
     rows: (doc_id, idx, words, title, key). A group takes paragraphs while its estimate stays within max_tokens; one below
     min_tokens joins the next, unless it is the last of its segment.
     """
-    filled = written(chained(Filling(most_words(max_tokens, per_word)), rows.withColumn("opens", F.lit(False)), "idx"))
+    def settled(chain: Filling | Joining, rows: DataFrame, at: str) -> DataFrame:
+        folder = scratch(rows.sparkSession)
+        out = written(chained(chain, rows, at, folder))
+        delete(rows.sparkSession, folder)  # what is behind the written rows isn't needed again
+        return out
+
+    filled = settled(Filling(most_words(max_tokens, per_word)), rows.withColumn("opens", F.lit(False)), "idx")
     groups = filled.groupBy("doc_id", "start").agg(F.sum("words").alias("words"), F.max(F.col("fresh") & (F.col("idx") == F.col("start"))).alias("opens"))
     chain = Joining(max(-1, most_words(min_tokens, per_word, strict=True)))
-    joined = written(chained(chain, groups.withColumn("key", F.lit(0)).withColumn("title", F.lit(False)).withColumnRenamed("start", "at"), "at"))
+    joined = settled(chain, groups.withColumn("key", F.lit(0)).withColumn("title", F.lit(False)).withColumnRenamed("start", "at"), "at")
     chunks = joined.groupBy("doc_id", F.col("number").alias("chunk")).agg(F.max("fresh").alias("opens"))
     named = joined.select(F.col("doc_id").alias("_doc"), F.col("at").alias("_start"), F.col("number").alias("chunk"))
     placed = filled.join(named, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("start") == F.col("_start")))

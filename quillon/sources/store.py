@@ -53,8 +53,8 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows, written to a new folder there and read again."""
-    path = scratch(df.sparkSession)
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows, written to a new folder there (or to a path) and read again."""
+    path = path or scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
