@@ -228,6 +228,14 @@ def test_edited_copies_go_and_others_stay(spark):
     assert len(kept & set(copies)) <= 0.2 * len(copies)
 
 
+def test_stage_drops_what_fingerprints_link(spark):
+    rows = [(k, "ha " * 100 + end) for k, end in ((5, "said the old man of the sea"), (7, "and nobody else ever came here"), (9, ""))]
+    rows.append((8, "quite another text of some eight words"))
+    marks = [simhash.fingerprint(t.encode()) for _, t in rows[:2]]
+    assert ((marks[0] ^ marks[1]) % 2**64).bit_count() <= 2 and five_word_likeness(rows[0][1], rows[1][1]) < 0.8
+    assert sorted(r.doc_id for r in simhash.keep_one(table(spark, rows)).collect()) == [5, 8]
+
+
 def five_word_likeness(a, b):
     a, b = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
     return len(a & b) / len(a | b)
