@@ -376,3 +376,14 @@ def test_perplexity(tmp_path):
     assert perplexity.measure(str(tool), "w", "t") == 3.5
 
 
+def test_best_products_come_in_slices(monkeypatch):
+    monkeypatch.setattr(R, "PRODUCTS", 90)
+    draw = np.random.default_rng(3)
+    q, v = draw.integers(-2, 3, (23, 4)).astype(float), draw.integers(-2, 3, (40, 4)).astype(float)  # many ties
+    ids = draw.permutation(40) * 3
+    for k in (1, 5, 40, 60):
+        parts = list(R._best(q, ids, v, k))
+        assert max(len(set(p.tolist())) for p, _, _ in parts) <= 2
+        got = [(int(a), int(b), float(c)) for p in parts for a, b, c in zip(*p)]
+        wanted = [(a, i, s) for a in range(23) for s, i in sorted(((q[a] @ v[j], int(ids[j])) for j in range(40)), key=lambda x: (-x[0], x[1]))[:k]]
+        assert got == wanted
