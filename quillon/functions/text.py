@@ -24,15 +24,16 @@ TITLE = r"^(\d+(\.\d+){0,3})\s+[A-ZÁÉÍÓÚÂÊÔÃÕÇ][^\n]{2,80}$"
 LITTLE_WORDS = "o a os as um uma uns umas de do da dos das em no na nos nas por para com ao à aos às e".split()
 
 #: White space as Python's str.split() has it; a word character.
-SPACES = r"(?U)[\s\x1c-\x1f]+"
+SPACE = r"[\x09\x0a\x0b\x0c\x0d\x1c\x1d\x1e\x1f\x20\x85\xa0[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]]"
+SPACES = SPACE + "+"
 WORD = r"[\p{L}\p{N}_]"
 
 
 # All that canonical composition may change, and some beside: marks, finals of Korean syllables, and the
 # blocks that hold characters which it replaces. Nothing below U+0300 is among them.
 UNCOMPOSED = (
-    r"[\p{M}\x{374}\x{37e}\x{387}\x{958}-\x{95f}\x{9dc}-\x{9df}\x{a33}-\x{a5e}\x{b5c}-\x{b5d}\x{f43}-\x{fb9}\x{1161}-\x{11c2}"
-    r"\x{1f71}-\x{2001}\x{2126}-\x{212b}\x{2329}-\x{232a}\x{2adc}\x{f900}-\x{fb4e}\x{1d15e}-\x{1d1c0}\x{2f800}-\x{2fa1d}]"
+    r"[\x{300}-\x{10ffff}&&[\p{M}\x{374}\x{37e}\x{387}\x{958}-\x{95f}\x{9dc}-\x{9df}\x{a33}-\x{a5e}\x{b5c}-\x{b5d}\x{f43}-\x{fb9}\x{1161}-\x{11c2}"
+    r"\x{1f71}-\x{2001}\x{2126}-\x{212b}\x{2329}-\x{232a}\x{2adc}\x{f900}-\x{fb4e}\x{1d15e}-\x{1d1c0}\x{2f800}-\x{2fa1d}]]"
 )
 
 
@@ -48,7 +49,7 @@ def composed(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]++|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++$", "")
+    return F.regexp_replace(text, f"^{SPACE}++|{SPACE}(?<!{SPACE}{{2}}){SPACE}*+$", "")
 
 
 def words(text: Column) -> Column:
@@ -127,7 +128,8 @@ def combining_marks() -> str:
     marks = [c for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))]
     begins = [c for c in marks if not unicodedata.combining(chr(c - 1))]
     ends = [c for c in marks if not unicodedata.combining(chr(c + 1))]
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(begins, ends, strict=True)) + "]+"
+    # Java tries the ranges of a class one by one: all but a few characters fail the first
+    return r"[\x{300}-\x{1efff}&&[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(begins, ends, strict=True)) + "]]+"
 
 
 def without_accents(text: Column) -> Column:
@@ -162,7 +164,7 @@ def token_estimate(n_words: Column, per_word: float = 1.3) -> Column:
 
 def answer_text(text: Column) -> Column:
     """An answer as compared: composed, lower case, no separators within numbers, no punctuation, no little words."""
-    t = F.regexp_replace(F.lower(composed(text)), r"(?<=\p{Nd})[.,](?=\p{Nd})", "")
+    t = F.regexp_replace(F.lower(composed(text)), r"[.,](?<=\p{Nd}.)(?=\p{Nd})", "")
     t = F.regexp_replace(t, r"[^\p{L}\p{N}\s\x{85}\x{a0}\p{Z}]|_", " ")
     return F.array_join(F.filter(words(t), lambda w: ~w.isin(LITTLE_WORDS)), " ")
 

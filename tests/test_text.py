@@ -1,5 +1,7 @@
 """Text expressions on fixed cases."""
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,3 +235,14 @@ def test_tokens_stay_in_the_jvm(spark):
     df = spark.createDataFrame([("é x",)], "t string")
     plan = df.select(T.tokens(F.col("t")), T.answer_text(F.col("t")), T.without_accents(F.col("t")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_classes_of_many_ranges_are_entered_from_their_first_character_on(spark):
+    """Java tries all ranges of a class for a character outside it; plain letters must fail the first."""
+    assert T.combining_marks().startswith(r"[\x{300}-\x{1efff}&&[") and T.UNCOMPOSED.startswith(r"[\x{300}-\x{10ffff}&&[")
+    assert not T.SPACES.startswith("(?U)")
+    points = [chr(c) for c in range(1, 0x1F100) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(c,) for c in points], "c string").select("c", F.col("c").rlike(T.combining_marks()).alias("mark"), F.col("c").rlike(T.SPACES).alias("space"))
+    found = df.collect()
+    assert {r.c for r in found if r.mark} == {c for c in points if ord(c) < 0x1F000 and unicodedata.combining(c)}
+    assert {r.c for r in found if r.space} == {c for c in points if not c.split()}
