@@ -259,7 +259,7 @@ def training_tasks(chunks: DataFrame, n: int = 1500, unanswerable_share: float =
     """(place, kind, chunk columns): n chunks of ``least_tokens`` or more (all, if there are fewer), the first ones for
     questions without an answer; of five others, two are procedural."""
     turn = shuffled(seed, F.col("id").cast("string"))
-    sample = chunks.where(F.col("n_tokens") >= least_tokens).orderBy(turn, "id").limit(n)
+    sample = written(chunks.where(F.col("n_tokens") >= least_tokens).orderBy(turn, "id").limit(n))  # read for each step from question to example
     t = sample.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(turn, "id")) - 1)  # n rows
     without = F.bround(F.count("*").over(Window.partitionBy(F.lit(0))) * F.lit(unanswerable_share))
     return t.withColumn("kind", F.when(F.col("place") < without, UNANSWERABLE).when((F.col("place") % 5).isin(1, 3), "procedimental").otherwise("factual"))
@@ -271,7 +271,7 @@ def training_set(tasks_: DataFrame, replies: DataFrame, chunks: DataFrame, searc
     chunks: (id, n_tokens, section_id, section, page_start, text). search: questions (q_id, text) to ranked chunks, of
     which those to rank 7 are used. The prompt (``{contexto}``, ``{pergunta}`` of the template) shows the chunk and two
     to four distractors, all in the order of a seeded hash. Citations are taken out of the answer and the chunk's own is
-    appended; without an answer it is the phrase. The first share in the order of a hash is for validation; examples
+    appended; without an answer it is the phrase. Only questions and ids are sent to the texts, which are not shuffled. The first share in the order of a hash is for validation; examples
     beyond the token limit are left out after that.
     """
     key = lambda *x: shuffled(seed, *(F.lit(c) if isinstance(c, str) else c.cast("string") for c in x))
@@ -284,10 +284,10 @@ def training_set(tasks_: DataFrame, replies: DataFrame, chunks: DataFrame, searc
     beside = distractors(ranked, evidence, chunks, 4, budget, seed).join(asked, "q_id").where("place < wanted").select("q_id", F.col("id").cast("string").alias("id"))
     shown = beside.unionByName(evidence.withColumn("id", F.col("id").cast("string"))).withColumn("turn", key("order", F.col("q_id"), F.col("id")))
     told = chunks.select(F.col("id").cast("string").alias("id"), "section_id", "section", "page_start", "text")
-    listed = shown.join(told, "id").groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("turn", "id", "section_id", "section", "page_start", "text"))).alias("c"))
+    listed = told.join(F.broadcast(shown), "id").groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("turn", "id", "section_id", "section", "page_start", "text"))).alias("c"))
     own = chunks.select(F.col("id").alias("q_id"), F.concat(F.lit("(seção "), T.section_label(F.col("section_id"), F.col("section")), F.lit(", p. "), F.col("page_start").cast("string"), F.lit(")")).alias("cited"))
     answer = F.when(F.col("tipo") == UNANSWERABLE, F.col("resposta_ref")).otherwise(F.concat(F.regexp_replace(T.without_citations(F.col("resposta_ref")), "[ .]+$", ""), F.lit(" "), F.col("cited")))
-    t = made.join(listed, "q_id").join(own, "q_id").select(F.col("q_id").alias("id"), T.fill(template, contexto=T.context(F.col("c")), pergunta=F.col("pergunta")).alias("prompt"), answer.alias("answer"), F.size("c").alias("n_chunks"))
+    t = own.join(F.broadcast(made), "q_id").join(listed, "q_id").select(F.col("q_id").alias("id"), T.fill(template, contexto=T.context(F.col("c")), pergunta=F.col("pergunta")).alias("prompt"), answer.alias("answer"), F.size("c").alias("n_chunks"))
     every = Window.partitionBy(F.lit(0))
     first = F.greatest(F.lit(1), F.bround(F.count("*").over(every) * F.lit(validation_share)))
     t = t.withColumn("part", F.when(F.row_number().over(every.orderBy(key("split", F.col("id")), "id")) <= first, "validation").otherwise("train"))

@@ -118,6 +118,33 @@ def test_lexical_search_counts_empty_texts(spark, tmp_path):
     assert R.LexicalIndex.load(spark, str(tmp_path)).search(asked, 5).count() == 3
 
 
+def counted_texts(spark, df):
+    """The table, and how often one of its texts was looked at."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(text):
+        seen.add(1)
+        return text
+
+    return df.withColumn("text", F.udf(look, "string").asNondeterministic()("text")), seen
+
+
+def test_index_for_known_questions_is_that_of_all_and_reads_texts_once(spark):
+    docs = spark.createDataFrame([(1, "pressão do pneu pneu"), (2, ""), (2, "pneu"), (3, None), (4, "óleo e pneu novo"), (5, "outro texto")], "id long, text string")
+    asked = spark.createDataFrame([(1, "pneu óleo"), (2, "texto texto zzz")], "q_id long, text string")
+    texts, seen = counted_texts(spark, docs)
+    few = R.LexicalIndex.build(texts, only_terms=R.question_terms(asked).select("term").distinct())
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    whole = R.LexicalIndex.build(docs)
+    for k1 in (1.5, 0.9):
+        assert rows(few.search(asked, 3, k1=k1)) == rows(whole.search(asked, 3, k1=k1))
+    assert rows(few.totals) == rows(whole.totals)
+    assert {t[0] for t in rows(few.terms)} == {"pneu", "óleo", "texto"}
+    assert seen.value == docs.count()
+    none = R.LexicalIndex.build(docs.where("false"), only_terms=R.question_terms(asked).select("term").distinct())
+    assert none.search(asked, 3).count() == 0 and rows(none.totals) == [(0, None)]
+
+
 def test_nearest_is_exact_for_any_blocks(spark):
     draw = np.random.default_rng(0)
     v = draw.normal(size=(300, 8)).astype(np.float32)
@@ -236,6 +263,13 @@ def test_training_set(spark):
     assert sum(r.part == "validation" for r in out.values()) == 2
 
 
+def test_training_tasks_are_sampled_once(spark):
+    texts, seen = counted_texts(spark, spark.createDataFrame([(k, 50, "s", f"texto {k}") for k in range(20)], "id long, n_tokens int, section_id string, text string"))
+    tasks = gold.training_tasks(texts.where(F.length("text") > 0), 5)
+    assert tasks.count() == 5 and tasks.where("kind = 'sem_resposta'").count() == 1
+    assert seen.value == 20
+
+
 def test_least_keys_are_those_of_sorting(spark, monkeypatch):
     import random
 
