@@ -25,7 +25,7 @@ def composed_tokens(spark, sf_dir):
     for a, b in DECOMPOSED.items():
         taken = F.replace(taken, F.lit(a), F.lit(b))
     t = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, taken).otherwise(F.col("text")).alias("other"))
-    cleaned = F.md5(T.clean(F.col("other"), compose=True)) == F.md5(T.clean(F.col("text"), compose=True))
+    cleaned = F.when(F.col("other") == F.col("text"), True).otherwise(T.clean(F.col("other"), compose=True) == T.clean(F.col("text"), compose=True))
     return t.select("doc_id", F.md5(F.array_join(T.tokens(F.col("other")), " ")).alias("tokens_md5"), metrics.exact_match(F.col("other"), F.col("text")).alias("em"), cleaned.alias("cleaned_alike"))
 
 

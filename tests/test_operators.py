@@ -339,6 +339,15 @@ def test_split_keeps_groups_together(spark):
 SCORED = "config string, leitor string, q_id string, answerable boolean, absteve boolean, fonte_valida boolean, latencia_s double, em int, f1_tokens double, bertscore_f1 double, recall int, mrr double"
 
 
+def test_equal_texts_match_without_their_normal_forms(spark, monkeypatch):
+    df = spark.createDataFrame([("a b", "a b"), (None, "a"), ("a", None), ("", "")], "p string, r string")
+    found = lambda: [x.em for x in df.select(metrics.exact_match(F.col("p"), F.col("r")).alias("em")).collect()]
+    assert found() == [1, None, None, 1]
+    df = df.where("p = r")
+    monkeypatch.setattr(metrics.T, "answer_text", lambda text: F.raise_error(F.concat(text, F.lit(" is made normal"))))
+    assert found() == [1, 1]
+
+
 def test_aggregation_takes_each_mean_over_its_own_rows(spark):
     rows = [("S3", "base", "q1", True, False, True, 1.0, 1, 1.0, 0.9, 1, 0.5), ("S3", "base", "q2", True, True, False, 2.0, 0, 0.0, 0.0, 0, 0.0), ("S3", "base", "q3", False, False, False, 3.0, None, None, None, None, None)]
     r = metrics.aggregated(spark.createDataFrame(rows, SCORED)).first()
