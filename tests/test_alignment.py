@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,16 @@ def test_stored_pairs_are_not_scored_again(spark, tmp_path):
     second = {r.key: r.f1 for r in A.stored_alignment(made(5), f"{tmp_path}/marked").collect()}
     assert len(second) == 5 and [k for k, v in second.items() if v == 0.5] and sum(v == 0.5 for v in second.values()) == 3
     assert spark.read.parquet(f"{tmp_path}/marked").count() == 5
+
+
+def test_a_gram_is_hashed_once_for_all_tokens(monkeypatch):
+    asked, md5 = [], A.hashlib.md5
+    monkeypatch.setattr(A.hashlib, "md5", lambda x, **k: asked.append(x) or md5(x, **k))
+    known = A._Buckets(1024)
+    tokens = ["banana", "bananas", "ananas", "ba"]
+    made = A._vectors([tokens, ["banana"]], known)
+    assert len(asked) == len(set(asked)) == len({g for t in tokens for g in A.grams(t)})
+    for t, v in zip(tokens, made[0], strict=True):
+        n = np.bincount([int(md5(g.encode()).hexdigest(), 16) % 1024 for g in A.grams(t)], minlength=1024)
+        assert (v == n / np.sqrt((n * n).sum())).all()
+    assert (made[1, 0] == made[0, 0]).all() and not made[1, 1:].any()
