@@ -26,7 +26,7 @@ def chunks(paragraphs: DataFrame, max_tokens: int = 400, min_tokens: int = 60, p
     placed, made = packed(rows.select("doc_id", "idx", "words", F.col("is_title").alias("title"), F.struct("section_id", "section").alias("key")), max_tokens, min_tokens, per_word)
     placed = placed.select(F.col("doc_id").alias("_doc"), F.col("idx").alias("_idx"), "chunk")
     numbered = rows.join(placed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("idx") == F.col("_idx")))
-    groups = numbered.groupBy("doc_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("idx", "page", "text", "section", "section_id"))).alias("p"))
+    groups = numbered.groupBy("doc_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("idx", "page", "text", "section", "section_id", "words"))).alias("p"))
     if overlap:
         groups = written(groups)
         tails = groups.select(F.col("doc_id").alias("_doc"), (F.col("chunk") + 1).alias("_chunk"), F.slice("p", -F.least(F.lit(overlap), F.size("p")), F.least(F.lit(overlap), F.size("p"))).alias("tail"))
@@ -42,7 +42,7 @@ def chunks(paragraphs: DataFrame, max_tokens: int = 400, min_tokens: int = 60, p
         F.array_min(F.transform("p", lambda x: x["page"])).alias("page_start"),
         F.array_max(F.transform("p", lambda x: x["page"])).alias("page_end"),
         F.size("p").alias("n_paragraphs"),
-        T.token_estimate(F.size(T.words(text)), per_word).alias("n_tokens"),
+        T.token_estimate(F.aggregate("p", F.lit(0), lambda n, x: n + x["words"]), per_word).alias("n_tokens"),  # lines end words, so a chunk has those of its paragraphs
         text.alias("text"),
     )
 

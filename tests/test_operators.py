@@ -81,6 +81,16 @@ def test_chunk_overlap(spark):
     assert [r.n_paragraphs for r in t] == [1, 2, 2] and [r.n_tokens for r in t] == [40, 81, 83]
 
 
+def test_words_of_a_paragraph_are_counted_once(spark, monkeypatch):
+    seen, words = [], chunking.T.words
+    monkeypatch.setattr(chunking.T, "words", lambda text: seen.append(text) or words(text))
+    rows = [(1, i, 1, "s", "1", t, False) for i, t in enumerate(["um dois", " três\u2003quatro ", "", "cinco\nseis\x85sete", "oito"])]
+    made = chunking.chunks(spark.createDataFrame(rows, "doc_id long, idx int, page int, section string, section_id string, text string, is_title boolean"), 4, 2, 1.0, 1)
+    found = [(r.text, r.n_tokens) for r in made.orderBy("id").collect()]
+    assert len(seen) == 1 and len(found) > 1
+    assert [n for _, n in found] == [max(1, len(t.split())) for t, _ in found]
+
+
 def test_same_number_under_a_new_title_is_a_new_segment(spark):
     p = paragraphs(spark, [("1", 5), ("1", None), ("1", 5)])
     assert chunking.chunks(p, 100, 0, 1.0).count() == 2
