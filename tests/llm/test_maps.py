@@ -256,6 +256,40 @@ def test_near_pairs_are_those_of_brute_force(spark):
     assert {r.doc_id: r.class_id for r in members.collect()} == {i: classes[frozenset(spotsigs.signatures(t))] for i, t in rows}
 
 
+def test_spotsigs_words_are_those_of_the_pattern():
+    draw = random.Random(9)
+    kinds = [chr(c) for c in (*range(1, 0x250), 0x301, 0x660, 0xB2, 0x2160, 0x3000, 0x4E00, 0x1F600, 0xD800)]
+    for size in (0, 1, 5, 30, 3000):
+        for _ in range(20):
+            t = "".join(draw.choices(draw.sample(kinds, draw.choice((5, 20, 500))), k=size))
+            assert spotsigs.words(t) == spotsigs.WORD.findall(t)
+
+
+def test_common_counts_what_sets_share():
+    draw = random.Random(8)
+    sets = [np.array(sorted({*draw.sample(range(30), 20), *draw.sample(range(100, 2000), 40)}), np.int64) for _ in range(50)] + [np.zeros(0, np.int64)]
+    found = spotsigs.common(sets)
+    assert all(found[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(51) for j in range(i + 1, 51))
+
+
+@pytest.mark.parametrize("holders, block", [(1, 1000), (3, 4)])
+def test_near_pairs_of_large_groups_come_from_blocks(spark, holders, block):
+    draw = random.Random(4)
+    words = ["the", "of", "and", *(f"w{k}" for k in range(300))]
+    base = [draw.choice(words) for _ in range(120)]
+    rows = []
+    for k in range(30):  # one group of near copies of several lengths, and texts beside it
+        t = base[: draw.randint(90, 120)] if k % 5 else [draw.choice(words) for _ in range(80)]
+        for _ in range(draw.randint(0, 4)):
+            t[draw.randrange(len(t))] = draw.choice(words)
+        rows.append((k, " ".join(t)))
+    rows.append((40, rows[1][1]))
+    found = [tuple(sorted((r.a, r.b))) for r in spotsigs.near_pairs(table(spark, rows), 0.6, holders=holders, block=block)[0].collect()]
+    sets = {i: spotsigs.signatures(t) for i, t in rows[:-1]}
+    wanted = {(a, b) for a in sets for b in sets if a < b and spotsigs.likeness(sets[a], sets[b]) >= 0.6}
+    assert len(found) == len(set(found)) and set(found) == wanted and len(wanted) > 50
+
+
 # ---- 4
 
 
