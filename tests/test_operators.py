@@ -1,6 +1,7 @@
 """Operators on small tables with known results."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -155,6 +156,28 @@ def test_index_for_known_questions_is_that_of_all_and_reads_texts_once(spark):
     assert none.search(asked, 3).count() == 0 and rows(none.totals) == [(0, None)]
 
 
+@pytest.mark.parametrize("products", [R.PRODUCTS, 20])
+def test_searches_of_few_terms_are_those_of_the_whole_index(spark, monkeypatch, products):
+    monkeypatch.setattr(R, "PRODUCTS", products)
+    draw = random.Random(5)
+    words = [f"w{k}" for k in range(25)]
+    texts = [" ".join(draw.choices(words, k=draw.randint(0, 12))) for _ in range(40)]
+    docs = [(draw.choice([None, *range(30)]), draw.choice(texts)) for _ in range(300)]  # repeated ids, of equal and of other lengths
+    docs = spark.createDataFrame([*docs, *((k, "w1 w2") for k in range(100, 120))], "id long, text string").repartition(5)
+    asked = spark.createDataFrame([*((f"q{k}", " ".join(draw.choices(words[:12], k=4))) for k in range(9)), (None, "w1 w1 w9"), ("z", "zzz")], "q_id string, text string")
+    few = R.LexicalIndex.build(docs, only_terms=R.question_terms(asked).select("term").distinct())
+    whole = R.LexicalIndex.build(docs)
+    weights = ((1.5, 0.75), (0.9, 0.4))
+    rows = lambda df: sorted(((r.q_id or "", r.rank, r.id, r.score) for r in df.collect()), key=str)
+    found = few.searches(asked, 6, weights).persist()
+    for run, (k1, b) in enumerate(weights):
+        wanted = rows(whole.search(asked, 6, k1=k1, b=b))
+        assert rows(found.where(f"run = {run}")) == wanted and len(wanted) == 60
+        assert rows(few.search(asked, 6, k1=k1, b=b)) == wanted
+    assert sorted(map(str, few.postings.collect())) == sorted(map(str, whole.postings.join(few.terms.select("term"), "term").select("id", "term", "dl", "tf").collect()))
+    assert sorted(map(str, few.terms.collect())) == sorted(map(str, whole.terms.join(few.terms.select("term"), "term").collect()))
+
+
 def test_nearest_is_exact_for_any_blocks(spark):
     draw = np.random.default_rng(0)
     v = draw.normal(size=(300, 8)).astype(np.float32)
