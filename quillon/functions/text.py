@@ -146,14 +146,30 @@ def portuguese_stop_words() -> tuple[str, ...]:
     return tuple(StopWordsRemover.loadDefaultStopWords("portuguese"))
 
 
+def lowered(text: Column) -> Column:
+    """Composed, in lower case."""
+    # as lower(composed(text)); a lower(text) beside it is made once for both
+    return F.when(text.rlike(r"[\x{300}-\x{10ffff}]") & text.rlike(UNCOMPOSED), F.lower(_normalised(text, "compose", False))).otherwise(F.lower(text))
+
+
+def spaced(text: Column, keep_accents: bool = True) -> Column:
+    """Composed, in lower case, with a space for each character beyond ASCII that is no letter or digit. What lies between
+    spaces and others of ASCII than letters and digits is ``tokens``, if it isn't too short."""
+    t = lowered(text)
+    return F.regexp_replace(t if keep_accents else without_accents(t), r"[^\x00-\x7f\p{L}\p{N}]", " ")
+
+
+def left_out(stop_words: Sequence[str], keep_accents: bool = True) -> list[str]:
+    """Stop words in the form in which tokens are."""
+    if keep_accents:
+        return list(stop_words)
+    return ["".join(x for x in unicodedata.normalize("NFKD", w) if not unicodedata.combining(x)) for w in stop_words]
+
+
 def tokens(text: Column, stop_words: Sequence[str] = (), keep_accents: bool = True) -> Column:
     """Lower-case runs of letters and digits of two characters or more, without stop words; accents as composed."""
-    t = F.lower(composed(text))
-    stops = list(stop_words)
-    if not keep_accents:
-        t = without_accents(t)
-        stops = ["".join(x for x in unicodedata.normalize("NFKD", w) if not unicodedata.combining(x)) for w in stops]
-    found = F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1)
+    t, stops = F.lower(composed(text)), left_out(stop_words, keep_accents)
+    found = F.filter(F.split(t if keep_accents else without_accents(t), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1)
     return F.filter(found, lambda w: ~w.isin(stops)) if stops else found
 
 

@@ -239,6 +239,60 @@ def test_anchor_evidence_of_any_length_is_that_of_brute_force(spark):
     assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
 
 
+def test_one_reading_gives_index_sizes_and_evidence(spark, monkeypatch):
+    odd = "The  Casa_azul, l'été — “ÉTÉ” e\u0301te\u0301 ΑΣ ΑΣ. İx ①² x 😀y10 a\u00a0b\u2028c, und\x1cso\x85fort DE d\u200be \u3000"
+    docs = [(1, odd), (2, None), (2, ""), (3, " \t"), (4, "a casa"), (4, "A  CASA azul"), (None, "uma casa azul aqui"), (None, odd), (5, "~" * 9 + "azul" * 3), (6, "casa " * 50_000)]
+    docs += [(10 + i, f"azul x{i} casa" if i % 3 else odd[i % len(odd) :]) for i in range(60)]
+    asked = [(1, "Casa  azul"), (2, "azul"), (3, "été ÉTÉ und so"), (4, " "), (5, None), (6, "ΑΣ"), (7, "casa azul"), (8, "de und"), (9, "i̇x ①²")]
+    table, questions = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(asked, "q_id long, text string")
+    flat = {(r.q_id, r.anchor) for r in R.flat_anchors(questions.withColumnRenamed("text", "anchor")).collect()}
+    low = [(r.id, " ".join((r.t or "").split()), len((r.t or "").split())) for r in table.selectExpr("id", "lower(text) as t").collect()]
+    order = lambda rows: sorted(rows, key=repr)
+    for size, sent, chars, accents in ((1 << 23, 100_000, 1 << 20, True), (100, 100_000, 1 << 20, False), (100, 3, 1 << 20, True), (100, 100_000, 5, True)):
+        for name, value in (("SLICE", size), ("SENT_TERMS", sent), ("SHARD_CHARS", chars)):
+            monkeypatch.setattr(R, name, value)
+        texts, seen = counted_texts(spark, table)
+        index, sizes, evidence = R.surveyed(texts, questions, stop_words=("und", "été"), keep_accents=accents)
+        assert order(tuple(r) for r in sizes.collect()) == order((i, n) for i, _, n in low)
+        assert order(tuple(r) for r in evidence.select("q_id", "id").collect()) == order((q, i) for q, a in flat for i, t, _ in low if a in t)
+        whole = R.LexicalIndex.build(table, stop_words=("und", "été"), keep_accents=accents)
+        assert tuple(index.totals.first()) == tuple(whole.totals.first())
+        wanted = whole.search(questions, 4, stop_words=("und", "été"), keep_accents=accents)
+        assert set(index.search(questions, 4, stop_words=("und", "été"), keep_accents=accents).select(*wanted.columns).collect()) == set(wanted.collect()) != set()
+        assert seen.value == len(docs) or sent == 3 or chars == 5
+    assert R.surveyed(table, questions.limit(0))[2].collect() == []
+
+
+def test_split_plain_gives_the_tokens_of_every_character(spark):
+    import pyarrow as pa
+
+    from quillon.functions import text as T
+
+    c = spark.createDataFrame(pa.table({"text": [f"ab{chr(i)}cd" for i in range(1, 0x110000) if not 0xD800 <= i <= 0xDFFF]})).repartition(8)
+    rows = c.select(T.spaced(F.col("text")).alias("s"), F.array_join(T.tokens(F.col("text")), " ").alias("t")).toArrow()
+    pieces = R.split_plain(rows["s"].combine_chunks().slice(7)).to_pylist()
+    assert [" ".join(w for w in p if len(w) > 1) for p in pieces] == rows["t"].slice(7).to_pylist()
+    assert R.split_plain(pa.array([], pa.string())).to_pylist() == [] and R.split_plain(pa.array(["", "a"])).to_pylist() == [[""], ["a"]]
+
+
+def test_distractors_query_reads_each_document_once(spark, sf_dir, monkeypatch):
+    from quillon.queries import search
+
+    plain, seen = search.table, []
+
+    def table(spark, sf_dir, name):
+        df = plain(spark, sf_dir, name)
+        if name != "documents":
+            return df
+        df, n = counted_texts(spark, df)
+        seen.append(n)
+        return df
+
+    monkeypatch.setattr(search, "table", table)
+    assert search.distractors(spark, sf_dir).collect()
+    assert sum(n.value for n in seen) == plain(spark, sf_dir, "documents").count()
+
+
 def test_distractors_pass_over_what_does_not_fit(spark):
     chunks = spark.createDataFrame([(f"t{i}", n) for i, n in enumerate([100, 900, 50, 60, 70])], "id string, n_tokens int")
     evidence = spark.createDataFrame([(1, "t0")], "q_id long, id string")
